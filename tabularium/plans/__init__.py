@@ -1,4 +1,4 @@
 """Registered queries; importing this package fills the registry."""
 
-from tabularium.plans import relational, tabular  # noqa: F401
+from tabularium.plans import documents, relational, tabular  # noqa: F401
 from tabularium.plans.registry import REGISTRY  # noqa: F401

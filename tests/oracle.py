@@ -43,10 +43,13 @@ def rows_of(columns, rows):
 
 def compare(spark, con, name: str, folder: str) -> tuple[bool, str]:
     query = REGISTRY[name]
+    begun = time.time()
     frame = query.run(spark, folder)
-    got = rows_of(frame.columns, [tuple(r) for r in frame.collect()])
+    collected = frame.collect()
+    took = f"{time.time() - begun:.2f}s spark"
+    got = rows_of(frame.columns, [tuple(r) for r in collected])
     if query.sql is None:
-        return True, f"rows={len(got)} (no SQL)"
+        return True, f"rows={len(got)} (no SQL) {took}"
     result = con.execute(query.sql)
     names = [d[0] for d in result.description]
     want = rows_of(names, result.fetchall())
@@ -59,7 +62,7 @@ def compare(spark, con, name: str, folder: str) -> tuple[bool, str]:
             pair = next(((g, w) for g, w in zip(got, want) if g != w), None)
             only_got, only_want = pair or ("", "")
         return False, f"rows {len(got)} != {len(want)}\n   spark: {only_got}\n   sql:   {only_want}"
-    return True, f"rows={len(got)}"
+    return True, f"rows={len(got)} {took}"
 
 
 if __name__ == "__main__":
