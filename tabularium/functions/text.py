@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +16,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, also inside nested lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column | str) -> Column:
     return F.regexp_replace(col(text), f"{FLAGS}^{SPACE}+|{SPACE}+$", "")
 
@@ -30,40 +35,67 @@ def word_tokens(text: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(col(text)), F.lit(f"{FLAGS}(\\w+)"), 1))
 
 
-def matches(text: Column | str, pattern: str) -> Column:
-    return F.coalesce(col(text).rlike(FLAGS + pattern), F.lit(False))
+def quote(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# Scorers over long pattern lists are written as SQL text: one parse instead of a call per term.
+# ``text`` is a column name or SQL expression; it is used as is, so lower it beforehand if needed.
+
+def matches_sql(text: str, pattern: str, flags: str = FLAGS) -> str:
+    return f"coalesce({text} RLIKE {quote(flags + pattern)}, false)"
 
 
-def hits(text: Column | str, patterns: Sequence[str]) -> Column:
+def hits_sql(text: str, patterns: Sequence[str]) -> str:
     """How many of the patterns occur in the text."""
-    total = F.lit(0)
-    for pattern in patterns:
-        total = total + matches(text, pattern).cast("int")
-    return total
+    return "(" + " + ".join(f"int({matches_sql(text, p)})" for p in patterns) + ")"
 
 
-def contains_any(text: Column | str, terms: Sequence[str]) -> Column:
-    found = F.lit(False)
-    for term in terms:
-        found = found | F.coalesce(col(text).contains(term), F.lit(False))
-    return found
+def contains_sql(text: str, terms: Sequence[str]) -> str:
+    """Whether any of the terms occurs in the text."""
+    return "(" + " OR ".join(f"coalesce(contains({text}, {quote(t)}), false)" for t in terms) + ")"
 
 
-def occurrences(text: Column | str, term: str) -> Column:
+def weight_sql(text: str, terms: Sequence[str], weight: int) -> str:
+    """``weight`` per term that occurs in the text."""
+    return "(" + " + ".join(f"IF(contains({text}, {quote(t)}), {weight}, 0)" for t in terms) + ")"
+
+
+def occurrences_sql(text: str, term: str) -> str:
     """Non-overlapping occurrences of a literal term."""
-    c = col(text)
-    return ((F.length(c) - F.length(F.replace(c, F.lit(term), F.lit("")))) / F.lit(len(term))).cast("int")
+    return f"((length({text}) - length(replace({text}, {quote(term)}, ''))) DIV {len(term)})"
 
 
-def literal_array(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+def found_sql(tests: dict[str, str]) -> str:
+    """Array of the names whose SQL test holds."""
+    return "array_compact(array(" + ", ".join(f"IF({test}, {quote(name)}, NULL)" for name, test in tests.items()) + "))"
+
 
+def strings_sql(values: Sequence[str]) -> str:
+    return "array(" + ", ".join(quote(v) for v in values) + ")"
 
-def first_best(scores: dict[str, Column]) -> tuple[Column, Column]:
-    """(name of the highest score, that score); the first name wins ties."""
-    values = F.array(*scores.values())
-    top = F.array_max(values)
-    return F.element_at(literal_array(list(scores)), F.array_position(values, top).cast("int")), top
+
+def map_sql(table: dict[str, str]) -> str:
+    """Literal map; the values are SQL expressions."""
+    return "map(" + ", ".join(f"{quote(k)}, {v}" for k, v in table.items()) + ")"
+
+
+def let_sql(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, evaluated once per row."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def first_best_sql(scores: dict[str, str]) -> str:
+    """struct(name, score, total): the highest score (the first name wins ties) and the sum of all."""
+    values = "array(" + ", ".join(scores.values()) + ")"
+    return let_sql(values, "scores", (
+        f"named_struct('name', {strings_sql(list(scores))}[int(array_position(scores, array_max(scores))) - 1], "
+        "'score', array_max(scores), 'total', aggregate(scores, 0, (total, x) -> total + int(x)))"))
+
+
+def literal_array(values: Sequence[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
 def jaccard(left: Column, right: Column) -> Column:

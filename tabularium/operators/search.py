@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabularium.functions.text import jaccard, literal_array, words
+from tabularium.functions.text import jaccard, let, let_sql, quote, weight_sql, words
 from tabularium.session import new_scratch
 
 # Synonyms, stop words, prefixes and weights that must equal the reference's.
@@ -36,12 +36,15 @@ QUERY_BLOCK = 500
 def query_variations(df: DataFrame, key: str, text: str) -> DataFrame:
     """Original query, one synonym swap, one reformulation, the query without stop words (if different)."""
     query = F.col(text)
-    lowered = words(F.lower(query))
     synonyms = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
-    known = F.transform(lowered, lambda w: F.map_contains_key(synonyms, w))
-    first = F.array_position(known, True)
-    swapped = F.array_join(
-        F.transform(lowered, lambda w, i: F.when(i + 1 == first, synonyms[w]).otherwise(w)), " ")
+
+    def swap_first(tokens: Column) -> Column:
+        known = F.transform(tokens, lambda w: F.map_contains_key(synonyms, w))
+        return let(F.array_position(known, True), lambda first: F.array_join(
+            F.transform(tokens, lambda w, i: F.when(i + 1 == first, synonyms[w]).otherwise(w)), " "))
+
+    lowered = words(F.lower(query))
+    swapped = let(lowered, swap_first)
     reformulated = (
         F.when(query.startswith("find"), F.regexp_replace(query, "^find", "what is"))
         .when(query.startswith("what"), F.regexp_replace(query, "(?s)^(.*?)what is", "$1find"))
@@ -55,6 +58,10 @@ def query_variations(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.posexplode(chosen).alias("variation", "query"))
 
 
+def _literal(value) -> str:
+    return quote(value) if isinstance(value, str) else str(value)
+
+
 def _in_blocks(queries: DataFrame, run: Callable[[list[Row]], DataFrame], block: int = QUERY_BLOCK) -> DataFrame:
     """Run a search for at most ``block`` queries at a time, so query literals stay bounded."""
     rows = queries.limit(block + 1).collect()
@@ -128,19 +135,17 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, n: int, text: str = "t
     """Share of query terms that occur in the chunk; queries(query_id, variation, query)."""
 
     def run(rows: list[Row]) -> DataFrame:
-        body = F.lower(F.col(text))
         entries = []
         for r in rows:
             terms = r["query"].lower().split()
-            if not terms:
-                continue
-            found = sum((body.contains(term).cast("int") for term in terms), F.lit(0))
-            score = found / F.lit(len(terms))
-            entries.append(F.when(found > 0, F.struct(
-                F.lit(r["query_id"]).alias("query_id"), F.lit(r["variation"]).cast("int").alias("variation"),
-                score.alias("relevance"))))
-        scored = chunks.select("resource_id", "chunk_id", F.explode(F.array_compact(F.array(*entries))).alias("hit"))
-        return scored.select("hit.*", "resource_id", "chunk_id")
+            if terms:
+                found = f"int({weight_sql('__body', terms, 1)})"
+                hit = (f"named_struct('query_id', {_literal(r['query_id'])}, 'variation', {int(r['variation'])}, "
+                       f"'relevance', found / {len(terms)})")
+                entries.append(let_sql(found, "found", f"IF(found > 0, {hit}, NULL)"))
+        lowered = chunks.select("resource_id", "chunk_id", F.lower(F.col(text)).alias("__body"))
+        hits = F.explode(F.expr(f"array_compact(array({', '.join(entries)}))"))
+        return lowered.select("resource_id", "chunk_id", hits.alias("hit")).select("hit.*", "resource_id", "chunk_id")
 
     return _best(_first_seen(_in_blocks(queries, run), []), n)
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.functions.text import FLAGS, SPACE, col, strip, words
+from tabularium.functions.text import FLAGS, SPACE, col, let, strip, words
 
 # Limits that must equal the reference's.
 MIN_LINES, EDGE_LINES, SHORT_LINE, TINY_LINE = 5, 2, 20, 5
@@ -16,16 +17,21 @@ CHUNK_WORDS, OVERLAP_WORDS, MIN_CHUNK_CHARS = 512, 50, 50
 
 def remove_headers_footers(text: Column | str) -> Column:
     """Drop page-like or tiny lines among the first and last two lines of longer texts."""
-    lines = F.split(col(text), "\n", -1)
-    n = F.size(lines)
+    def without_edges(lines: Column) -> Column:
+        def keep(n: Column) -> Callable[[Column, Column], Column]:
+            def test(line: Column, i: Column) -> Column:
+                bare = strip(line)
+                at_edge = (i < EDGE_LINES) | (i >= n - EDGE_LINES)
+                page_like = bare.startswith("Page ") | bare.rlike(r"^\p{Nd}+$") | (F.length(bare) < TINY_LINE)
+                return ~(at_edge & (F.length(bare) < SHORT_LINE) & page_like)
 
-    def keep(line: Column, i: Column) -> Column:
-        bare = strip(line)
-        at_edge = (i < EDGE_LINES) | (i >= n - EDGE_LINES)
-        page_like = bare.startswith("Page ") | bare.rlike(r"^\p{Nd}+$") | (F.length(bare) < TINY_LINE)
-        return ~(at_edge & (F.length(bare) < SHORT_LINE) & page_like)
+            return test
 
-    return F.when(n > MIN_LINES, F.array_join(F.filter(lines, keep), "\n")).otherwise(col(text))
+        return let(F.size(lines), lambda n: F.array_join(F.filter(lines, keep(n)), "\n"))
+
+    trimmed = let(F.split(col(text), "\n", -1), without_edges)
+    newlines = F.length(col(text)) - F.length(F.replace(col(text), F.lit("\n"), F.lit("")))
+    return F.when(newlines >= MIN_LINES, trimmed).otherwise(col(text))
 
 
 def remove_page_numbers(text: Column | str) -> Column:
@@ -61,20 +67,20 @@ def word_chunks(
     """
     text = col(text)
     stride = max(size - overlap, 1)
-    tokens = words(text)
-    windows = F.when(F.size(tokens) <= size, 1).otherwise(1 + F.ceil((F.size(tokens) - size) / F.lit(stride)))
-    pieces = F.transform(
-        F.sequence(F.lit(0), windows.cast("int") - 1),
-        lambda i: F.array_join(F.slice(tokens, i * stride + 1, size), " "),
-    )
-    long_enough = F.filter(pieces, lambda p: F.length(p) >= min_chars)
-    whole = F.when(strip(text) != "", F.array(strip(text))).otherwise(F.array().cast("array<string>"))
-    short = F.when(strip(text) != "", F.array(text)).otherwise(F.array().cast("array<string>"))
-    return (
-        F.when(F.length(text) < min_chars, short)
-        .when(F.size(long_enough) > 0, long_enough)
-        .otherwise(whole)
-    )
+
+    def pieces(tokens: Column) -> Column:
+        windows = F.when(F.size(tokens) <= size, 1).otherwise(1 + F.ceil((F.size(tokens) - size) / F.lit(stride)))
+        return F.transform(
+            F.sequence(F.lit(0), windows.cast("int") - 1),
+            lambda i: F.array_join(F.slice(tokens, i * stride + 1, size), " "),
+        )
+
+    kept = F.filter(let(words(text), pieces), lambda p: F.length(p) >= min_chars)
+    nothing = F.array().cast("array<string>")
+    short = F.when(strip(text) != "", F.array(text)).otherwise(nothing)
+    whole = F.when(strip(text) != "", F.array(strip(text))).otherwise(nothing)
+    long = let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(whole))
+    return F.when(F.length(text) < min_chars, short).otherwise(long)
 
 
 @dataclass
@@ -88,9 +94,10 @@ class CleanDocuments:
         return chunk_table(self.table, self.key, "cleaned", **sizes)
 
     def stats(self, original: str) -> DataFrame:
-        return self.table.select(
+        counted = self.table.withColumn("__chunks", word_chunks("cleaned"))
+        return counted.select(
             self.key, F.length(original).alias("original_length"), F.length("cleaned").alias("final_length"),
-            F.size(word_chunks("cleaned")).alias("chunks_created"),
+            F.size("__chunks").alias("chunks_created"),
         )
 
 

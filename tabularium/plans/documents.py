@@ -430,8 +430,8 @@ SELECT event_id, score, CASE WHEN score <= 2 THEN 'low' WHEN score <= 5 THEN 'me
   + CASE WHEN contains(q, 'order by') THEN 1 ELSE 0 END + CASE WHEN {sql_any('q', labels.FILTER_TERMS)} THEN 1 ELSE 0 END
   AS score FROM (SELECT event_id, lower({SQL_LOG}) AS q FROM events))""")
 def _(t):
-    score, level = labels.sql_complexity("statement")
-    return sql_log(t).select("event_id", score.alias("score"), level.alias("level"))
+    rated = sql_log(t).select("event_id", labels.sql_complexity("statement").alias("rated"))
+    return rated.select("event_id", "rated.score", "rated.level")
 
 
 def _unsafe_sql(text: str) -> str:
