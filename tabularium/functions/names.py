@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 # Keyword lists per semantic type, in evaluation order; must equal the reference's.
 SEMANTIC_KEYWORDS = [
@@ -20,6 +21,7 @@ SEMANTIC_KEYWORDS = [
 ]
 
 
+@lru_cache(maxsize=10_000)
 def snake_case(name: str) -> str:
     """Lower-case words joined by single underscores."""
     return re.sub(r"[\W_]+", "_", name.lower()).strip("_")

@@ -58,19 +58,19 @@ CHUNKED = f"""(SELECT doc_id, original, text, CASE
 
 @query("remove_headers_footers", "C12", f"SELECT doc_id, {HEADERS} AS text FROM documents")
 def _(t):
-    return t.documents.select("doc_id", text_cleaning.remove_headers_footers("text").alias("text"))
+    return t.spread("documents").select("doc_id", text_cleaning.remove_headers_footers("text").alias("text"))
 
 
 @query("remove_page_numbers", "C13", f"SELECT doc_id, {PAGES} AS text FROM documents")
 def _(t):
-    return t.documents.select("doc_id", text_cleaning.remove_page_numbers("text").alias("text"))
+    return t.spread("documents").select("doc_id", text_cleaning.remove_page_numbers("text").alias("text"))
 
 
 @query("normalize_whitespace", "C14", rf"""
 SELECT doc_id, {LAYOUT} AS layout,
   regexp_replace(regexp_replace(text, '{WS}+', ' ', 'g'), {STRIP}) AS flat FROM documents""")
 def _(t):
-    return t.documents.select(
+    return t.spread("documents").select(
         "doc_id", text_cleaning.normalize_whitespace("text").alias("layout"),
         text_cleaning.normalize_whitespace("text", preserve_layout=False).alias("flat"))
 
@@ -80,21 +80,21 @@ SELECT doc_id, i - 1 AS chunk_index, doc_id || '_chunk_' || (i - 1) AS chunk_id,
   length(chunks[i]) // 4 AS token_count FROM (SELECT doc_id, chunks, unnest(range(1, len(chunks) + 1)) AS i
 FROM {CHUNKED.replace("SOURCE", "(SELECT doc_id, text AS original, text FROM documents)")})""")
 def _(t):
-    return text_cleaning.chunk_table(t.documents, "doc_id", "text")
+    return text_cleaning.chunk_table(t.spread("documents"), "doc_id", "text")
 
 
 @query("clean_text_stats", "C16, C17", f"""
 SELECT doc_id, length(original) AS original_length, length(text) AS final_length, len(chunks) AS chunks_created
 FROM {CHUNKED.replace("SOURCE", CLEANED)}""")
 def _(t):
-    return text_cleaning.clean_documents(t.documents, "doc_id", "text").stats("text")
+    return text_cleaning.clean_documents(t.spread("documents"), "doc_id", "text").stats("text")
 
 
 @query("clean_text_chunks", "C16", f"""
 SELECT doc_id, len(chunks) AS chunks, md5(array_to_string(chunks, '|')) AS digest
 FROM {CHUNKED.replace("SOURCE", CLEANED)}""")
 def _(t):
-    cleaned = text_cleaning.clean_documents(t.documents, "doc_id", "text").table
+    cleaned = text_cleaning.clean_documents(t.spread("documents"), "doc_id", "text").table
     chunks = text_cleaning.word_chunks("cleaned")
     return cleaned.select("doc_id", F.size(chunks).alias("chunks"), F.md5(F.array_join(chunks, "|")).alias("digest"))
 
@@ -105,12 +105,12 @@ SELECT doc_id, len(s) AS sentences, md5(array_to_string(s, '|')) AS digest FROM
 FROM documents)""")
 def _(t):
     parts = chunking.sentences("text")
-    return t.documents.select(
+    return t.spread("documents").select(
         "doc_id", F.size(parts).alias("sentences"), F.md5(F.array_join(parts, "|")).alias("digest"))
 
 
 def _chunked(strategy):
-    return lambda t: chunking.chunk_documents(t.documents, "doc_id", "text", strategy)
+    return lambda t: chunking.chunk_documents(t.spread("documents"), "doc_id", "text", strategy)
 
 
 for _strategy, _row in (("sentence", "R2"), ("semantic", "R3"), ("fixed", "R4"), ("paragraph", "R5")):
@@ -124,7 +124,7 @@ SELECT source AS resource_id, sum(len(chunks))::BIGINT AS chunks, sum(list_sum(l
 GROUP BY ROLLUP (source)""")
 def _(t):
     chunks = text_cleaning.chunk_table(
-        t.documents.withColumn("key", F.struct("doc_id", "source").cast("string")), "key", "text")
+        t.spread("documents").withColumn("key", F.struct("doc_id", "source").cast("string")), "key", "text")
     owner = F.regexp_extract("key", r", (.*)\}$", 1)
     return search.corpus_statistics(chunks.select(owner.alias("resource_id"), "token_count"))
 
@@ -153,13 +153,13 @@ f AS (SELECT conv_id, turn, list_filter(opts, lambda v, i: i = 1 OR (v <> '' AND
 SELECT conv_id || '-' || turn AS query_id, i - 1 AS variation, v[i] AS query
 FROM (SELECT conv_id, turn, v, unnest(range(1, len(v) + 1)) AS i FROM f)""")
 def _(t):
-    asked = t.conversations.where("role = 'user'").select(
+    asked = t.spread("conversations").where("role = 'user'").select(
         F.concat_ws("-", "conv_id", "turn").alias("query_id"), "text")
     return search.query_variations(asked, "query_id", "text")
 
 
 def vector_chunks(t):
-    return t.embeddings.select(
+    return t.spread("embeddings").select(
         F.col("label").alias("resource_id"), F.col("vec_id").alias("chunk_id"), "embedding")
 
 
@@ -234,7 +234,7 @@ def _keyword_sql(n: int) -> str:
 
 
 def document_chunks(t):
-    return t.documents.select(F.col("source").alias("resource_id"), F.col("doc_id").alias("chunk_id"), "text")
+    return t.spread("documents").select(F.col("source").alias("resource_id"), F.col("doc_id").alias("chunk_id"), "text")
 
 
 @query("keyword_search", "R10, R11", f"""
@@ -261,7 +261,7 @@ SELECT query_id, chunk_id, round(relevance, 6) AS relevance FROM (
   FROM s FULL JOIN k ON s.query_id = k.query_id AND s.chunk_id = k.chunk_id)
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, chunk_id) <= 20""")
 def _(t):
-    chunks = t.embeddings.join(t.documents, F.expr("vec_id = doc_id")).select(
+    chunks = t.embeddings.join(t.spread("documents"), F.expr("vec_id = doc_id")).select(
         F.col("label").alias("resource_id"), F.col("vec_id").alias("chunk_id"), "embedding", "text")
     texts = t.spark.createDataFrame(LABELLED, "query_id int, variation int, query string")
     vectors = centroid_queries(t).where("query_id < 3")
@@ -271,7 +271,7 @@ def _(t):
 
 @query("mmr_search", "R13")
 def _(t):
-    chunks = t.embeddings.join(t.documents, F.expr("vec_id = doc_id")).select(
+    chunks = t.embeddings.join(t.spread("documents"), F.expr("vec_id = doc_id")).select(
         F.col("label").alias("resource_id"), F.col("vec_id").alias("chunk_id"), "embedding", "text")
     return search.mmr_search(centroid_queries(t), chunks, 5)
 
@@ -286,7 +286,7 @@ SELECT conv_id, turn, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0
   ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS similarity FROM w""")
 def _(t):
     from tabularium.functions.ordered import with_previous
-    turns = t.conversations.select("conv_id", "turn", "text")
+    turns = t.spread("conversations").select("conv_id", "turn", "text")
     paired = with_previous(turns, ["conv_id"], "turn", {"earlier": "text"}, 1024).where("earlier IS NOT NULL")
     return paired.select("conv_id", "turn", F.round(search.text_similarity("text", "earlier"), 6).alias("similarity"))
 
@@ -313,7 +313,7 @@ SELECT doc_id, (contains(lower(text), 'the')::INT + contains(lower(text), 'ation
 WHERE contains(lower(text), 'the') OR contains(lower(text), 'ation') OR contains(lower(text), 'la')""".replace(
     "AS score", "AS raw").replace("SELECT doc_id, (", "SELECT doc_id, round((").replace("/ 3 AS raw", "/ 3, 6) AS score"))
 def _(t):
-    scored = t.documents.select("doc_id", labels.keyword_score("text", "the ation LA").alias("score"))
+    scored = t.spread("documents").select("doc_id", labels.keyword_score("text", "the ation LA").alias("score"))
     return scored.where("score > 0").withColumn("score", F.round("score", 6))
 
 
@@ -323,7 +323,7 @@ ASKED = "(SELECT conv_id, turn, text, lower(text) AS q FROM conversations WHERE
 
 
 def asked(t):
-    return t.conversations.where("role = 'user'")
+    return t.spread("conversations").where("role = 'user'")
 
 
 @query("query_type", "N1", f"""
@@ -353,7 +353,7 @@ INTENTS = f"""(SELECT conv_id, turn, text, q, CASE WHEN top = 0 AND earlier THEN
 
 @query("query_intent", "N2", f"SELECT conv_id, turn, intent, round(confidence, 6) AS confidence FROM {INTENTS}")
 def _(t):
-    labelled = labels.with_intent(labels.user_queries(t.conversations), "text", F.col("has_history"))
+    labelled = labels.with_intent(labels.user_queries(t.spread("conversations")), "text", F.col("has_history"))
     return labelled.select("conv_id", "turn", "intent", F.round("confidence", 6).alias("confidence"))
 
 
@@ -395,7 +395,7 @@ SELECT conv_id, turn, array_to_string(list_sort({_word_list_sql('q', ENTITY_PATT
     AS times, array_to_string(list_sort(list_distinct({COMPARE_SQL})), ',') AS compared,
   {IDENTIFIER_SQL} AS identifier FROM (SELECT conv_id, turn, text, lower(text) AS q FROM conversations)""")
 def _(t):
-    return t.conversations.select(
+    return t.spread("conversations").select(
         "conv_id", "turn", F.array_join(labels.entities("text"), ",").alias("entities"),
         F.array_join(labels.temporal_references("text"), ",").alias("times"),
         F.array_join(labels.comparison_targets("text"), ",").alias("compared"),
@@ -407,7 +407,7 @@ SELECT conv_id, turn, (NOT earlier AND list_has_any(w, ['it', 'that', 'this', 't
   OR (len(w) < 3 AND NOT {sql_any('q', labels.REQUEST_VERBS)}) OR len({_word_list_sql('q', ENTITY_PATTERNS)}) > 3 AS unclear
 FROM (SELECT *, list_filter(string_split_regex(q, '{WS}+'), lambda x: x <> '') AS w FROM {INTENTS})""")
 def _(t):
-    queries = labels.user_queries(t.conversations)
+    queries = labels.user_queries(t.spread("conversations"))
     return queries.select("conv_id", "turn", labels.needs_clarification("text", F.col("has_history")).alias("unclear"))
 
 
@@ -447,7 +447,7 @@ def _(t):
 
 @query("unsafe_text", "P11", f"SELECT conv_id, turn, {_unsafe_sql('text')} AS found FROM conversations")
 def _(t):
-    return t.conversations.select("conv_id", "turn", F.array_join(labels.unsafe_sql("text"), " ").alias("found"))
+    return t.spread("conversations").select("conv_id", "turn", F.array_join(labels.unsafe_sql("text"), " ").alias("found"))
 
 
 def _persona_score(parts: dict) -> str:
@@ -465,7 +465,7 @@ SELECT conv_id, turn, [{PERSONA_NAMES}][list_position(s, list_max(s))] AS person
   round(list_max(s) / greatest(list_sum(s), 1), 6) AS persona_confidence
 FROM (SELECT conv_id, turn, [{PERSONA_SCORES}] AS s FROM (SELECT *, lower(text) AS q FROM conversations))""")
 def _(t):
-    labelled = labels.with_persona(t.conversations, "text")
+    labelled = labels.with_persona(t.spread("conversations"), "text")
     return labelled.select("conv_id", "turn", "persona", F.round("persona_confidence", 6).alias("persona_confidence"))
 
 
@@ -492,7 +492,7 @@ SELECT doc_id, [{SECTOR_NAMES}][p] AS sector, list_max(s) AS sector_score,
 FROM (SELECT doc_id, q, s, list_position(s, list_max(s)) AS p FROM (
   SELECT doc_id, q, [{SECTOR_SCORES}] AS s FROM (SELECT doc_id, lower(text) AS q FROM documents)))""")
 def _(t):
-    labelled = labels.with_sector(t.documents, "text")
+    labelled = labels.with_sector(t.spread("documents"), "text")
     return labelled.select(
         "doc_id", "sector", "sector_score", F.array_join("sector_metrics", ",").alias("metrics"),
         F.array_join(labels.opportunities("text", F.col("sector")), ",").alias("opportunities"))
@@ -509,7 +509,7 @@ SELECT category, {SEVERITY_CHAIN} AS severity, count(*) AS errors,
   round(count(*) FILTER (role = 'assistant') * 100.0 / count(*), 4)::DOUBLE AS recovery_rate
 FROM (SELECT role, {ERROR_CHAIN} AS category FROM (SELECT role, lower(text) AS q FROM conversations)) GROUP BY category""")
 def _(t):
-    return labels.error_statistics(t.conversations, "text", F.col("role") == "assistant")
+    return labels.error_statistics(t.spread("conversations"), "text", F.col("role") == "assistant")
 
 
 @query("missing_common_fields", "Q16", f"""
@@ -520,10 +520,10 @@ SELECT doc_id, array_to_string(list_filter([{", ".join(
   {sql_any('q', labels.SKILL_WORDS)} AS has_skills FROM (SELECT doc_id, lower(text) AS q FROM documents)""")
 def _(t):
     flags = [value.alias(name) for name, value in labels.presence_flags("text").items()]
-    return t.documents.select("doc_id", F.array_join(labels.missing_fields("text"), ",").alias("missing"), *flags)
+    return t.spread("documents").select("doc_id", F.array_join(labels.missing_fields("text"), ",").alias("missing"), *flags)
 
 
 @query("stripped_lines", "C1", f"""
 SELECT conv_id, turn, regexp_replace(text, {STRIP}) AS text FROM conversations""")
 def _(t):
-    return t.conversations.select("conv_id", "turn", strip("text").alias("text"))
+    return t.spread("conversations").select("conv_id", "turn", strip("text").alias("text"))
