@@ -1,4 +1,4 @@
 """Registered queries; importing this package fills the registry."""
 
-from tabularium.plans import analytics, documents, governance, nested, relational, tabular  # noqa: F401
+from tabularium.plans import analytics, documents, governance, nested, relational, synthesis, tabular  # noqa: F401
 from tabularium.plans.registry import REGISTRY  # noqa: F401
