@@ -48,7 +48,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def schema_rows(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """One row per column: table, ordinal, column, type, nullable."""
     rows = [
-        (name, i, f.name, f.dataType.simpleString(), f.nullable)
+        (name, i, f.name, type_name(f.dataType), f.nullable)
         for name, df in tables.items() for i, f in enumerate(df.schema.fields)
     ]
     return spark.createDataFrame(rows, "`table` string, ordinal int, `column` string, type string, nullable boolean")

@@ -94,7 +94,7 @@ def _(t):
     good, bad = files.read_many(t.spark, folders, schema, file_pattern=r"o_orderstatus=([^/]+)/")
     rows = good.groupBy(F.col("source_file").alias("o_orderstatus")).agg(F.count(F.lit(1)).alias("good_rows"))
     rejects = bad.groupBy(F.col("source_file").alias("o_orderstatus")).agg(F.count(F.lit(1)).alias("rejected"))
-    return rows.join(rejects, "o_orderstatus")
+    return rows.join(rejects, "o_orderstatus", "left").na.fill(0, ["rejected"])
 
 
 @query("file_manifest", "S10")

@@ -191,13 +191,6 @@ def _(t):
     return _rounded_summary(t.events.select("value"))
 
 
-@query("schema_rows", "Q3")
-def _(t):
-    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
-             "embeddings", "pages", "benchmark", "labels", "conversations"]
-    return profiling.schema_rows(t.spark, {name: getattr(t, name) for name in names})
-
-
 @query("distinct_counts", "A25", """
 SELECT 'l_partkey' AS field, count(DISTINCT l_partkey) AS unique_values FROM lineitem
 UNION ALL SELECT 'l_suppkey', count(DISTINCT l_suppkey) FROM lineitem
@@ -222,6 +215,24 @@ TABLE_FIELDS = {
     "conversations": {"conv_id": "integer", "turn": "integer", "role": "string", "text": "string"},
     "documents": {"doc_id": "integer", "text": "string", "lang": "string", "source": "string", "n_chars": "integer"},
 }
+SCHEMA_SQL = "\nUNION ALL ".join(
+    f"""SELECT '{table}' AS "table", {i} AS ordinal, '{c}' AS "column", '{kind}' AS type, count(*) AS rows, count({c}) AS filled
+FROM {table}""" for table, fields in TABLE_FIELDS.items() for i, (c, kind) in enumerate(fields.items()))
+
+
+@query("schema_rows", "Q3", SCHEMA_SQL)
+def _(t):
+    tables = {name: getattr(t, name) for name in TABLE_FIELDS}
+    schema = profiling.schema_rows(t.spark, tables)
+    filled = None
+    for name, df in tables.items():
+        counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in df.columns])
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("filled")) for c in df.columns])
+        rows = counts.select(F.lit(name).alias("table"), "rows", F.explode(cells).alias("x")).select("table", "rows", "x.*")
+        filled = rows if filled is None else filled.unionByName(rows)
+    return schema.join(filled, ["table", "column"]).select("table", "ordinal", "column", "type", "rows", "filled")
+
+
 SEMANTIC_SQL = {
     "c_custkey": "identifier", "c_name": "name", "c_nationkey": "identifier", "s_suppkey": "identifier",
     "s_name": "name", "s_nationkey": "identifier", "p_partkey": "identifier", "p_name": "name", "p_type": "category",
