@@ -14,8 +14,13 @@ from pyspark.sql import types as T
 
 from tabularium.functions.names import unique_snake_case
 
-# Date formats and boolean words that must equal the reference's.
-DATE_FORMATS = ["yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy-MM-dd HH:mm:ss"]
+# Date formats (with the shape a text must have) and boolean words; must equal the reference's.
+DATE_FORMATS = ["yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "yyyy-M-d H:m:s"]
+DATE_SHAPES = {
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$", "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$", "yyyy-M-d H:m:s": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$",
+}
+GENERAL_SHAPE = r"^\s*\d{4,}-\d{1,2}"
 TRUE_WORDS = ["true", "1", "yes"]
 FALSE_WORDS = ["false", "0", "no"]
 
@@ -105,8 +110,10 @@ def as_number(value: Column) -> Column:
 
 
 def as_time(value: Column, date_format: str | None) -> Column:
+    """Parsed time or null; only texts of the right shape reach the parser, whose failures are costly."""
     parsed = F.try_to_timestamp(value, F.lit(date_format)) if date_format else value.try_cast("timestamp")
-    return parsed.cast("timestamp_ntz")
+    shape = DATE_SHAPES[date_format] if date_format else GENERAL_SHAPE
+    return F.when(value.rlike(shape), parsed.cast("timestamp_ntz"))
 
 
 def as_boolean(value: Column) -> Column:

@@ -47,14 +47,19 @@ DEEP, MANY_FIELDS, NESTED, SOME_FIELDS = 4, 100, 2, 50
 
 # ---- leaves ------------------------------------------------------------------------------------
 
+AS_OBJECT = "try_variant_get({0}, '$', 'map<string,variant>')"
+
+
 def deepest_nesting(df: DataFrame, text: str) -> int:
-    """Largest number of nested objects and arrays in any document, from its schema text."""
-    brackets = F.regexp_replace(F.expr(f"schema_of_variant(try_parse_json(`{text}`))"), "`[^`]*`|[^<>]", "")
+    """Largest number of nested objects and arrays in any document, from the brackets outside strings."""
+    bare = F.replace(F.replace(F.col(text), F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    outside = F.array_join(F.filter(F.split(bare, '"'), lambda part, i: i % 2 == 0), "")
+    brackets = F.regexp_replace(outside, r"[^\[\]{}]", "")
     step = F.aggregate(
         F.split(brackets, ""), F.struct(F.lit(0).alias("open"), F.lit(0).alias("top")),
         lambda a, c: F.struct(
-            (a["open"] + F.when(c == "<", 1).when(c == ">", -1).otherwise(0)).alias("open"),
-            F.greatest(a["top"], a["open"] + F.when(c == "<", 1).otherwise(0)).alias("top")),
+            (a["open"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)).alias("open"),
+            F.greatest(a["top"], a["open"] + F.when(c.isin("{", "["), 1).otherwise(0)).alias("top")),
         lambda a: a["top"])
     return df.agg(F.max(step)).first()[0] or 1
 
@@ -75,11 +80,11 @@ def json_leaves(
     root = df.select(
         F.col(key).alias("key"), F.try_parse_json(text).alias("v"), F.lit("").alias("path"), F.lit("").alias("name"),
         F.array().cast("array<int>").alias("order"), F.lit(0).alias("depth"),
-    ).where("schema_of_variant(v) LIKE 'OBJECT%'")
+    ).where(f"{AS_OBJECT.format('v')} IS NOT NULL")
     spark = df.sparkSession
     skipped = ", ".join(f"'{k}'" for k in SYSTEM_KEYS)
-    array_test = "kind LIKE 'ARRAY<%'" if every_array else (
-        "kind LIKE 'ARRAY<%' AND coalesce(schema_of_variant(try_variant_get(v, '$[0]', 'variant')) LIKE 'OBJECT%', false)")
+    first_is_object = f"{AS_OBJECT.format('get(items, 0)')} IS NOT NULL"
+    array_test = "size(items) > 0" if every_array else first_is_object
     kept = "inner_pos IS NOT NULL OR NOT (is_object OR is_array)" + (" OR true" if keep_empty else "")
     cut = f"AND NOT (is_array AND inner_pos >= {items})" if items is not None else ""
     frontier = root
@@ -91,13 +96,14 @@ def json_leaves(
               coalesce(inner_key, name) AS name,
               CASE WHEN inner_pos IS NULL THEN `order` ELSE array_append(`order`, inner_pos) END AS `order`,
               CASE WHEN inner_pos IS NULL THEN depth ELSE depth + 1 END AS depth
-            FROM (SELECT *, kind LIKE 'OBJECT%' AS is_object, {array_test} AS is_array FROM (
-                    SELECT *, schema_of_variant(v) AS kind FROM {{frontier}})),
+            FROM (SELECT *, {AS_OBJECT.format('v')} IS NOT NULL AS is_object,
+                    coalesce({array_test}, false) AS is_array
+                  FROM (SELECT *, try_variant_get(v, '$', 'array<variant>') AS items FROM {{frontier}})),
             LATERAL variant_explode_outer(CASE WHEN is_object OR is_array THEN v END) AS t(inner_pos, inner_key, inner_value)
             WHERE ({kept}) AND coalesce(inner_key, '') NOT IN ({skipped}) {cut}
         """, frontier=frontier)
     kind = F.expr("schema_of_variant(v)")
-    deeper = kind.startswith("OBJECT<") & ~(kind == "OBJECT<>")
+    deeper = F.expr(f"coalesce(size({AS_OBJECT.format('v')}) > 0, false)")
     value = F.when(deeper, F.raise_error(F.lit(f"document is nested deeper than {max_depth} levels")).cast("string")
                    ).otherwise(F.expr("try_variant_get(v, '$', 'string')"))
     label = (

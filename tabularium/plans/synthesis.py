@@ -70,7 +70,7 @@ MAPPED = ["customer", "orders", "lineitem"]
 
 
 def profile(t):
-    return reduce(DataFrame.unionByName, [profiling.field_profile(df, n, exact=False) for n, df in _tables(t, MAPPED).items()])
+    return reduce(DataFrame.unionByName, [profiling.field_profile(df, n, exact=False) for n, df in ((n, t.spread(n)) for n in MAPPED)])
 
 
 def _semantic(name: str) -> str:

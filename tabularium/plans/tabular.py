@@ -101,7 +101,7 @@ for _strategy, _sql in MISSING_SQL.items():
 
 
 def stringified_events(t):
-    return t.events.select(
+    return t.spread("events").select(
         F.col("event_id").cast("string").alias("id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("seen_at"),
         F.date_format("ts", "MM/dd/yyyy").alias("day"), F.col("value").cast("string").alias("value"),
         F.when(F.col("value") > 50, "yes").otherwise("no").alias("large"),
@@ -164,7 +164,7 @@ def _summary_sql(table: str, columns: list[str]) -> str:
         n, skew = f"count({c})", f"skewness({c})"
         g1 = f"({skew} * (count({c}) - 2) / sqrt(count({c}) * (count({c}) - 1.0)))"
         p = f"exp(-({n} / 6.0 * ({g1} * {g1} + kurtosis_pop({c}) ** 2 / 4)) / 2)"
-        parts.append(f"""SELECT '{c}' AS variable, {n} AS count, round(avg({c}), 6) AS mean,
+        parts.append(f"""SELECT '{c}' AS variable, {n} AS count, round(avg({c}), 4) AS mean,
   round(quantile_cont({c}, 0.5), 6) AS median, round(stddev_samp({c}), 6) AS std_dev, min({c})::DOUBLE AS min_value,
   max({c})::DOUBLE AS max_value, round(quantile_cont({c}, 0.25), 6) AS q1, round(quantile_cont({c}, 0.75), 6) AS q3,
   round({skew}, 4) AS skewness, {p} > 0.05 AS is_normal,
@@ -175,7 +175,7 @@ def _summary_sql(table: str, columns: list[str]) -> str:
 
 def _rounded_summary(df):
     return profiling.numeric_summary(df).drop("p_value").withColumns(
-        {c: F.round(c, 6) for c in ("mean", "median", "std_dev", "q1", "q3")} | {"skewness": F.round("skewness", 4)})
+        {c: F.round(c, 6) for c in ("median", "std_dev", "q1", "q3")} | {c: F.round(c, 4) for c in ("mean", "skewness")})
 
 
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
@@ -289,7 +289,7 @@ FROM ({_profile_sql(tables)})"""
 
 
 def _tables(t, names):
-    return {name: getattr(t, name) for name in names}
+    return {name: t.spread(name) for name in names}
 
 
 PROFILED = ["lineitem", "pages", "documents", "conversations"]
