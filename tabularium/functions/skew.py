@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 20_000
 
@@ -35,7 +36,8 @@ def salted_join(
     """Spread every key of ``big`` over ``salts`` tasks; ``small`` (one row per key) is repeated."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("only joins that keep rows of the left side can be salted")
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int")
+    hashable = [f.name for f in big.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashable]), F.lit(salts)).cast("int")
     left = big.withColumn("__salt", salt)
     right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "__salt"], how).drop("__salt")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabularium.functions.skew import join_checked
+
 # Permission names and the two permission maps must equal the reference's.
 ACTION_PERMISSIONS = {
     "view": ["read"],
@@ -80,7 +82,8 @@ def check_requests(requests: DataFrame, users: DataFrame, owners: DataFrame) ->
 
     requests(request_id, client_id, user_id, resource_id, action),
     users(client_id, user_id, access_level, is_active, resource_grants map<resource, array<permission>>),
-    owners(client_id, owner_id, resource_id).
+    owners(client_id, owner_id, resource_id). A user or resource may be behind most requests, so both
+    lookups are checked broadcasts with a salted join beyond the bound.
     """
     grants = F.coalesce(F.try_element_at("resource_grants", F.col("resource_id")), F.array().cast("array<string>"))
     held = F.array_union(_permissions(LEVEL_PERMISSIONS, F.col("access_level")), grants)
@@ -94,8 +97,7 @@ def check_requests(requests: DataFrame, users: DataFrame, owners: DataFrame) ->
         .otherwise("Access granted")
     )
     return (
-        requests.join(users, ["client_id", "user_id"], "left")
-        .join(owners, ["client_id", "resource_id"], "left")
+        join_checked(join_checked(requests, users, ["client_id", "user_id"], "left"), owners, ["client_id", "resource_id"], "left")
         .withColumn("reason", reason)
         .withColumn("granted", F.col("reason") == "Access granted")
         .select(*requests.columns, "granted", "reason")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tabularium.functions.names import semantic_type_of_name
 from tabularium.functions.quantiles import exact_quantiles
+from tabularium.functions.text import quote
 from tabularium.functions.time import day_key
 from tabularium.operators.cleaning import NUMBER, quoted
 
@@ -101,27 +102,34 @@ def numeric_summary(df: DataFrame) -> DataFrame:
 LONG_VALUE = 64
 
 
-def _value_frequencies(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
+def _cells(df: DataFrame) -> DataFrame:
+    """(i, text): every value as text beside its column index, one row per cell."""
+    names = [quoted_name(f.name) for f in df.schema.fields]
+    cells = ", ".join(f"named_struct('i', {i}, 'text', CAST({n} AS STRING))" for i, n in enumerate(names))
+    return df.selectExpr(f"explode(array({cells})) AS x").selectExpr("x.i", "x.text")
+
+
+def quoted_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _value_frequencies(df: DataFrame, flags: dict[str, str]) -> DataFrame:
     """(column index, value key, flags, n): how often each value occurs in each column.
 
     Rows are unpivoted and counted map-side, so a frequent value costs one row per task. Long values
-    travel as their SHA-256; ``flags`` are expressions over ``text`` taken before the shuffle.
+    travel as their SHA-256; ``flags`` are SQL expressions over ``text`` taken before the shuffle.
     """
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("i"), quoted(f.name).cast("string").alias("text"))
-        for i, f in enumerate(df.schema.fields)
-    ])
-    key = F.when(F.length("text") > LONG_VALUE, F.sha2("text", 256)).otherwise(F.col("text"))
-    return (
-        df.select(F.explode(cells).alias("x")).select("x.i", "x.text")
-        .select("i", key.alias("key"), *[value.alias(name) for name, value in flags.items()])
-        .groupBy("i", "key", *flags).agg(F.count(F.lit(1)).alias("n"))
-    )
+    key = f"IF(length(text) > {LONG_VALUE}, sha2(text, 256), text) AS key"
+    flagged = _cells(df).selectExpr("i", key, *[f"{test} AS `{name}`" for name, test in flags.items()])
+    return flagged.groupBy("i", "key", *flags).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _per_column(df: DataFrame, values: Sequence) -> Column:
-    """Literal looked up by column index."""
-    return F.get(F.array(*[F.lit(v) for v in values]), F.col("i"))
+def _by_column(values: Sequence) -> str:
+    """SQL literal looked up by column index."""
+    def literal(v) -> str:
+        return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else quote(v)
+
+    return f"get(array({', '.join(literal(v) for v in values)}), i)"
 
 
 def field_profile(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
@@ -130,68 +138,47 @@ def field_profile(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
     ``exact=False`` replaces the distinct counts by HyperLogLog sketches, which saves the only
     shuffle that grows with the data.
     """
+    names = [f.name for f in df.schema.fields]
     kinds = [type_name(f.dataType) for f in df.schema.fields]
-    text = F.col("text")
-    scalar = _per_column(df, [k not in ("array", "mixed") for k in kinds])
+    scalar = _by_column([k not in ("array", "mixed") for k in kinds])
+    is_text = _by_column([k == "string" for k in kinds])
+
+    def starts(characters: Sequence[str]) -> str:
+        return f"substring(text, 1, 1) IN ({', '.join(quote(c) for c in characters)})"
+
     # Cheap character tests come first; the regular expressions only see values that pass them.
-    start, fifth, ninth = (F.substring(text, k, 1) for k in (1, 5, 9))
-    form = (
-        F.when(text.isNull(), None).when(start.isin(NUMBER_START) & text.rlike(NUMBER), 0)
-        .when((fifth == "-") & text.rlike(DATE_TEXT), 1)
-        .when(F.lower(text).isin(BOOLEAN_TEXT), 2).otherwise(3)
-    )
+    form = f"""CASE WHEN text IS NULL THEN NULL WHEN {starts(NUMBER_START)} AND text RLIKE {quote(NUMBER)} THEN 0
+        WHEN substring(text, 5, 1) = '-' AND text RLIKE {quote(DATE_TEXT)} THEN 1
+        WHEN lower(text) IN ({', '.join(quote(w) for w in BOOLEAN_TEXT)}) THEN 2 ELSE 3 END"""
     flags = {
-        "length": F.length(text),
-        "form": F.when(_per_column(df, [k == "string" for k in kinds]), form),
-        "email": scalar & text.contains("@") & text.contains("."),
-        "phone": scalar & start.isin(PHONE_START) & (F.length(text) >= PHONE_MIN_LENGTH),
-        "date": scalar & (fifth == "-") & text.rlike(ISO_DATE),
-        "uuid": scalar & (ninth == "-") & text.rlike(UUID),
-        "url": scalar & (text.startswith("http://") | text.startswith("https://")),
+        "length": "length(text)",
+        "form": f"IF({is_text}, {form}, NULL)",
+        "email": f"{scalar} AND contains(text, '@') AND contains(text, '.')",
+        "phone": f"{scalar} AND {starts(PHONE_START)} AND length(text) >= {PHONE_MIN_LENGTH}",
+        "date": f"{scalar} AND substring(text, 5, 1) = '-' AND text RLIKE {quote(ISO_DATE)}",
+        "uuid": f"{scalar} AND substring(text, 9, 1) = '-' AND text RLIKE {quote(UUID)}",
+        "url": f"{scalar} AND (startswith(text, 'http://') OR startswith(text, 'https://'))",
     }
-    counted = _value_frequencies(df, flags)
     if exact:
-        distinct = F.count_if(F.col("key").isNotNull())
+        counted, distinct = _value_frequencies(df, flags), "count_if(key IS NOT NULL)"
     else:
-        cells = F.array(*[
-            F.struct(F.lit(i).alias("i"), quoted(f.name).cast("string").alias("text"))
-            for i, f in enumerate(df.schema.fields)
-        ])
-        counted = (
-            df.select(F.explode(cells).alias("x")).select("x.i", "x.text")
-            .select("i", text.alias("key"), F.lit(1).alias("n"), *[v.alias(k) for k, v in flags.items()])
-        )
-        distinct = F.approx_count_distinct("key")
-
-    def seen(flag: str) -> Column:
-        return F.coalesce(F.bool_or(flag), F.lit(False)).alias(flag)
-
-    row = counted.groupBy("i").agg(
-        F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("key").isNotNull(), F.col("n"))), F.lit(0)).alias("filled"),
-        distinct.alias("unique_values"), F.min("length").alias("shortest"), F.max("length").alias("longest"),
-        *[seen(flag) for flag in ("email", "phone", "date", "uuid", "url")],
-        *[F.sum(F.when(F.col("form") == k, F.col("n")).otherwise(0)).alias(f"form{k}") for k in range(4)],
-    )
-    is_text = _per_column(df, [k == "string" for k in kinds])
-    best = F.greatest(*[F.col(f"form{k}") for k in range(4)])
-    fixed = (F.col("shortest") == F.col("longest")) & (F.col("longest") > 1)
-    patterns = F.array_compact(F.array(
-        F.when(F.col("email"), "email_format"), F.when(F.col("phone"), "phone_format"),
-        F.when(F.col("date"), "iso_date"), F.when(F.col("uuid"), "uuid_format"),
-        F.when(fixed, F.concat(F.lit("fixed_length_"), F.col("longest"))),
-    ))
-    by_value = (
-        F.when(is_text & F.col("email"), "email").when(is_text & F.col("url"), "url")
-        .when(is_text & F.col("phone"), "phone").otherwise("general")
-    )
-    names = [f.name for f in df.schema.fields]
-    return row.select(
-        F.lit(table).alias("table"), _per_column(df, names).alias("field"), _per_column(df, kinds).alias("type"),
-        "total", "filled", "unique_values", ((F.col("total") - F.col("filled")) / F.col("total")).alias("null_rate"),
-        (F.col("unique_values") / F.col("total")).alias("uniqueness"),
-        F.when(is_text & (F.col("filled") > 0), best / F.col("filled")).otherwise(1.0).alias("consistency"),
-        patterns.alias("patterns"),
-        F.coalesce(_per_column(df, [semantic_type_of_name(n) for n in names]), by_value).alias("semantic_type"),
+        counted = _cells(df).selectExpr("i", "text AS key", "1 AS n", *[f"{v} AS `{k}`" for k, v in flags.items()])
+        distinct = "approx_count_distinct(key)"
+    row = counted.groupBy("i").agg(*[F.expr(e) for e in (
+        "sum(n) AS total", "coalesce(sum(n) FILTER (WHERE key IS NOT NULL), 0) AS filled", f"{distinct} AS unique_values",
+        "min(length) AS shortest", "max(length) AS longest",
+        *[f"coalesce(bool_or({flag}), false) AS {flag}" for flag in ("email", "phone", "date", "uuid", "url")],
+        *[f"sum(IF(form = {k}, n, 0)) AS form{k}" for k in range(4)],
+    )])
+    return row.selectExpr(
+        f"{quote(table)} AS table", f"{_by_column(names)} AS field", f"{_by_column(kinds)} AS type", "total", "filled",
+        "unique_values", "(total - filled) / total AS null_rate", "unique_values / total AS uniqueness",
+        f"IF({is_text} AND filled > 0, greatest(form0, form1, form2, form3) / filled, 1.0D) AS consistency",
+        """array_compact(array(IF(email, 'email_format', NULL), IF(phone, 'phone_format', NULL), IF(date, 'iso_date', NULL),
+            IF(uuid, 'uuid_format', NULL), IF(shortest = longest AND longest > 1, concat('fixed_length_', longest), NULL)))
+            AS patterns""",
+        f"""coalesce({_by_column([semantic_type_of_name(n) for n in names])}, CASE WHEN {is_text} AND email THEN 'email'
+            WHEN {is_text} AND url THEN 'url' WHEN {is_text} AND phone THEN 'phone' ELSE 'general' END) AS semantic_type""",
     )
 
 
@@ -264,20 +251,15 @@ def catalog_overview(dimensions: DataFrame, relationships: int) -> DataFrame:
 
 def column_roles(df: DataFrame) -> DataFrame:
     """Numeric (> 70 % of values), categorical (< 50 % distinct, not numeric) and date-named columns."""
-    numeric_type = _per_column(df, [isinstance(f.dataType, T.NumericType) for f in df.schema.fields])
-    text_type = _per_column(df, [isinstance(f.dataType, T.StringType) for f in df.schema.fields])
-    digits = F.regexp_replace("text", "[.-]", "").rlike(r"^\d+$")
-    counted = _value_frequencies(df, {"numeric": numeric_type | (text_type & digits)})
-    present = F.col("key").isNotNull()
-    shares = counted.where(present).groupBy("i").agg(
-        (F.sum(F.when(F.col("numeric"), F.col("n")).otherwise(0)) / F.sum("n") > 0.7).alias("is_numeric"),
-        (F.count(F.lit(1)) / F.sum("n") < 0.5).alias("repeats"),
-    )
+    numeric_type = _by_column([isinstance(f.dataType, T.NumericType) for f in df.schema.fields])
+    text_type = _by_column([isinstance(f.dataType, T.StringType) for f in df.schema.fields])
+    digits = f"{text_type} AND regexp_replace(text, '[.-]', '') RLIKE {quote(r'^\d+$')}"
+    counted = _value_frequencies(df, {"numeric": f"{numeric_type} OR ({digits})"})
+    shares = counted.where("key IS NOT NULL").groupBy("i").agg(
+        F.expr("sum(IF(numeric, n, 0)) / sum(n) > 0.7 AS is_numeric"), F.expr("count(1) / sum(n) < 0.5 AS repeats"))
     dated = [any(w in c.lower() for w in ("date", "time", "created", "updated")) for c in df.columns]
-    return shares.select(
-        _per_column(df, df.columns).alias("field"), "is_numeric",
-        (~F.col("is_numeric") & F.col("repeats")).alias("is_categorical"), _per_column(df, dated).alias("is_date"),
-    )
+    return shares.selectExpr(f"{_by_column(df.columns)} AS field", "is_numeric", "NOT is_numeric AND repeats AS is_categorical",
+                             f"{_by_column(dated)} AS is_date")
 
 
 def category_counts(df: DataFrame, category: str) -> DataFrame:
@@ -300,6 +282,6 @@ def distinct_counts(df: DataFrame, exact: bool = True) -> DataFrame:
     """Number of distinct non-null values per column."""
     if exact:
         rows = _value_frequencies(df, {}).groupBy("i").agg(F.count("key").alias("unique_values"))
-        return rows.select(_per_column(df, df.columns).alias("field"), "unique_values")
+        return rows.selectExpr(f"{_by_column(df.columns)} AS field", "unique_values")
     row = df.agg(*[F.approx_count_distinct(quoted(c)).alias(f"u{i}") for i, c in enumerate(df.columns)])
     return _melt(row, [{"field": F.lit(c), "unique_values": F.col(f"u{i}")} for i, c in enumerate(df.columns)])

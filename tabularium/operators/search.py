@@ -63,91 +63,123 @@ def _literal(value) -> str:
 
 
 def _in_blocks(queries: DataFrame, run: Callable[[list[Row]], DataFrame], block: int = QUERY_BLOCK) -> DataFrame:
-    """Run a search for at most ``block`` queries at a time, so query literals stay bounded."""
+    """Run a search for about ``block`` queries at a time, so query literals stay bounded.
+
+    All variations of a query stay in one block.
+    """
     rows = queries.limit(block + 1).collect()
     if len(rows) <= block:
-        return run(rows)
+        return run(sorted(rows, key=lambda r: (str(r["query_id"]), r["variation"])))
     spark = queries.sparkSession
     path, part, n = new_scratch(spark, "search"), [], 0
-    for row in queries.toLocalIterator():
-        part.append(row)
-        if len(part) == block:
+    for row in queries.orderBy("query_id", "variation").toLocalIterator():
+        if len(part) >= block and row["query_id"] != part[-1]["query_id"]:
             run(part).write.parquet(f"{path}/block={n}")
             part, n = [], n + 1
-    if part:
-        run(part).write.parquet(f"{path}/block={n}")
+        part.append(row)
+    run(part).write.parquet(f"{path}/block={n}")
     return spark.read.parquet(path).drop("block")
 
 
-def _first_seen(hits: DataFrame, order: list) -> DataFrame:
-    """Keep a chunk once per query: the hit of its earliest variation."""
-    seen = W.partitionBy("query_id", "chunk_id").orderBy("variation", *order)
-    return hits.withColumn("__seen", F.row_number().over(seen)).where("__seen = 1").drop("__seen")
+def _best(hits: DataFrame, n: int, *ties: str) -> DataFrame:
+    ranking = W.partitionBy("query_id").orderBy(F.desc("relevance"), *ties, "chunk_id")
+    return hits.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= n)
+
 
+def _scan_vectors(chunks: DataFrame, rows: list[Row], n: int, per_resource: bool, types: dict[str, str]) -> DataFrame:
+    """Distances of all chunks to a block of queries, already cut to the best per Arrow batch.
 
-def _best(hits: DataFrame, n: int) -> DataFrame:
-    ranking = W.partitionBy("query_id").orderBy(F.desc("relevance"), "chunk_id")
-    return hits.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= n)
+    A batch hands on its best ``n`` per query, or per query and resource.
+    """
+    vectors = [(r["query_id"], r["variation"], np.asarray(r["vector"], dtype=np.float64)) for r in rows]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            points = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
+            ids, owners = batch["chunk_id"].to_numpy(), batch["resource_id"].to_numpy()
+            for query_id, variation, vector in vectors:
+                distance = ((points - vector) ** 2).sum(axis=1)
+                if per_resource:
+                    order = np.lexsort((ids, distance))
+                    keep = order[pd.Series(owners[order]).groupby(owners[order], sort=False).cumcount().to_numpy() < n]
+                elif len(distance) > n:
+                    # Ties with the n-th distance stay in; the ranking after the shuffle decides them.
+                    keep = np.flatnonzero(distance <= np.partition(distance, n - 1)[n - 1])
+                else:
+                    keep = np.arange(len(distance))
+                yield pd.DataFrame({"query_id": query_id, "variation": variation, "resource_id": owners[keep],
+                                    "chunk_id": ids[keep], "distance": distance[keep]})
+
+    schema = (f"query_id {types['query_id']}, variation int, resource_id {types['resource_id']}, "
+              f"chunk_id {types['chunk_id']}, distance double")
+    return chunks.select("resource_id", "chunk_id", "embedding").mapInPandas(scan, schema)
+
+
+def _types(queries: DataFrame, chunks: DataFrame) -> dict[str, str]:
+    return {"query_id": queries.schema["query_id"].dataType.simpleString()} | {
+        c: chunks.schema[c].dataType.simpleString() for c in ("resource_id", "chunk_id")}
 
 
 def nearest_chunks(queries: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
     """Per query, variation and resource the ``n`` chunks of smallest squared distance.
 
-    queries(query_id, variation, vector), chunks(resource_id, chunk_id, embedding). Distances are
-    computed per Arrow batch; a batch hands on only its own best ``n`` per query and resource.
+    queries(query_id, variation, vector), chunks(resource_id, chunk_id, embedding).
     """
-    schema = (
-        f"query_id {queries.schema['query_id'].dataType.simpleString()}, variation int, "
-        f"resource_id {chunks.schema['resource_id'].dataType.simpleString()}, "
-        f"chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, distance double"
-    )
+    types = _types(queries, chunks)
+    ranking = W.partitionBy("query_id", "variation", "resource_id").orderBy("distance", "chunk_id")
 
     def run(rows: list[Row]) -> DataFrame:
-        vectors = [(r["query_id"], r["variation"], np.asarray(r["vector"], dtype=np.float64)) for r in rows]
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if batch.empty:
-                    continue
-                points = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-                for query_id, variation, vector in vectors:
-                    found = pd.DataFrame({
-                        "query_id": query_id, "variation": variation, "resource_id": batch["resource_id"].to_numpy(),
-                        "chunk_id": batch["chunk_id"].to_numpy(), "distance": ((points - vector) ** 2).sum(axis=1),
-                    }).sort_values(["distance", "chunk_id"])
-                    yield found.groupby("resource_id", sort=False).head(n)
-
-        hits = chunks.select("resource_id", "chunk_id", "embedding").mapInPandas(scan, schema)
-        ranking = W.partitionBy("query_id", "variation", "resource_id").orderBy("distance", "chunk_id")
+        hits = _scan_vectors(chunks, rows, n, True, types)
         return hits.withColumn("__r", F.row_number().over(ranking)).where(F.col("__r") <= n).drop("__r")
 
     return _in_blocks(queries, run)
 
 
 def semantic_search(queries: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
-    """Best ``n`` chunks per query over all its variations and resources."""
-    hits = nearest_chunks(queries, chunks, n)
-    hits = hits.withColumn("relevance", F.greatest(F.lit(0.0), 1.0 - F.col("distance")))
-    return _best(_first_seen(hits, ["distance"]), n)
+    """Best ``n`` chunks per query over all its variations and resources.
+
+    A chunk found by several variations keeps the hit of the earliest one. Without variations the best
+    chunks overall are the best of the best per resource, so every batch hands on ``n`` rows per query.
+    """
+    types = _types(queries, chunks)
+    relevance = F.greatest(F.lit(0.0), 1.0 - F.col("distance"))
+    per_resource = W.partitionBy("query_id", "variation", "resource_id").orderBy("distance", "chunk_id")
+    seen = W.partitionBy("query_id", "chunk_id").orderBy("variation")
+
+    def run(rows: list[Row]) -> DataFrame:
+        varied = len({r["query_id"] for r in rows}) < len(rows)
+        hits = _scan_vectors(chunks, rows, n, varied, types)
+        if varied:
+            hits = hits.withColumn("__r", F.row_number().over(per_resource)).where(F.col("__r") <= n).drop("__r")
+            hits = hits.withColumn("__s", F.row_number().over(seen)).where("__s = 1").drop("__s")
+        return _best(hits.withColumn("relevance", relevance), n, "distance")
+
+    return _in_blocks(queries, run)
 
 
 def keyword_search(queries: DataFrame, chunks: DataFrame, n: int, text: str = "text") -> DataFrame:
-    """Share of query terms that occur in the chunk; queries(query_id, variation, query)."""
+    """Share of query terms that occur in the chunk; queries(query_id, variation, query).
+
+    All variations are scored on the row, the earliest that hits is kept there, so only ranked rows move.
+    """
 
     def run(rows: list[Row]) -> DataFrame:
-        entries = []
+        by_query: dict = {}
         for r in rows:
             terms = r["query"].lower().split()
             if terms:
                 found = f"int({weight_sql('__body', terms, 1)})"
                 hit = (f"named_struct('query_id', {_literal(r['query_id'])}, 'variation', {int(r['variation'])}, "
                        f"'relevance', found / {len(terms)})")
-                entries.append(let_sql(found, "found", f"IF(found > 0, {hit}, NULL)"))
+                by_query.setdefault(r["query_id"], []).append(let_sql(found, "found", f"IF(found > 0, {hit}, NULL)"))
+        entries = ", ".join(f"coalesce({', '.join(hits)})" for hits in by_query.values())
         lowered = chunks.select("resource_id", "chunk_id", F.lower(F.col(text)).alias("__body"))
-        hits = F.explode(F.expr(f"array_compact(array({', '.join(entries)}))"))
-        return lowered.select("resource_id", "chunk_id", hits.alias("hit")).select("hit.*", "resource_id", "chunk_id")
+        hits = F.explode(F.expr(f"array_compact(array({entries}))"))
+        return _best(lowered.select("resource_id", "chunk_id", hits.alias("hit")).select("hit.*", "resource_id", "chunk_id"), n)
 
-    return _best(_first_seen(_in_blocks(queries, run), []), n)
+    return _in_blocks(queries, run)
 
 
 def hybrid_search(

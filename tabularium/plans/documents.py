@@ -181,7 +181,7 @@ DISTANCES = f"""(SELECT query_id, e.label AS resource_id, e.vec_id AS chunk_id,
 def _semantic_sql(n: int, where: str = "true") -> str:
     return f"""(SELECT query_id, resource_id, chunk_id, distance, greatest(0.0, 1.0 - distance) AS relevance
 FROM {DISTANCES} WHERE {where} QUALIFY row_number() OVER (PARTITION BY query_id
-  ORDER BY greatest(0.0, 1.0 - distance) DESC, chunk_id) <= {n})"""
+  ORDER BY distance, chunk_id) <= {n})"""
 
 
 @query("nearest_per_collection", "R8", f"""
@@ -248,10 +248,10 @@ LABELLED = [(label, 0, SEARCH_TEXTS[label]) for label in range(3)]
 
 
 @query("hybrid_search", "R12", f"""
-WITH s AS (SELECT query_id, chunk_id, relevance FROM (SELECT * FROM {DISTANCES.replace("AS distance", "AS distance")}
+WITH s AS (SELECT query_id, chunk_id, relevance, distance FROM (SELECT * FROM {DISTANCES.replace("AS distance", "AS distance")}
     WHERE query_id < 3 AND chunk_id IN (SELECT doc_id FROM documents)) x,
     LATERAL (SELECT greatest(0.0, 1.0 - distance) AS relevance) y
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, chunk_id) <= 40),
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) <= 40),
 k AS (SELECT query_id, chunk_id, relevance FROM {KEYWORD_HITS} WHERE variation = 0 AND relevance > 0
   AND chunk_id IN (SELECT vec_id FROM embeddings)
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, chunk_id) <= 40)
