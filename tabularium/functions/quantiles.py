@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
-FETCH_ROWS = 100_000
+FETCH_ROWS = 20_000
 
 
 def _inside(low: float, high: float, value: Column) -> Column:

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 # Unicode classes and "." stopping at \n only, as the patterns of this package expect.
 FLAGS = "(?dU)"
 SPACE = r"[\s\x1c-\x1f]"
+# The same characters as a trim set.
+SPACE_CHARACTERS = "".join(map(chr, [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+]))
 
 
 def col(c: Column | str) -> Column:
@@ -22,12 +26,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column | str) -> Column:
-    return F.regexp_replace(col(text), f"{FLAGS}^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col(text), F.lit(SPACE_CHARACTERS))
 
 
 def words(text: Column | str) -> Column:
-    """Whitespace-separated words, without empty ones."""
-    return F.filter(F.split(col(text), f"{FLAGS}{SPACE}+"), lambda w: w != "")
+    """Whitespace-separated words, without empty ones.
+
+    Rare kinds of white space become blanks first, so the split itself needs no pattern matching.
+    """
+    blanks = F.regexp_replace(col(text), f"{FLAGS}[\\s\\x1c-\\x1f&&[^ ]]", " ")
+    return F.filter(F.split(blanks, " "), lambda w: w != "")
 
 
 def word_tokens(text: Column | str) -> Column:

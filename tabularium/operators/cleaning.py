@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabularium.functions.names import unique_snake_case
+from tabularium.functions.text import strip
 
 # Date formats (with the shape a text must have) and boolean words; must equal the reference's.
 DATE_FORMATS = ["yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "yyyy-M-d H:m:s"]
@@ -25,7 +26,6 @@ TRUE_WORDS = ["true", "1", "yes"]
 FALSE_WORDS = ["false", "0", "no"]
 
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
 def string_columns(df: DataFrame) -> list[str]:
@@ -43,7 +43,7 @@ def strip_whitespace(df: DataFrame) -> DataFrame:
     for name in df.columns:
         value = quoted(name)
         if name in texts:
-            value = F.nullif(F.regexp_replace(value, EDGE_SPACE, ""), F.lit("nan"))
+            value = F.nullif(strip(value), F.lit("nan"))
         projected.append(value.alias(name))
     return df.select(*projected).toDF(*[c.strip() for c in df.columns])
 

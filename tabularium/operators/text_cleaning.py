@@ -45,10 +45,11 @@ def remove_page_numbers(text: Column | str) -> Column:
 
 def normalize_whitespace(text: Column | str, preserve_layout: bool = True) -> Column:
     if not preserve_layout:
-        return strip(F.regexp_replace(col(text), f"{FLAGS}{SPACE}+", " "))
+        # A lone blank is already what it should become, so only other runs are matched.
+        return strip(F.regexp_replace(col(text), f"{FLAGS}{SPACE}{{2,}}|[\\s\\x1c-\\x1f&&[^ ]]", " "))
     result = col(text)
     for pattern, replacement in (
-        ("[ \t]+", " "), ("\n[ \t]+", "\n"), ("[ \t]+\n", "\n"), ("\n{3,}", "\n\n"),
+        ("[ \t]{2,}|\t", " "), ("\n[ \t]+", "\n"), ("[ \t]+\n", "\n"), ("\n{3,}", "\n\n"),
     ):
         result = F.regexp_replace(result, pattern, replacement)
     return result

@@ -450,6 +450,14 @@ def _(t):
     return t.spread("conversations").select("conv_id", "turn", F.array_join(labels.unsafe_sql("text"), " ").alias("found"))
 
 
+@query("blocked_sql", "P11", f"""
+SELECT conv_id, turn, array_to_string(list_filter([{", ".join(
+    f"CASE WHEN contains(upper(text), '{w}') THEN '{w}' END" for w in labels.BLOCKED_SQL)}], lambda x: x IS NOT NULL), ' ') AS found
+FROM conversations""")
+def _(t):
+    return t.spread("conversations").select("conv_id", "turn", F.array_join(labels.blocked_sql("text"), " ").alias("found"))
+
+
 def _persona_score(parts: dict) -> str:
     terms = [f"2 * contains(q, '{k.lower()}')::INT" for k in parts["keywords"]]
     terms += [f"contains(q, '{k.lower()}')::INT" for k in parts["indicators"]]

@@ -130,7 +130,7 @@ def _rank_sql(scorer: str) -> str:
             keep, where = 1_000_000_000, "true"
         bound = ">= 0.1" if scorer == "analyst" else "> 0.1" if scorer != "context" else ">= 0"
         parts.append(f"""SELECT {i} AS question, resource_id, score FROM (SELECT resource_id,
-  round(least({score}, 1.0), 6) AS score FROM {CATALOG} WHERE {where}) WHERE score {bound}
+  round(least({score}, 1.0), 6)::DOUBLE AS score FROM {CATALOG} WHERE {where}) WHERE score {bound}
   QUALIFY row_number() OVER (ORDER BY score DESC, resource_id) <= {keep}""")
     return " UNION ALL ".join(f"({p})" for p in parts)
 
@@ -217,7 +217,7 @@ LATEST = f"""(SELECT user_id, {STATUS} AS status, 500.0 AS total_bytes,
 @query("upload_statistics", "A16, W2", f"""
 SELECT count(*) AS total_uploads, count(*) FILTER (status = 'uploading') AS active_uploads,
   count(*) FILTER (status = 'completed') AS completed_uploads, count(*) FILTER (status = 'failed') AS failed_uploads,
-  round(sum(total_bytes), 4) AS total_bytes, round(sum(uploaded_bytes), 4) AS uploaded_bytes,
+  round(sum(total_bytes), 4)::DOUBLE AS total_bytes, round(sum(uploaded_bytes), 4) AS uploaded_bytes,
   round(sum(uploaded_bytes) / sum(total_bytes) * 100, 6) AS overall_percent FROM {LATEST}""")
 def _(t):
     stats = activity.upload_statistics(progress_events(t), "user_id")
@@ -290,7 +290,7 @@ WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS part, count(*) AS actual, count(*)
   FROM events GROUP BY 1), m AS (SELECT *, avg(actual) OVER () AS expected FROM d)
 SELECT part, actual, round(least(100.0, actual / greatest(expected, 1) * 100), 6) AS completeness,
   round(greatest(0.1, least(1.0, 0.8 - CASE WHEN actual < expected THEN 0.2 ELSE 0 END
-    - CASE WHEN errors > 16 THEN 0.3 ELSE 0 END - CASE WHEN actual < 10 THEN 0.1 ELSE 0 END)), 6) AS reliability FROM m""")
+    - CASE WHEN errors > 16 THEN 0.3 ELSE 0 END - CASE WHEN actual < 10 THEN 0.1 ELSE 0 END)), 6)::DOUBLE AS reliability FROM m""")
 def _(t):
     days = activity.daily_completeness(t.events)
     errors = t.events.groupBy(day_key("ts").alias("part")).agg(F.count_if(F.col("event_type") == "error").alias("errors"))

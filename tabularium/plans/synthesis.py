@@ -51,7 +51,7 @@ def _(t):
 
 
 @query("join_candidates_measured", "J8", """
-SELECT 'c_custkey' AS left_field, 'o_custkey' AS right_field, 0.8 AS score,
+SELECT 'c_custkey' AS left_field, 'o_custkey' AS right_field, 0.8::DOUBLE AS score,
   (SELECT count(*) FROM customer JOIN orders ON c_custkey = o_custkey) AS joined_rows""")
 def _(t):
     tables = _tables(t, ("customer", "orders"))
@@ -212,7 +212,7 @@ def _(t):
 
 
 @query("unified_schema_rows", "H7, H8, H9, H11", """
-SELECT 'c_custkey' AS field, 'integer' AS type, 0.6 AS similarity, 'join' AS strategy, 0.86 AS quality, count(c_custkey) * 2 AS values FROM customer
+SELECT 'c_custkey' AS field, 'integer' AS type, 0.6::DOUBLE AS similarity, 'join' AS strategy, 0.86::DOUBLE AS quality, count(c_custkey) * 2 AS values FROM customer
 UNION ALL SELECT 'c_name', 'string', 0.6, 'join', 0.86, count(c_name) * 2 FROM customer
 UNION ALL SELECT 'c_acctbal', 'float', 0.6, 'join', 0.86, count(c_acctbal) * 2 FROM customer
 UNION ALL SELECT 'c_mktsegment', 'string', 0.6, 'join', 0.86, count(c_mktsegment) FROM customer

@@ -73,7 +73,7 @@ MISSING_SQL = {
     "drop_rows": f"""SELECT * FROM {GAPPY}
 WHERE (price IS NOT NULL)::INT + (status IS NOT NULL)::INT + (rare IS NOT NULL)::INT + 1 >= 2""",
     "drop_cols": f"SELECT o_orderkey, price, status FROM {GAPPY}",
-    "fill_mean": f"""SELECT round(o_orderkey, 6) AS o_orderkey, round(coalesce(price, avg(price) OVER ()), 6) AS price,
+    "fill_mean": f"""SELECT o_orderkey::DOUBLE AS o_orderkey, round(coalesce(price, avg(price) OVER ()), 6) AS price,
   status, round(coalesce(rare, avg(rare) OVER ()), 6) AS rare FROM {GAPPY}""",
     "fill_mode": f"""WITH g AS (SELECT * FROM {GAPPY}),
   p AS (SELECT price FROM g WHERE price IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, price LIMIT 1),
@@ -318,7 +318,7 @@ def _(t):
 SELECT *, round(completeness * 0.25 + consistency * 0.25 + accuracy * 0.2 + uniqueness * 0.15 + validity * 0.15, 4)
   AS overall FROM (
 SELECT "table", avg(CASE WHEN contains(anomalies, 'high_null_rate') THEN 0.3 ELSE 0.9 END) AS completeness,
-  avg(CASE WHEN contains(anomalies, 'inconsistent_types') THEN 0.4 ELSE 0.9 END) AS consistency, 0.8 AS accuracy,
+  avg(CASE WHEN contains(anomalies, 'inconsistent_types') THEN 0.4 ELSE 0.9 END) AS consistency, 0.8::DOUBLE AS accuracy,
   avg(CASE WHEN contains(anomalies, 'low_uniqueness') THEN 0.3 ELSE 0.8 END) AS uniqueness,
   avg(CASE WHEN patterns <> '' THEN 0.9 ELSE 0.7 END) AS validity, avg(quality_score) AS schema_score
 FROM ({_quality_sql(TABLE_FIELDS)}) GROUP BY "table")""".replace("SELECT *, round(", """
