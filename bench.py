@@ -17,10 +17,10 @@ from tabularium.session import build_session
 HEADLINE = """
 revenue_per_segment star_join_category_totals join_three_resources group_where_having conditional_rate top_lines_per_order
 previous_value_per_series result_batches requests_last_minute derived_field clean_table detect_types numeric_summary field_profile
-json_profile_flat json_clean word_chunks clean_text_chunks chunks_semantic html_text content_duplicates
+quality_dimensions json_profile_nested json_profile_flat json_clean word_chunks clean_text_chunks chunks_semantic html_text content_duplicates
 keyword_search semantic_search hybrid_search mmr_search query_intent document_sector trend_per_event_type correlations
-z_score_outliers spikes_and_drops linear_forecast catalog_statistics
-audit_statistics audit_chain rate_limit_decisions idle_sessions versions_to_prune harmonised_union
+z_score_outliers isolation_outliers spikes_and_drops linear_forecast autoregressive_forecast catalog_statistics
+audit_statistics audit_chain rate_limit_decisions idle_sessions versions_to_prune field_mappings harmonised_union
 csv_round_trip bulk_ingest stream_audit_counts
 """.split()
 
