@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabularium.llm.decontaminate import contamination
 from tabularium.llm.simhash import simhash_components
 from tabularium.sources.tables import Tables
 
@@ -26,3 +27,27 @@ def llm_query(sql: str | None = None):
 @llm_query()
 def op4_simhash(t: Tables) -> DataFrame:
     return simhash_components(t.documents)
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+wins AS (SELECT DISTINCT item, len, array_to_string(w[i:i + len - 1], ' ') AS s FROM (
+           SELECT item, w, least(len(w), 13) AS len, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT len FROM wins),
+pos AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+occ AS (SELECT a.doc_id, a.i, l.len, array_to_string(a.w[a.i:a.i + l.len - 1], ' ') AS s FROM pos a, lens l WHERE a.i + l.len - 1 <= len(a.w)),
+m AS (SELECT o.doc_id, o.i, o.len, x.item FROM occ o JOIN wins x ON o.s = x.s AND o.len = x.len),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + len)) AS p FROM m) GROUP BY doc_id),
+its AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+
+@llm_query(OP9_SQL)
+def op9_decontaminate(t: Tables) -> DataFrame:
+    return contamination(t.documents, t.benchmark)
