@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tabularium.llm.decontaminate import contamination
+from tabularium.llm.quality import classify
 from tabularium.llm.simhash import simhash_components
 from tabularium.sources.tables import Tables
 
@@ -51,3 +52,8 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
 @llm_query(OP9_SQL)
 def op9_decontaminate(t: Tables) -> DataFrame:
     return contamination(t.documents, t.benchmark)
+
+
+@llm_query()
+def op6_quality(t: Tables) -> DataFrame:
+    return classify(t.documents, t.labels).drop("text")
