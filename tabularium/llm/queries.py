@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabularium.llm.decontaminate import contamination
+from tabularium.llm.pieces import encode_pieces
+from tabularium.llm.pseudonyms import pseudonyms
 from tabularium.llm.quality import classify
 from tabularium.llm.simhash import simhash_components
 from tabularium.sources.tables import Tables
@@ -14,6 +18,9 @@ from tabularium.sources.tables import Tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+PII_KEY = "tabularium-demo-key"  # a deployment passes its own secret
+
 
 def llm_query(sql: str | None = None):
     def register(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
@@ -57,3 +64,16 @@ def op9_decontaminate(t: Tables) -> DataFrame:
 @llm_query()
 def op6_quality(t: Tables) -> DataFrame:
     return classify(t.documents, t.labels).drop("text")
+
+
+@llm_query()
+def op7_pieces(t: Tables) -> DataFrame:
+    rows = encode_pieces(t.documents.select("doc_id", "text"), PIECE_MODEL, dropout=0.1, seed=7)
+    ids = F.col("piece_ids")
+    return rows.select("doc_id", F.size(ids).cast("long").alias("n_pieces"), F.sha2(F.array_join(ids, " "), 256).alias("ids_sha256"), "lossless")
+
+
+@llm_query()
+def op8_pii(t: Tables) -> DataFrame:
+    rows = pseudonyms(t.documents.select("doc_id", "text"), PII_KEY)
+    return rows.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_replaced"), "pii_kinds")
