@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.llm.decontaminate import contamination
+from tabularium.llm.licenses import THRESHOLD, TEMPLATES, license_matches, template_bigrams
 from tabularium.llm.pieces import encode_pieces
 from tabularium.llm.pseudonyms import pseudonyms
 from tabularium.llm.quality import classify
@@ -77,3 +78,24 @@ def op7_pieces(t: Tables) -> DataFrame:
 def op8_pii(t: Tables) -> DataFrame:
     rows = pseudonyms(t.documents.select("doc_id", "text"), PII_KEY)
     return rows.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_replaced"), "pii_kinds")
+
+
+_TEMPLATE_ROWS = ", ".join("('{}', [{}])".format(name, ", ".join(f"'{x}'" for x in grams)) for name, grams in template_bigrams(TEMPLATES))
+OP10_SQL = rf"""
+WITH t(license, tb) AS (VALUES {_TEMPLATE_ROWS}),
+u AS (SELECT doc_id, 'line' AS kind, unnest(string_split(coalesce(text, ''), chr(10))) AS unit FROM documents
+      UNION ALL SELECT doc_id, 'paragraph', unnest(CASE WHEN regexp_matches(text, '\n[ \t\r]*\n') THEN regexp_split_to_array(text, '\n[ \t\r]*\n') ELSE [] END) FROM documents
+      UNION ALL SELECT doc_id, 'text', coalesce(text, '') FROM documents),
+w AS (SELECT row_number() OVER () AS k, doc_id, kind, regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM u),
+b AS (SELECT k, doc_id, kind, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
+s AS (SELECT k, doc_id, kind, license, 2.0 * len(list_intersect(b, tb)) / (len(b) + len(tb)) AS dice FROM b, t WHERE list_has_any(b, tb)),
+m AS (SELECT k, doc_id, kind, license, dice, row_number() OVER (PARTITION BY k ORDER BY dice DESC, license DESC) AS r FROM s WHERE dice >= {THRESHOLD})
+SELECT doc_id, license, count_if(kind = 'line') AS n_lines, count_if(kind = 'paragraph') AS n_paragraphs,
+       bool_or(kind = 'text') AS whole_text, round(max(dice), 6) AS best_dice
+FROM m WHERE r = 1 GROUP BY doc_id, license"""
+
+
+@llm_query(OP10_SQL)
+def op10_licenses(t: Tables) -> DataFrame:
+    return license_matches(t.documents)
