@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from tabularium.llm.decontaminate import contamination
 from tabularium.llm.licenses import THRESHOLD, TEMPLATES, license_matches, template_bigrams
+from tabularium.llm.main_text import extract_main_text
 from tabularium.llm.pieces import encode_pieces
 from tabularium.llm.pseudonyms import pseudonyms
 from tabularium.llm.quality import classify
 from tabularium.llm.simhash import simhash_components
+from tabularium.llm.token_counts import token_counts
 from tabularium.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +101,14 @@ FROM m WHERE r = 1 GROUP BY doc_id, license"""
 @llm_query(OP10_SQL)
 def op10_licenses(t: Tables) -> DataFrame:
     return license_matches(t.documents)
+
+
+@llm_query()
+def op2_token_counts(t: Tables) -> DataFrame:
+    return token_counts(t.documents.select("doc_id", "text"), PIECE_MODEL).drop("text")
+
+
+@llm_query()
+def op3_main_text(t: Tables) -> DataFrame:
+    rows = extract_main_text(t.pages.select("page_id", "url", "html"))
+    return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
