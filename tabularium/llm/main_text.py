@@ -121,7 +121,7 @@ def fit_weights(counts: list[tuple[str, int, int]]) -> dict[str, float]:
     """Score of each feature: words positive, tags negative.
 
     With p the share of a feature's tokens that lie in main text (a prior for names that were not seen included), a word
-    scores p and a tag -0.05 - 6 (1 - p), so paragraphs cost next to nothing and menus more than their few words bring.
+    scores p and a tag -0.05 - 2 (1 - p), so paragraphs cost next to nothing and menus more than their few words bring.
     """
     seen = {f: (i, o) for f, i, o in counts}
     weights = {}
@@ -132,7 +132,7 @@ def fit_weights(counts: list[tuple[str, int, int]]) -> dict[str, float]:
                 i, o = seen.get(feature, (0, 0))
                 likely = 0.02 if kept == "-" else 0.95 if name in _CONTENT else 0.85
                 p = (i + PRIOR * likely) / (i + o + PRIOR)
-                weights[feature] = p if kind == "text" else -0.05 - 6 * (1 - p)
+                weights[feature] = p if kind == "text" else -0.05 - 2 * (1 - p)
     return weights
 
 

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabularium.llm.code_search import nearest_codes, sign_code
 from tabularium.llm.decontaminate import contamination
 from tabularium.llm.licenses import THRESHOLD, TEMPLATES, license_matches, template_bigrams
 from tabularium.llm.main_text import extract_main_text
@@ -112,3 +113,17 @@ def op2_token_counts(t: Tables) -> DataFrame:
 def op3_main_text(t: Tables) -> DataFrame:
     rows = extract_main_text(t.pages.select("page_id", "url", "html"))
     return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+_BITS = " + ".join(f"(CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i}::HUGEINT ELSE 0 END)" for i in range(64))
+OP5_SQL = f"""
+WITH e AS (SELECT vec_id, {_BITS} AS code FROM embeddings WHERE embedding IS NOT NULL),
+d AS (SELECT q.vec_id AS query_id, e.vec_id, bit_count(xor(q.code, e.code)) AS distance FROM e q, e WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(distance AS BIGINT) AS distance FROM r WHERE rank <= 10"""
+
+
+@llm_query(OP5_SQL)
+def op5_code_search(t: Tables) -> DataFrame:
+    coded = t.embeddings.select("vec_id", sign_code("embedding").alias("code"))
+    return nearest_codes(coded, coded.where("vec_id % 20 = 0"), k=10)
