@@ -16,6 +16,7 @@ from tabularium.llm.pieces import encode_pieces
 from tabularium.llm.pseudonyms import pseudonyms
 from tabularium.llm.quality import classify
 from tabularium.llm.simhash import simhash_components
+from tabularium.llm.suffix_dedup import repeated_bytes
 from tabularium.llm.token_counts import token_counts
 from tabularium.sources.tables import Tables
 
@@ -127,3 +128,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(distance AS BIGINT)
 def op5_code_search(t: Tables) -> DataFrame:
     coded = t.embeddings.select("vec_id", sign_code("embedding").alias("code"))
     return nearest_codes(coded, coded.where("vec_id % 20 = 0"), k=10)
+
+
+@llm_query()
+def op1_suffix_dedup(t: Tables) -> DataFrame:
+    return repeated_bytes(t.documents)
