@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tabularium.llm.pieces import SPACE, Pieces, model_state
 
 UNKNOWN_PENALTY = 10.0
-CACHE = 600_000
+CACHE = 300_000  # chunks kept by a Python worker, some 80 MB
 
 
 class UnigramCounter:
