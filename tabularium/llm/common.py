@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tabularium.session import scratch_root
 
@@ -22,3 +23,9 @@ def cut(df: DataFrame) -> DataFrame:
 def partitions(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def text_key(text: str) -> Column:
+    """128-bit key of a text column; null and empty texts share one."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return F.struct(F.xxhash64(whole).alias("a"), F.xxhash64(F.lit(1), whole).alias("b"))

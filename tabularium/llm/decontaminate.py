@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabularium.functions.skew import join_checked
-from tabularium.llm.common import cut
+from tabularium.llm.common import cut, text_key
 
 WINDOW = 13
 SHINGLE = 3
@@ -116,7 +116,8 @@ def contamination(
     )
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated; rows that share the id of a contaminated one go with it."""
-    gone = contamination(docs, items, id_col, text_col).where("contaminated").select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated. The text alone decides, so ids may be null or repeated."""
+    keyed = docs.withColumn("__key", text_key(text_col))
+    gone = contamination(keyed, items, "__key", text_col).where("contaminated").select("__key").distinct()
+    return keyed.join(gone, "__key", "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabularium.llm.common import cut, partitions
+from tabularium.llm.common import cut, partitions, text_key
 from tabularium.llm.graph import connected_components
 
 SHINGLE = 3
@@ -152,15 +152,18 @@ def near_links(codes: DataFrame, large_bucket: int = LARGE_BUCKET) -> DataFrame:
     return edges
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", large_bucket: int = LARGE_BUCKET) -> DataFrame:
+def simhash_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", large_bucket: int = LARGE_BUCKET, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """``(id, fingerprint, component_id)``, one row per row of ``docs``.
 
     Words are cut at ASCII white space after lower-casing A-Z; a bit is set if it is in over half the XXH64 hashes of
     the three-word shingles. Rows link at three differing bits or fewer, ``component_id`` is the smallest id reachable.
     Null, empty and blank texts have fingerprint zero and link like any other. Rows with equal ids each get a row; a
     null id counts for no component unless all its ids are null. Equal fingerprints are one node, whatever their number.
+    Columns named in ``carry`` are returned with their rows.
     """
-    rows = cut(docs.select(F.col(id_col).alias("id"), _fingerprints(F.col(text_col)).alias("code")))
+    rows = cut(docs.select(F.col(id_col).alias("id"), _fingerprints(F.col(text_col)).alias("code"), *carry))
     codes = rows.groupBy("code").agg(F.min("id").alias("first_id"))
     found = connected_components(near_links(codes.select("code"), large_bucket)).withColumnRenamed("node", "code")
     # only codes that link to another one need more than their own smallest id
@@ -169,15 +172,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by_code = codes.join(linked.select("code", "component").join(smallest, "component").select("code", "linked_id"), "code", "left")
     by_code = by_code.select("code", F.coalesce("linked_id", "first_id").alias("component_id"))
     return rows.join(by_code, "code").select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id"
+        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id", *carry
     )
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id stays.
+    """The rows of ``docs`` without near-duplicates: of each component the document with the smallest id stays.
 
-    Rows that share that id all stay, and so do rows with a null id whose component has no id.
+    Repeated rows of that document stay together; a null id stays only where its whole component has none.
     """
-    groups = simhash_components(docs, id_col, text_col)
-    gone = groups.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__key": text_key(text_col)})
+    groups = simhash_components(keyed, id_col, text_col, carry=("__id", "__key"))
+    gone = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select("__id", "__key").distinct()
+    return keyed.join(gone, ["__id", "__key"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
