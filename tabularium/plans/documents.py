@@ -372,17 +372,18 @@ def _(t):
     return routed.select("conv_id", "turn", "route", F.round("route_confidence", 6).alias("route_confidence"), "complexity")
 
 
-def _word_list_sql(text: str, entries: dict[str, str]) -> str:
-    cases = ", ".join(f"CASE WHEN regexp_matches({text}, '{re2(p)}') THEN '{name}' END" for name, p in entries.items())
-    return f"list_filter([{cases}], lambda x: x IS NOT NULL)"
+def _match_list(patterns: list[str]) -> str:
+    """Sorted distinct matches of the first group; doubled separators let neighbours have an edge each."""
+    doubled = r"regexp_replace(q, '([^\p{L}\p{N}_-])', '\1\1', 'g')"
+    found = ", ".join(f"regexp_extract_all({doubled}, '{re2(p)}', 1)" for p in patterns)
+    return rf"list_sort(list_distinct(list_transform(list_concat({found}), lambda m: regexp_replace(m, '\s+', ' ', 'g'))))"
 
 
-ENTITY_PATTERNS = {w: rf"\b{w}{plural}\b" for w, plural in labels.ENTITY_WORDS.items()}
-TIME_PATTERNS = {w: rf"\b{w}\b" for w in labels.TIME_WORDS} | {
-    f"{a} {u}": rf"\b{a}\s+{u}\b" for a in labels.TIME_ANCHORS for u in labels.TIME_UNITS
-} | {"over time": r"\bover\s+time\b"}
-EXTRACT_DATES = (r"regexp_extract_all(regexp_replace(q, '([^\p{L}\p{N}_-])', '\1\1', 'g'), "
-                 r"'(?:^|[^\p{L}\p{N}_])(\d{4}(?:-\d{2})?(?:-\d{2})?)(?:$|[^\p{L}\p{N}_])', 1)")
+def _matches_sql(patterns: list[str]) -> str:
+    return f"array_to_string({_match_list(patterns)}, ',')"
+
+
+WHOLE_TEMPORAL = [rf"\b({p[2:-2]})\b" for p in labels.TEMPORAL_PATTERNS]
 COMPARE_SQL = "list_concat(" + ", ".join(
     f"regexp_extract_all(q, '{re2(p)}', 2)" for p in labels.COMPARISON_PATTERNS) + ")"
 IDENTIFIER_SQL = "coalesce(" + ", ".join(
@@ -390,9 +391,8 @@ IDENTIFIER_SQL = "coalesce(" + ", ".join(
 
 
 @query("extract_references", "N5", f"""
-SELECT conv_id, turn, array_to_string(list_sort({_word_list_sql('q', ENTITY_PATTERNS)}), ',') AS entities,
-  array_to_string(list_sort(list_distinct(list_concat({_word_list_sql('q', TIME_PATTERNS)}, {EXTRACT_DATES}))), ',')
-    AS times, array_to_string(list_sort(list_distinct({COMPARE_SQL})), ',') AS compared,
+SELECT conv_id, turn, {_matches_sql(labels.ENTITY_PATTERNS)} AS entities, {_matches_sql(WHOLE_TEMPORAL)} AS times,
+  array_to_string(list_sort(list_distinct({COMPARE_SQL})), ',') AS compared,
   {IDENTIFIER_SQL} AS identifier FROM (SELECT conv_id, turn, text, lower(text) AS q FROM conversations)""")
 def _(t):
     return t.spread("conversations").select(
@@ -404,7 +404,7 @@ def _(t):
 
 @query("needs_clarification", "N6", rf"""
 SELECT conv_id, turn, (NOT earlier AND list_has_any(w, ['it', 'that', 'this', 'them', 'those', 'these']))
-  OR (len(w) < 3 AND NOT {sql_any('q', labels.REQUEST_VERBS)}) OR len({_word_list_sql('q', ENTITY_PATTERNS)}) > 3 AS unclear
+  OR (len(w) < 3 AND NOT {sql_any('q', labels.REQUEST_VERBS)}) OR len({_match_list(labels.ENTITY_PATTERNS)}) > 3 AS unclear
 FROM (SELECT *, list_filter(string_split_regex(q, '{WS}+'), lambda x: x <> '') AS w FROM {INTENTS})""")
 def _(t):
     queries = labels.user_queries(t.spread("conversations"))

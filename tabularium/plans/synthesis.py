@@ -20,25 +20,37 @@ def _tables(t, names):
 KEYED = ["nation", "customer", "supplier", "orders"]
 
 
-@query("field_relationships", "J7", """
-SELECT 'nation' AS source, 'n_nationkey' AS source_field, 'customer' AS target, 'c_nationkey' AS target_field,
-  (SELECT count(DISTINCT n_nationkey) FILTER (n_nationkey IN (SELECT c_nationkey FROM customer)) / count(DISTINCT n_nationkey)
-   FROM nation) AS match_rate
-UNION ALL SELECT 'nation', 'n_nationkey', 'supplier', 's_nationkey',
-  (SELECT count(DISTINCT n_nationkey) FILTER (n_nationkey IN (SELECT s_nationkey FROM supplier)) / count(DISTINCT n_nationkey)
-   FROM nation)
-UNION ALL SELECT 'customer', 'c_custkey', 'orders', 'o_custkey',
-  (SELECT count(DISTINCT c_custkey) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) / count(DISTINCT c_custkey)
-   FROM customer)""")
+# By the rule: a shared word (0.2), the same meaning (0.3) and type (0.2), for two names also a shared value pattern (0.1).
+RELATED = [
+    ("nation", "n_regionkey", "customer", "c_nationkey"), ("nation", "n_nationkey", "customer", "c_nationkey"),
+    ("nation", "n_name", "customer", "c_name"), ("nation", "n_regionkey", "supplier", "s_nationkey"),
+    ("nation", "n_nationkey", "supplier", "s_nationkey"), ("nation", "n_name", "supplier", "s_name"),
+    ("customer", "c_nationkey", "supplier", "s_nationkey"), ("customer", "c_name", "supplier", "s_name"),
+    ("customer", "c_nationkey", "orders", "o_custkey"), ("customer", "c_custkey", "orders", "o_custkey"),
+    ("supplier", "s_nationkey", "orders", "o_custkey"), ("supplier", "s_suppkey", "orders", "o_custkey"),
+]
+
+
+def _rate_sql(source: str, left: str, target: str, right: str) -> str:
+    score = 0.8 if (left, right) == ("c_name", "s_name") else 0.7
+    kind = "correlation" if "name" in left else "foreign_key"
+    return (f"SELECT '{source}' AS source, '{left}' AS source_field, '{target}' AS target, '{right}' AS target_field, "
+            f"{score}::DOUBLE AS score, '{kind}' AS kind, 'left' AS join_type, "
+            f"(SELECT count(DISTINCT {left}) FILTER ({left}::VARCHAR IN (SELECT {right}::VARCHAR FROM {target})) / count(DISTINCT {left}) "
+            f"FROM {source}) AS match_rate")
+
+
+RATES = " UNION ALL ".join(_rate_sql(*r) for r in RELATED)
+
+
+@query("field_relationships", "J7", f"SELECT source, source_field, target, target_field, match_rate FROM ({RATES})")
 def _(t):
     tables = _tables(t, KEYED)
     found = hz.relationships(tables, hz.profiled_fields(tables))
-    wanted = F.concat_ws(">", "source_field", "target_field").isin(
-        "n_nationkey>c_nationkey", "n_nationkey>s_nationkey", "c_custkey>o_custkey")
-    return found.where(wanted).select("source", "source_field", "target", "target_field", "match_rate")
+    return found.select("source", "source_field", "target", "target_field", "match_rate")
 
 
-@query("all_field_relationships", "J7")
+@query("all_field_relationships", "J7", RATES)
 def _(t):
     tables = _tables(t, KEYED)
     return hz.relationships(tables, hz.profiled_fields(tables))
@@ -55,7 +67,7 @@ SELECT 'c_custkey' AS left_field, 'o_custkey' AS right_field, 0.8::DOUBLE AS sco
   (SELECT count(*) FROM customer JOIN orders ON c_custkey = o_custkey) AS joined_rows""")
 def _(t):
     tables = _tables(t, ("customer", "orders"))
-    left, right, score = hz.join_conditions(hz.fields_of(tables))[0]
+    left, right, score = hz.join_key(t.spark, hz.fields_of(tables))[0]
     joined = hz.synthesize_join(tables, ["o_orderkey"])
     return joined.agg(F.count(F.lit(1)).alias("joined_rows")).select(
         F.lit(left.name).alias("left_field"), F.lit(right.name).alias("right_field"),
@@ -67,10 +79,16 @@ DESIRED = {
     "total_price": "price of the order", "l_quantity": "units", "nation_key": "nation", "email": "mail address",
 }
 MAPPED = ["customer", "orders", "lineitem"]
+DESCRIBED = {
+    ("customer", "c_name"): "name of the customer", ("customer", "c_acctbal"): "balance of the account", ("orders", "o_orderdate"): "day of the order",
+    ("orders", "o_totalprice"): "total price of the order in units", ("lineitem", "l_quantity"): "units", ("customer", "c_nationkey"): "nation",
+}
 
 
 def profile(t):
-    return reduce(DataFrame.unionByName, [profiling.field_profile(df, n, exact=False) for n, df in ((n, t.spread(n)) for n in MAPPED)])
+    profiles = reduce(DataFrame.unionByName, [profiling.field_profile(df, n, exact=False) for n, df in ((n, t.spread(n)) for n in MAPPED)])
+    told = F.create_map(*[F.lit(x) for (table, c), d in DESCRIBED.items() for x in (f"{table}.{c}", d)])
+    return profiles.withColumn("field_description", told[F.concat_ws(".", "table", "field")])
 
 
 def _semantic(name: str) -> str:
@@ -78,8 +96,8 @@ def _semantic(name: str) -> str:
 
 
 AVAILABLE = ", ".join(
-    f"('{table}', '{c}', '{kind}', '{_semantic(c)}')" for table in MAPPED for c, kind in TABLE_FIELDS[table].items())
-WANTED = ", ".join(f"('{d}', '{_semantic(d)}')" for d in DESIRED)
+    f"('{table}', '{c}', '{kind}', '{_semantic(c)}', '{DESCRIBED.get((table, c), '')}')" for table in MAPPED for c, kind in TABLE_FIELDS[table].items())
+WANTED = ", ".join(f"('{d}', '{_semantic(d)}', '{told}')" for d, told in DESIRED.items())
 
 
 def _mentions(words) -> str:
@@ -92,18 +110,21 @@ def _normal(c: str) -> str:
 
 
 TOKENS = r"list_distinct(regexp_extract_all(lower({0}), '(\w+)', 1))"
+TOLD = f"len(list_intersect({TOKENS.format('asked')}, {TOKENS.format('told')}))"
+TOLD_SHARE = f"CASE WHEN told = '' THEN 0 ELSE {TOLD} / len(list_distinct(list_concat({TOKENS.format('asked')}, {TOKENS.format('told')}))) END"
+TOLD_COMMON = f"CASE WHEN told = '' THEN 0 ELSE {TOLD} / greatest(len({TOKENS.format('asked')}), len({TOKENS.format('told')})) END"
 SHARED = f"len(list_intersect({TOKENS.format('desired')}, {TOKENS.format('field')}))"
 SCORES = f"""(SELECT *, CASE WHEN score >= 0.8 THEN 'direct' WHEN score >= 0.4 THEN 'similar' ELSE 'none' END AS kind FROM (
-  SELECT desired, "table", field, type, {SHARED} / greatest(len({TOKENS.format('desired')}), len({TOKENS.format('field')})) AS common,
+  SELECT desired, "table", field, type, {SHARED} / greatest(len({TOKENS.format('desired')}), len({TOKENS.format('field')})) AS common, {TOLD_COMMON} AS told_common,
   round(CASE WHEN lower(desired) = lower(field) THEN 0.95 WHEN {_normal('desired')} = {_normal('field')} THEN 0.9
     ELSE (0.7 * {SHARED} / len(list_distinct(list_concat({TOKENS.format('desired')}, {TOKENS.format('field')})))
       + 0.3 * len(list_filter(string_split(lower(desired), ''), lambda c: c <> '' AND contains(lower(field), c)))
-        / greatest(length(desired), length(field))) * 0.4
+        / greatest(length(desired), length(field))) * 0.4 + 0.3 * {TOLD_SHARE}
     + CASE WHEN wanted = semantic AND wanted <> 'general' THEN 0.2 ELSE 0 END
     + CASE WHEN CASE WHEN type IN ('integer', 'float') THEN {_mentions(hz.NUMERIC_INDICATORS)}
         WHEN type = 'string' THEN {_mentions(hz.TEXT_INDICATORS)}
         WHEN type = 'datetime' THEN {_mentions(hz.DATE_INDICATORS)} ELSE true END THEN 0.1 ELSE 0 END END, 6) AS score
-  FROM (VALUES {AVAILABLE}) a("table", field, type, semantic), (VALUES {WANTED}) d(desired, wanted)))"""
+  FROM (VALUES {AVAILABLE}) a("table", field, type, semantic, told), (VALUES {WANTED}) d(desired, wanted, asked)))"""
 BEST = f"""(SELECT *, (kind = 'direct' AND score > 0.8) OR (kind = 'similar' AND score > 0.5) AS accepted FROM {SCORES}
   QUALIFY row_number() OVER (PARTITION BY desired ORDER BY score DESC, "table", field) = 1)"""
 
@@ -128,7 +149,7 @@ def _(t):
 
 @query("simple_field_mappings", "H2", f"""
 SELECT desired, "table", field, score, CASE WHEN score > 0.8 THEN 'direct' ELSE 'similar' END AS mapping FROM (
-  SELECT desired, "table", field, round(common * 0.6, 6) AS score FROM {SCORES}) WHERE score > 0.3
+  SELECT desired, "table", field, round(common * 0.6 + told_common * 0.4, 6) AS score FROM {SCORES}) WHERE score > 0.3
 QUALIFY row_number() OVER (PARTITION BY desired ORDER BY score DESC, "table", field) = 1""")
 def _(t):
     return hz.simple_mappings(profile(t), DESIRED)
@@ -226,7 +247,7 @@ def _(t):
         F.struct(F.lit(c).alias("field"), F.lit(kind).alias("type"), F.col(c).alias("values")) for c, kind in schema.items()])
     return counted.select(F.explode(rows).alias("x")).select(
         "x.*", F.lit(round(hz.schema_similarity(fields), 6)).alias("similarity"),
-        F.lit(hz.synthesis_strategy(fields)).alias("strategy"), F.lit(round(hz.synthesis_quality(fields), 6)).alias("quality"))
+        F.lit(hz.synthesis_strategy(t.spark, fields)).alias("strategy"), F.lit(round(hz.synthesis_quality(fields), 6)).alias("quality"))
 
 
 @query("harmonised_union", "H6, H10, U2", """
