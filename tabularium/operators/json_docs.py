@@ -15,14 +15,15 @@ from tabularium.functions.names import snake_case
 
 # Key lists, categories and limits that must equal the reference's.
 SYSTEM_KEYS = ["client_id", "user_id", "resource_id"]
-PROFILE_ITEMS, FLATTEN_DEPTH = 3, 3
-PERSONA_KEYS = {
-    "demographic": ["name", "age", "gender", "location", "occupation", "role", "position", "program", "degree", "major",
-                    "department", "company", "school", "university"],
-    "trait": ["gpa", "grade", "score", "rating", "performance", "personality", "traits", "characteristics", "behavior"],
-    "interest": ["interests", "skills", "hobbies", "specialties", "expertise"],
-    "goal": ["goals", "career_goals", "objectives", "aspirations", "plans"],
-}
+FLATTEN_DEPTH, SAMPLE_VALUES = 3, 10
+PERSONA_KEYS = [  # category, field names
+    ("demographic", ["name", "age", "gender", "location", "occupation", "role", "position"]),
+    ("demographic", ["program", "degree", "major", "department", "company", "school", "university"]),
+    ("trait", ["gpa", "grade", "score", "rating", "performance"]),
+    ("interest", ["interests", "skills", "hobbies", "specialties", "expertise"]),
+    ("goal", ["goals", "career_goals", "objectives", "aspirations", "plans"]),
+    ("trait", ["personality", "traits", "characteristics", "behavior"]),
+]
 CONTEXT_KEYS = {
     "academic": ["year_level", "semester", "academic_year", "course", "class"],
     "professional": ["experience_years", "position", "department", "company_size"],
@@ -41,7 +42,7 @@ CONTEXT_BUCKETS = {
     "Environmental": ["location", "residence", "environment", "setting"],
     "Academic/Professional": ["course", "class", "department", "program", "credit"],
 }
-BUCKET_ITEMS, MATCHED_VALUES = 5, 3
+NUMBERS_ONLY, BARE_VALUES = "Performance", "Interests & Goals"  # persona buckets with a form of their own
 DEEP, MANY_FIELDS, NESTED, SOME_FIELDS = 4, 100, 2, 50
 
 
@@ -116,20 +117,28 @@ def json_leaves(
 
 
 def leaf_profile(leaves: DataFrame) -> DataFrame:
-    """Per path: type over all non-null values, nulls, values and distinct values."""
+    """Per path: type over all non-null values, nulls, values, distinct values and the ten smallest of them as samples."""
     filled = F.col("value").isNotNull()
 
     def only(*kinds: str) -> Column:
         return F.bool_and(F.when(filled, F.col("type").isin(*kinds)))
 
     counted = leaves.groupBy("path", "type", "value").agg(F.count(F.lit(1)).alias("n"))
+    # one value may come in each of the six types and is one sample, so sixty rows hold the ten smallest
+    first = F.row_number().over(W.partitionBy("path").orderBy(F.col("value").asc_nulls_last(), "type"))
+    samples = (
+        counted.withColumn("at", first).where(F.col("at") <= 6 * SAMPLE_VALUES).where(filled).groupBy("path")
+        .agg(F.slice(F.array_sort(F.collect_set("value")), 1, SAMPLE_VALUES).alias("samples"))
+    )
     kind = (
         F.when(F.count("value") == 0, "null").when(only("boolean"), "boolean").when(only("integer"), "integer")
         .when(only("integer", "numeric"), "numeric").when(only("string"), "string").otherwise("mixed")
     )
-    return counted.groupBy("path").agg(
+    profile = counted.groupBy("path").agg(
         kind.alias("type"), F.bool_or(~filled).alias("nullable"), F.sum("n").alias("values"),
         F.count_distinct("value").alias("unique_count"))
+    shown = F.coalesce("samples", F.array().cast("array<string>"))
+    return profile.join(samples, "path", "left").withColumn("samples", shown)
 
 
 def document_shape(df: DataFrame, key: str, text: str, max_depth: int | None = None) -> DataFrame:
@@ -302,35 +311,60 @@ def _category_of_name(table: dict[str, list[str]]) -> Column:
     return F.create_map(*[F.lit(x) for item in pairs.items() for x in item])[F.lower("name")]
 
 
+def _shown() -> Column:
+    """The value as text; a list as its values with commas between them."""
+    listed = F.array_join(F.transform(F.from_json("value", "array<string>"), lambda x: F.coalesce(x, F.lit("None"))), ", ")
+    return F.coalesce(F.when(F.col("type") == "list", listed).otherwise(F.col("value")), F.lit("None"))
+
+
 def titled(name: Column) -> Column:
     return F.initcap(F.regexp_replace(name, "_", " "))
 
 
 def persona_fields(leaves: DataFrame, key: str) -> DataFrame:
     """Leaves whose field name marks a demographic, trait, interest or goal, with a readable label."""
-    category = _category_of_name(PERSONA_KEYS)
-    return leaves.withColumn("category", category).where("category IS NOT NULL").select(
-        key, "path", "category", F.concat(titled(F.col("name")), F.lit(": "), F.coalesce("value", F.lit("None"))).alias("label"))
+    number = F.create_map(*[F.lit(x) for i, (_, names) in enumerate(PERSONA_KEYS) for n in names for x in (n, i)])[F.lower("name")]
+    category = F.array(*[F.lit(c) for c, _ in PERSONA_KEYS])[F.col("__rule")]
+    plain = F.concat(titled(F.col("name")), F.lit(": "), F.coalesce("value", F.lit("None")))
+    level = F.concat(F.lit("Academic/Performance level: "), titled(F.col("name")), F.lit(" of "), F.coalesce("value", F.lit("None")))
+    listed = F.concat(titled(F.col("name")), F.lit(": "), _shown())
+    character = F.concat(F.when(F.col("type") == "list", "Personality traits: ").otherwise("Personality: "), _shown())
+    forms = F.when(F.col("__rule") == 2, level).when(F.col("__rule") == 3, listed).when(F.col("__rule") == 5, character).otherwise(plain)
+    found = leaves.withColumn("__rule", number).where("__rule IS NOT NULL")
+    return found.select(key, "path", category.alias("category"), forms.alias("label"))
 
 
 def context_fields(leaves: DataFrame, key: str) -> DataFrame:
-    """Leaves whose field name gives academic, professional, personal or temporal context."""
-    category = _category_of_name(CONTEXT_KEYS)
-    return leaves.withColumn("category", category).where("category IS NOT NULL").select(key, "path", "category", "value")
+    """Leaves whose field name gives academic, professional, personal or temporal context, with a readable label."""
+    found = leaves.withColumn("category", _category_of_name(CONTEXT_KEYS)).where("category IS NOT NULL")
+    value = F.coalesce("value", F.lit("None"))
+    current = F.concat(F.lit("Currently in "), F.replace(F.col("name"), F.lit("_"), F.lit(" ")), F.lit(": "), value)
+    dated = F.concat(F.lit("Data from: "), value)
+    label = F.when(F.col("category") == "academic", current).when(F.col("category") == "temporal", dated).otherwise(F.concat(titled(F.col("name")), F.lit(": "), value))
+    return found.select(key, "path", "category", "value", label.alias("label"))
+
 
+def bucketed_fields(leaves: DataFrame, key: str, buckets: dict[str, list[str]], per_bucket: int | None = None) -> DataFrame:
+    """Distinct labelled values per bucket; the first bucket with a word in the path wins.
 
-def bucketed_fields(leaves: DataFrame, key: str, buckets: dict[str, list[str]], per_bucket: int = BUCKET_ITEMS) -> DataFrame:
-    """First few distinct labelled values per bucket; the first bucket with a word in the path wins."""
+    The performance bucket takes numbers only, the interests bucket bare values, of a list each one. ``per_bucket``
+    keeps the first few for a short report; without it all are returned.
+    """
     path, chain = F.lower("path"), None
     for name, terms in buckets.items():
         test = F.lit(False)
         for term in terms:
             test = test | path.contains(term)
         chain = F.when(test, name) if chain is None else chain.when(test, name)
-    label = F.concat(F.initcap(F.regexp_replace("path", "[_.]", " ")), F.lit(": "), F.coalesce("value", F.lit("None")))
-    found = leaves.select(key, chain.alias("bucket"), label.alias("label")).where("bucket IS NOT NULL").distinct()
-    first = W.partitionBy(key, "bucket").orderBy("label")
-    return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_bucket)
+    value = F.coalesce("value", F.lit("None"))
+    label = F.array(F.concat(F.initcap(F.regexp_replace("path", "[_.]", " ")), F.lit(": "), value))
+    bare = F.when(F.col("type") == "list", F.coalesce(F.from_json("value", "array<string>"), F.array(value))).otherwise(F.array(value))
+    numeric = F.col("type").isin("integer", "numeric", "boolean")
+    found = leaves.withColumn("bucket", chain).where("bucket IS NOT NULL").where((F.col("bucket") != NUMBERS_ONLY) | numeric)
+    labels = F.when(F.col("bucket") == BARE_VALUES, bare).otherwise(label)
+    found = found.select(key, "bucket", F.explode(labels).alias("label")).distinct()
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy(key, "bucket").orderBy("label")))
+    return ranked if per_bucket is None else ranked.where(F.col("rank") <= per_bucket)
 
 
 def fields_for_question(leaves: DataFrame, key: str, question: str) -> DataFrame:
@@ -340,14 +374,15 @@ def fields_for_question(leaves: DataFrame, key: str, question: str) -> DataFrame
     return leaves.where(F.arrays_overlap(path_words, asked)).select(key, "path", "value")
 
 
-def value_for_field(leaves: DataFrame, key: str, field: str, description: str = "") -> DataFrame:
-    """First few values whose path contains a word of the wanted field or its description."""
+def value_for_field(leaves: DataFrame, key: str, field: str, description: str = "", values: int | None = None) -> DataFrame:
+    """Values (all, or the first ``values``) whose path contains a word of the wanted field or its description."""
     terms = [w for w in field.lower().split("_") + description.lower().split() if w]
     test = F.lit(False)
     for term in terms:
         test = test | F.lower("path").contains(term)
     first = W.partitionBy(key).orderBy("order")
+    ranked = leaves.where(test).withColumn("rank", F.row_number().over(first))
     return (
-        leaves.where(test).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= MATCHED_VALUES)
+        (ranked if values is None else ranked.where(F.col("rank") <= values))
         .select(key, "rank", F.concat(titled(F.col("path")), F.lit(": "), F.coalesce("value", F.lit("None"))).alias("label"))
     )

@@ -27,7 +27,8 @@ DOC = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 
 @query("json_profile_flat", "Q4", """
 SELECT 'k' AS path, 'integer' AS type, false AS nullable, count(*) AS values,
-  count(DISTINCT json_extract_string(props, '$.k')) AS unique_count FROM events""")
+  count(DISTINCT json_extract_string(props, '$.k')) AS unique_count,
+  list_sort(list(DISTINCT json_extract_string(props, '$.k')))[1:10] AS samples FROM events""")
 def _(t):
     return jd.leaf_profile(jd.json_leaves(t.spread("events"), "event_id", "props"))
 
@@ -46,7 +47,19 @@ UNION ALL SELECT 'codes', 'mixed', false, count(*), count(DISTINCT l_linenumber
 UNION ALL SELECT 'is_cheap', 'boolean', false, count(*), 2 FROM lineitem
 UNION ALL SELECT 'empty_list', 'mixed', false, count(*), 1 FROM lineitem""")
 def _(t):
-    return jd.leaf_profile(jd.json_leaves(line_documents(t), "doc", "json", items=jd.PROFILE_ITEMS))
+    return jd.leaf_profile(jd.json_leaves(line_documents(t), "doc", "json")).drop("samples")
+
+
+@query("json_profile_items", "Q4", """
+WITH n AS (SELECT o_orderkey, o_custkey, o_orderkey % 11 AS n FROM orders),
+i AS (SELECT o_custkey, unnest(range(n)) AS i FROM n)
+SELECT 'parts[' || i || '].buyer' AS path, 'integer' AS type, false AS nullable, count(*) AS values, count(DISTINCT o_custkey) AS unique_count,
+  list_sort(list(DISTINCT o_custkey::VARCHAR))[1:10] AS samples FROM i GROUP BY i
+UNION ALL SELECT 'parts', 'mixed', false, count(*), 1, ['[]'] FROM n WHERE n = 0""")
+def _(t):
+    parts = F.expr("slice(transform(sequence(1, 11), i -> named_struct('buyer', o_custkey)), 1, cast(o_orderkey % 11 AS int))")
+    documents = t.spread("orders").select("o_orderkey", F.to_json(F.struct(parts.alias("parts"))).alias("json"))
+    return jd.leaf_profile(jd.json_leaves(documents, "o_orderkey", "json"))
 
 
 @query("json_field_types", "Q14", f"""
@@ -125,25 +138,25 @@ def customer_documents(t):
 SELECT c_custkey, 'profile.name' AS path, 'demographic' AS category, 'Name: ' || c_name AS label FROM customer
 UNION ALL SELECT c_custkey, 'profile.department', 'demographic', 'Department: ' || c_mktsegment FROM customer
 UNION ALL SELECT c_custkey, 'profile.contact.location', 'demographic', 'Location: ' || c_nationkey FROM customer
-UNION ALL SELECT c_custkey, 'profile.contact.score', 'trait', 'Score: ' || trunc(c_acctbal)::INT FROM customer
-UNION ALL SELECT c_custkey, 'interests', 'interest', 'Interests: ["' || c_mktsegment || '","' || c_name || '"]' FROM customer
+UNION ALL SELECT c_custkey, 'profile.contact.score', 'trait', 'Academic/Performance level: Score of ' || trunc(c_acctbal)::INT FROM customer
+UNION ALL SELECT c_custkey, 'interests', 'interest', 'Interests: ' || c_mktsegment || ', ' || c_name FROM customer
 UNION ALL SELECT c_custkey, 'plan.career_goals', 'goal', 'Career Goals: ' || c_custkey FROM customer""")
 def _(t):
     return jd.persona_fields(jd.json_leaves(customer_documents(t), "c_custkey", "json"), "c_custkey")
 
 
 @query("context_fields", "N12", """
-SELECT c_custkey, 'profile.department' AS path, 'professional' AS category, c_mktsegment AS value FROM customer
-UNION ALL SELECT c_custkey, 'profile.contact.location', 'personal', c_nationkey::VARCHAR FROM customer
-UNION ALL SELECT c_custkey, 'created_at', 'temporal', '2024-01-01' FROM customer""")
+SELECT c_custkey, 'profile.department' AS path, 'professional' AS category, c_mktsegment AS value, 'Department: ' || c_mktsegment AS label FROM customer
+UNION ALL SELECT c_custkey, 'profile.contact.location', 'personal', c_nationkey::VARCHAR, 'Location: ' || c_nationkey FROM customer
+UNION ALL SELECT c_custkey, 'created_at', 'temporal', '2024-01-01', 'Data from: 2024-01-01' FROM customer""")
 def _(t):
     return jd.context_fields(jd.json_leaves(customer_documents(t), "c_custkey", "json"), "c_custkey")
 
 
 @query("persona_buckets", "N11", """
 SELECT c_custkey, 'Performance' AS bucket, 'Profile Contact Score: ' || trunc(c_acctbal)::INT AS label, 1 AS rank FROM customer
-UNION ALL SELECT c_custkey, 'Interests & Goals', 'Interests: ["' || c_mktsegment || '","' || c_name || '"]', 1 FROM customer
-UNION ALL SELECT c_custkey, 'Interests & Goals', 'Plan Career Goals: ' || c_custkey, 2 FROM customer""")
+UNION ALL SELECT c_custkey, 'Interests & Goals', label, row_number() OVER (PARTITION BY c_custkey ORDER BY label) FROM (
+  SELECT c_custkey, unnest([c_mktsegment, c_name, c_custkey::VARCHAR]) AS label FROM customer)""")
 def _(t):
     leaves = jd.json_leaves(customer_documents(t), "c_custkey", "json")
     return jd.bucketed_fields(leaves, "c_custkey", jd.PERSONA_BUCKETS)
