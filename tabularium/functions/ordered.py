@@ -2,7 +2,8 @@
 
 Every helper cuts the order column into slices of a fixed width. Rows are sorted inside
 (key, slice), and only one summary row per slice travels along the key, so a key that holds a
-third of all rows is spread over as many tasks as it has slices.
+third of all rows is spread over as many tasks as it has slices. Null keys are a key of their own;
+null order values come first.
 """
 
 from __future__ import annotations
@@ -27,6 +28,13 @@ def slice_id(df: DataFrame, order: str, width: float) -> Column:
     return F.floor(F.col(order) / F.lit(width)).cast("long")
 
 
+def _join_slices(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Join of slice facts on columns that may be null."""
+    renamed = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    condition = [F.col(f"`{c}`").eqNullSafe(F.col(f"`__r_{c}`")) for c in on]
+    return left.join(renamed, condition, how).drop(*[f"__r_{c}" for c in on])
+
+
 def with_previous(
     df: DataFrame, keys: Sequence[str], order: str, values: dict[str, str], width: float, ties: Sequence[str] = ()
 ) -> DataFrame:
@@ -40,11 +48,11 @@ def with_previous(
     })
     tails = (
         sliced.groupBy(*keys, SLICE)
-        .agg(F.max_by(carried, F.struct(order, *ties)).alias("__tail"))
+        .agg(F.max_by(carried, F.struct(F.col(order).isNotNull(), order, *ties)).alias("__tail"))
         .withColumn("__carry", F.lag("__tail").over(W.partitionBy(*keys, F.lit(0)).orderBy(SLICE)))
         .drop("__tail")
     )
-    joined = sliced.join(tails, [*keys, SLICE], "left")
+    joined = _join_slices(sliced, tails, [*keys, SLICE], "left")
     previous = F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__prev"))
     return (
         joined.withColumn("__prev", previous)
@@ -67,8 +75,7 @@ def with_running_max(
         .drop("__top")
     )
     return (
-        sliced.withColumn("__run", F.max(value).over(inside))
-        .join(carry, [*keys, SLICE], "left")
+        _join_slices(sliced.withColumn("__run", F.max(value).over(inside)), carry, [*keys, SLICE], "left")
         .withColumn(name, F.greatest("__run", "__carry"))
         .select(*df.columns, name)
     )
@@ -92,12 +99,11 @@ def with_position(df: DataFrame, order: str, ties: Sequence[str], name: str, wid
     blocks = blocks.select("__block", F.coalesce(F.sum("__total").over(block_before), F.lit(0)).alias("__base"))
     offsets = (
         counts.withColumn("__in", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-        .join(blocks, "__block")
+        .transform(lambda c: _join_slices(c, blocks, ["__block"], "inner"))
         .select(SLICE, (F.col("__in") + F.col("__base")).alias("__offset"))
     )
     return (
-        sliced.withColumn("__row", F.row_number().over(W.partitionBy(SLICE).orderBy(order, *ties)))
-        .join(offsets, SLICE)
+        _join_slices(sliced.withColumn("__row", F.row_number().over(W.partitionBy(SLICE).orderBy(order, *ties))), offsets, [SLICE], "inner")
         .withColumn(name, F.col("__offset") + F.col("__row"))
         .select(*df.columns, name)
     )

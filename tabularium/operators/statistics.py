@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -28,10 +29,11 @@ AR_MIN_DAYS = 50
 VARIABLE_CV, HIGH_CONFIDENCE, CRITICAL_CONFIDENCE = 0.5, 0.7, 0.8
 LEVEL_SCORES = {"strong": 0.9, "moderate": 0.7, "weak": 0.5}
 DEFAULT_FORECAST_SCORE, DEFAULT_CONFIDENCE = 0.6, 0.5
+TOO_FEW = "too_few_rows"
 
 
 def _regression(df: DataFrame, keys: Sequence[str], ts: str, value: str, min_rows: int) -> DataFrame:
-    """Least squares of value on whole days since the first row, one row per series."""
+    """Least squares of value on whole days since the first row, one row per series, with a status for short ones."""
     known = df.where(F.col(ts).isNotNull() & F.col(value).isNotNull()).select(*keys, ts, value)
     starts = known.groupBy(*keys).agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
     days = join_checked(known, starts, list(keys)).withColumn("day", whole_days_between("first_ts", ts))
@@ -40,16 +42,29 @@ def _regression(df: DataFrame, keys: Sequence[str], ts: str, value: str, min_row
         F.regr_intercept(value, "day").alias("intercept"), F.regr_r2(value, "day").alias("r_squared"),
         F.regr_sxx(value, "day").alias("sxx"), F.regr_sxy(value, "day").alias("sxy"),
         F.regr_syy(value, "day").alias("syy"),
-    ).where(F.col("n") >= min_rows)
+    ).withColumn("status", F.when(F.col("n") >= min_rows, "ok").otherwise(TOO_FEW))
 
 
 def linear_trend(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:
-    """Slope, fit and direction per series; the fit is the confidence."""
+    """Slope, fit and direction per series; the fit is the confidence. A short series has its status and no trend."""
     direction = (
         F.when(F.abs("slope") < FLAT_SLOPE, "stable").when(F.col("slope") > 0, "increasing").otherwise("decreasing")
     )
     fitted = _regression(df, keys, ts, value, TREND_MIN_ROWS)
-    return fitted.select(*keys, "n", "slope", "r_squared", direction.alias("trend"), F.col("r_squared").alias("confidence"))
+    ok = F.col("status") == "ok"
+    fitted = fitted.withColumns({"slope": F.when(ok, F.col("slope")), "r_squared": F.when(ok, F.col("r_squared"))})
+    return fitted.select(
+        *keys, "n", "status", "slope", "r_squared", F.when(ok, direction).alias("trend"), F.col("r_squared").alias("confidence"))
+
+
+def short_series(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Series that an analysis leaves out for want of rows, and which ones: (keys, n, left_out)."""
+    bounds = {
+        "trend": TREND_MIN_ROWS, "sudden_changes": JUMP_MIN_ROWS, "linear_forecast": FORECAST_MIN_ROWS, "autoregressive_forecast": AR_MIN_DAYS,
+    }
+    counted = df.groupBy(*keys).agg(F.count(value).alias("n"))
+    out = F.array_compact(F.array(*[F.when(F.col("n") < least, F.lit(name)) for name, least in bounds.items()]))
+    return counted.withColumn("left_out", out).where(F.size("left_out") > 0)
 
 
 def daily_series(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:
@@ -134,8 +149,11 @@ def correlation_level(r: Column) -> Column:
     return F.when(size >= STRONG, "strong").when(size >= MODERATE, "moderate").when(size >= WEAK, "weak").otherwise("none")
 
 
-def correlations(df: DataFrame, columns: Sequence[str], limit: int = 10) -> DataFrame:
-    """Pearson correlation of every column pair from one aggregate, the strongest ``limit`` first."""
+def correlations(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Pearson correlation of every column pair from one aggregate; ``limit`` keeps the strongest for a display.
+
+    Pairs with too few values come back with the status ``too_few_rows`` and no correlation.
+    """
     pairs = list(combinations(columns, 2))
     aggregates = []
     for i, (a, b) in enumerate(pairs):
@@ -145,19 +163,22 @@ def correlations(df: DataFrame, columns: Sequence[str], limit: int = 10) -> Data
         F.struct(F.lit(a).alias("variable1"), F.lit(b).alias("variable2"), F.col(f"n{i}").alias("pairs"),
                  F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)
     ])
-    rows = df.agg(*aggregates).select(F.explode(cells).alias("x")).select("x.*").where(F.col("pairs") >= CORRELATION_MIN_PAIRS)
+    rows = df.agg(*aggregates).select(F.explode(cells).alias("x")).select("x.*")
+    enough = F.col("pairs") >= CORRELATION_MIN_PAIRS
+    rows = rows.withColumns({"r": F.when(enough, F.col("r")), "status": F.when(enough, "ok").otherwise(TOO_FEW)})
 
     @F.pandas_udf("double")
     def p_value(r: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([pearson_p(x, int(k)) for x, k in zip(r, n)])
+        return pd.Series([None if pd.isna(x) else pearson_p(x, int(k)) for x, k in zip(r, n)], dtype=float)
 
-    return (
-        rows.withColumns({
-            "level": correlation_level(F.col("r")), "direction": F.when(F.col("r") > 0, "positive").otherwise("negative"),
-        })
-        .orderBy(F.abs("r").desc(), "variable1", "variable2").limit(limit)
-        .withColumn("p_value", p_value("r", "pairs"))
-    )
+    known = F.col("r").isNotNull()
+    levelled = rows.withColumns({
+        "level": F.when(known, correlation_level(F.col("r"))),
+        "direction": F.when(F.col("r") > 0, "positive").when(known, "negative"),
+    })
+    if limit is not None:
+        levelled = levelled.orderBy(F.abs("r").desc_nulls_last(), "variable1", "variable2").limit(limit)
+    return levelled.withColumn("p_value", p_value("r", "pairs"))
 
 
 def z_score_outliers(df: DataFrame, keys: Sequence[str], columns: Sequence[str], per_column: int | None = None) -> DataFrame:
@@ -284,19 +305,20 @@ def isolation_outliers(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def linear_forecast(df: DataFrame, keys: Sequence[str], ts: str, value: str, horizon: int) -> DataFrame:
-    """Linear continuation for ``horizon`` days with widening 95 % bounds."""
+    """Linear continuation for ``horizon`` days with widening 95 % bounds; a short series gives one row with its status."""
     fitted = _regression(df, keys, ts, value, FORECAST_MIN_ROWS)
     fitted = fitted.withColumns({
         "rmse": F.sqrt(F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0)) / F.col("n")),
         "last_day": whole_days_between("first_ts", "last_ts"),
     })
-    points = fitted.withColumn("period", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    ok = F.col("status") == "ok"
+    points = fitted.withColumn("period", F.explode(F.when(ok, F.sequence(F.lit(1), F.lit(horizon))).otherwise(F.array(F.lit(None).cast("int")))))
     predicted = F.col("intercept") + F.col("slope") * (F.col("last_day") + F.col("period"))
     width = Z_95 * F.col("rmse") * (1 + (F.col("period") - 1) * WIDENING)
     return points.withColumn("predicted", predicted).select(
         *keys, "period", F.date_add(F.col("last_ts").cast("date"), F.col("period")).cast("string").alias("day"),
         "predicted", (F.col("predicted") - width).alias("lower"), (F.col("predicted") + width).alias("upper"),
-        F.col("r_squared").alias("accuracy"), "rmse")
+        F.when(ok, F.col("r_squared")).alias("accuracy"), F.when(ok, F.col("rmse")).alias("rmse"), "status")
 
 
 def fit_autoregression(values: np.ndarray) -> tuple[float, int, int, np.ndarray, float]:
@@ -319,14 +341,14 @@ def fit_autoregression(values: np.ndarray) -> tuple[float, int, int, np.ndarray,
 
 
 def autoregressive_forecast(daily: DataFrame, key: str, horizon: int, min_days: int = AR_MIN_DAYS) -> DataFrame:
-    """AR model with differencing per daily series, order by AIC, forecast with 95 % bounds."""
+    """AR model with differencing per daily series, order by AIC, forecast with 95 % bounds; a short one has its status."""
     kind = daily.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, period int, day string, predicted double, lower double, upper double, aic double, lags int, differences int"
+    schema = f"{key} {kind}, period int, day string, predicted double, lower double, upper double, aic double, lags int, differences int, status string"
 
     def forecast(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("day")
         values = group["value"].to_numpy(dtype=float)
-        empty = pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        empty = pd.DataFrame([{c.split()[0]: None for c in schema.split(", ")} | {key: group[key].iloc[0], "status": TOO_FEW}])
         best = fit_autoregression(values) if len(values) >= min_days else None
         if best is None:
             return empty
@@ -346,7 +368,7 @@ def autoregressive_forecast(daily: DataFrame, key: str, horizon: int, min_days:
         return pd.DataFrame({
             key: group[key].iloc[0], "period": np.arange(1, horizon + 1), "day": days.strftime("%Y-%m-%d"),
             "predicted": predicted, "lower": predicted - spread, "upper": predicted + spread, "aic": aic,
-            "lags": p, "differences": d,
+            "lags": p, "differences": d, "status": "ok",
         })
 
     return daily.groupBy(key).applyInPandas(forecast, schema)
@@ -354,25 +376,24 @@ def autoregressive_forecast(daily: DataFrame, key: str, horizon: int, min_days:
 
 def report_summary(summary: DataFrame, trends: DataFrame, related: DataFrame, anomalies: DataFrame, forecasts: DataFrame) -> DataFrame:
     """Counts and rule flags of an analysis report as rows (item, n)."""
-    def row(df: DataFrame, item: str, test: Column) -> DataFrame:
-        return df.agg(F.count_if(test).alias("n")).select(F.lit(item).alias("item"), "n")
+    def counted(df: DataFrame, **tests: Column) -> DataFrame:
+        """All items of one input from one aggregate."""
+        rows = F.array(*[F.struct(F.lit(item).alias("item"), F.col(item).alias("n")) for item in tests])
+        return df.agg(*[F.count_if(test).alias(item) for item, test in tests.items()]).select(F.explode(rows).alias("x")).select("x.*")
 
     spread = (F.col("mean") != 0) & (F.col("std_dev") != 0) & (F.col("std_dev") / F.abs("mean") > VARIABLE_CV)
     sure = F.col("confidence") > HIGH_CONFIDENCE
-    parts = [
-        row(summary, "variables", F.lit(True)), row(summary, "high_variability", spread),
-        *[row(trends, f"{kind}_trends", F.col("trend") == kind) for kind in ("increasing", "decreasing", "stable")],
-        row(trends, "sure_increasing", (F.col("trend") == "increasing") & sure),
-        row(trends, "sure_decreasing", (F.col("trend") == "decreasing") & sure),
-        row(related, "strong_correlations", F.col("level") == "strong"),
-        row(anomalies, "anomalies", F.lit(True)),
-        row(anomalies, "critical_anomalies", F.col("confidence") > CRITICAL_CONFIDENCE),
-        row(forecasts, "forecasts", F.col("period") == 1),
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    rising, falling = F.col("trend") == "increasing", F.col("trend") == "decreasing"
+    return reduce(DataFrame.unionByName, [
+        counted(summary, variables=F.lit(True), high_variability=spread),
+        counted(
+            trends, increasing_trends=rising, decreasing_trends=falling, stable_trends=F.col("trend") == "stable",
+            sure_increasing=rising & sure, sure_decreasing=falling & sure,
+        ),
+        counted(related, strong_correlations=F.col("level") == "strong"),
+        counted(anomalies, anomalies=F.lit(True), critical_anomalies=F.col("confidence") > CRITICAL_CONFIDENCE),
+        counted(forecasts, forecasts=F.col("period") == 1),
+    ])
 
 
 def overall_confidence(trends: DataFrame, related: DataFrame, forecasts: DataFrame) -> DataFrame:

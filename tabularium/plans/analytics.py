@@ -21,7 +21,7 @@ TREND_LABEL = "CASE WHEN abs(slope) < 0.001 THEN 'stable' WHEN slope > 0 THEN 'i
 
 
 def _trend_sql(table, key, ts, value):
-    return f"""SELECT {key}, n, round(slope, 6) AS slope, round(r_squared, 6) AS r_squared, {TREND_LABEL} AS trend
+    return f"""SELECT {key}, n, 'ok' AS status, round(slope, 6) AS slope, round(r_squared, 6) AS r_squared, {TREND_LABEL} AS trend
 FROM {_regression_sql(table, key, ts, value, 10)}"""
 
 
@@ -43,6 +43,7 @@ def _(t):
 
 
 LINE_NUMBERS = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+REPORT_NUMBERS = [*LINE_NUMBERS, "l_suppkey"]  # fifteen pairs
 
 
 def _correlation_sql(table, columns):
@@ -52,13 +53,14 @@ def _correlation_sql(table, columns):
     ]
     return f"""(SELECT *, CASE WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.5 THEN 'moderate' WHEN abs(r) >= 0.3
   THEN 'weak' ELSE 'none' END AS level, CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction
-FROM ({' UNION ALL '.join(parts)}) WHERE pairs >= 10 ORDER BY abs(r) DESC LIMIT 10)"""
+FROM ({' UNION ALL '.join(parts)}) WHERE pairs >= 10)"""
 
 
 @query("correlations", "T3", f"""
-SELECT variable1, variable2, pairs, round(r, 6) AS r, level, direction FROM {_correlation_sql("lineitem", LINE_NUMBERS)}""")
+SELECT variable1, variable2, pairs, round(r, 6) AS r, level, direction FROM {_correlation_sql("lineitem", LINE_NUMBERS)}
+ORDER BY abs(r) DESC LIMIT 10""")
 def _(t):
-    return st.correlations(t.lineitem, LINE_NUMBERS).drop("p_value").withColumn("r", F.round("r", 6))
+    return st.correlations(t.lineitem, LINE_NUMBERS, limit=10).drop("p_value", "status").withColumn("r", F.round("r", 6))
 
 
 @query("correlation_p_values", "T3")
@@ -66,6 +68,24 @@ def _(t):
     return st.correlations(t.lineitem, LINE_NUMBERS)
 
 
+@query("short_series", "T1, T6, T7, T8", """
+SELECT o_custkey, n, list_filter([CASE WHEN n < 10 THEN 'trend' END, CASE WHEN n < 20 THEN 'sudden_changes' END,
+  CASE WHEN n < 20 THEN 'linear_forecast' END, CASE WHEN n < 50 THEN 'autoregressive_forecast' END], lambda x: x IS NOT NULL) AS left_out
+FROM (SELECT o_custkey, count(o_totalprice) AS n FROM orders GROUP BY 1) WHERE n < 50""")
+def _(t):
+    return st.short_series(t.orders, ["o_custkey"], "o_totalprice")
+
+
+@query("trends_of_short_series", "T1", """
+SELECT o_custkey, n, CASE WHEN n >= 10 THEN 'ok' ELSE 'too_few_rows' END AS status,
+  CASE WHEN n >= 10 THEN round(slope, 4) END AS slope FROM (
+  SELECT o_custkey, count(*) AS n, regr_slope(o_totalprice, date_diff('day', first_ts, o_orderdate)) AS slope FROM (
+    SELECT *, min(o_orderdate) OVER (PARTITION BY o_custkey) AS first_ts FROM orders) GROUP BY o_custkey)""")
+def _(t):
+    trends = st.linear_trend(t.orders, ["o_custkey"], "o_orderdate", "o_totalprice")
+    return trends.select("o_custkey", "n", "status", F.round("slope", 4).alias("slope"))
+
+
 OUTLIERS = """(SELECT 'outlier' AS kind, variable, key, value, mean AS expected, abs(value - mean) / std AS deviation,
   least(abs(value - mean) / std / 3, 1.0) AS confidence FROM (
   SELECT 'value' AS variable, event_id::VARCHAR AS key, value, avg(value) OVER () AS mean,
@@ -142,7 +162,7 @@ FORECAST = f"""(SELECT series, i AS period, predicted, predicted - width AS lowe
 SELECT series, period, day, round(predicted, 2) AS predicted, round(lower, 2) AS lower, round(upper, 2) AS upper,
   round(r_squared, 8) AS accuracy, round(rmse, 2) AS rmse FROM {FORECAST}""")
 def _(t):
-    points = st.linear_forecast(daily_revenue(t), ["series"], "o_orderdate", "revenue", 7)
+    points = st.linear_forecast(daily_revenue(t), ["series"], "o_orderdate", "revenue", 7).drop("status")
     return points.withColumns({c: F.round(c, 2) for c in ("predicted", "lower", "upper", "rmse")}
                               | {"accuracy": F.round("accuracy", 8)})
 
@@ -170,7 +190,7 @@ def _report_parts(t):
     return (
         profiling.numeric_summary(t.events.select("event_id", "user_id", "value")),
         st.linear_trend(t.events, ["event_type"], "ts", "value"),
-        st.correlations(t.lineitem, LINE_NUMBERS),
+        st.correlations(t.lineitem, REPORT_NUMBERS),
         st.z_score_outliers(t.events, ["event_id"], ["value"]),
         st.linear_forecast(daily_revenue(t), ["series"], "o_orderdate", "revenue", 7),
     )
@@ -181,7 +201,7 @@ WITH s AS (SELECT avg(c) AS mean, stddev_samp(c) AS std FROM (SELECT event_id AS
   UNION ALL SELECT avg(user_id), stddev_samp(user_id) FROM events
   UNION ALL SELECT avg(value), stddev_samp(value) FROM events),
 t AS (SELECT {TREND_LABEL} AS trend, r_squared FROM {_regression_sql("events", "event_type", "ts", "value", 10)}),
-c AS (SELECT * FROM {_correlation_sql("lineitem", LINE_NUMBERS)}), a AS (SELECT * FROM {OUTLIERS}),
+c AS (SELECT * FROM {_correlation_sql("lineitem", REPORT_NUMBERS)}), a AS (SELECT * FROM {OUTLIERS}),
 f AS (SELECT * FROM {FORECAST})
 SELECT 'variables' AS item, count(*) AS n FROM s
 UNION ALL SELECT 'high_variability', count(*) FILTER (std / abs(mean) > 0.5) FROM s
@@ -202,7 +222,7 @@ def _(t):
 SELECT round(coalesce(avg(score), 0.5), 6) AS confidence FROM (
   SELECT r_squared AS score FROM {_regression_sql("events", "event_type", "ts", "value", 10)}
   UNION ALL SELECT CASE level WHEN 'strong' THEN 0.9 WHEN 'moderate' THEN 0.7 WHEN 'weak' THEN 0.5 END
-    FROM {_correlation_sql("lineitem", LINE_NUMBERS)}
+    FROM {_correlation_sql("lineitem", REPORT_NUMBERS)}
   UNION ALL SELECT CASE WHEN coalesce(r_squared, 0) <> 0 THEN r_squared ELSE 0.6 END FROM {FORECAST} WHERE period = 1)""")
 def _(t):
     _, trends, related, _, forecasts = _report_parts(t)

@@ -75,3 +75,14 @@ def test_names():
 def test_sql_literals(spark):
     for text in (r"\bDROP\b", "it's", 'a"b', r"\\ '\''", "é\n"):
         assert spark.sql(f"SELECT {quote(text)} AS t").first()["t"] == text
+
+
+def test_ordered_helpers_keep_null_keys_and_null_order_values(spark):
+    rows = [(None, 1.0, 1, 10.0), (None, 40.0, 2, 20.0), ("a", None, 3, 30.0), ("a", 5.0, 4, 40.0), ("a", 90.0, 5, None), (None, 80.0, 6, 5.0)]
+    df = spark.createDataFrame(rows, "k string, at double, id int, v double")
+    previous = {r["id"]: r["p"] for r in ordered.with_previous(df, ["k"], "at", {"p": "id"}, 30, ["id"]).collect()}
+    assert previous == {1: None, 2: 1, 6: 2, 3: None, 4: 3, 5: 4}
+    highest = {r["id"]: r["m"] for r in ordered.with_running_max(df, ["k"], "at", "v", "m", 30, ["id"]).collect()}
+    assert highest == {1: 10.0, 2: 20.0, 6: 20.0, 3: 30.0, 4: 40.0, 5: 40.0}
+    place = {r["id"]: r["n"] for r in ordered.with_position(df, "at", ["id"], "n", 30).collect()}
+    assert place == {3: 1, 1: 2, 4: 3, 2: 4, 6: 5, 5: 6}
