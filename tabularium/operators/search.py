@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabularium.functions.skew import join_checked
 from tabularium.functions.text import jaccard, let, let_sql, quote, weight_sql, words
 from tabularium.session import new_scratch
 
@@ -91,6 +92,7 @@ def _scan_vectors(chunks: DataFrame, rows: list[Row], n: int, per_resource: bool
 
     A batch hands on its best ``n`` per query, or per query and resource.
     """
+    chunks = chunks.where(F.col("embedding").isNotNull())
     vectors = [(r["query_id"], r["variation"], np.asarray(r["vector"], dtype=np.float64)) for r in rows]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,7 +206,6 @@ def mmr_search(queries: DataFrame, chunks: DataFrame, n: int, trade_off: float =
     Each group holds at most ``3n`` rows, so one task per query is enough.
     """
     pool = semantic_search(queries, chunks, n * MMR_POOL)
-    texts = chunks.select("chunk_id", F.array_distinct(words(F.lower("text"))).alias("words"))
     schema = (
         f"query_id {pool.schema['query_id'].dataType.simpleString()}, "
         f"chunk_id {pool.schema['chunk_id'].dataType.simpleString()}, relevance double, pick int, mmr double"
@@ -228,7 +229,10 @@ def mmr_search(queries: DataFrame, chunks: DataFrame, n: int, trade_off: float =
         result = group.loc[chosen, ["query_id", "chunk_id", "relevance"]]
         return result.assign(pick=np.arange(1, len(chosen) + 1, dtype="int32"), mmr=scores)
 
-    return pool.join(texts, "chunk_id").groupBy("query_id").applyInPandas(pick, schema)
+    # only the texts of the pool are cut into words; the few pool rows go to the chunks, not the corpus to them
+    found = join_checked(chunks.select("chunk_id", "text"), pool, ["chunk_id"])
+    found = found.withColumn("words", F.coalesce(F.array_distinct(words(F.lower("text"))), F.array().cast("array<string>")))
+    return found.drop("text").groupBy("query_id").applyInPandas(pick, schema)
 
 
 def _overlap(a: set, b: set) -> float:

@@ -244,36 +244,36 @@ def _(t):
     return found.select("query_id", "resource_id", "chunk_id", F.round("relevance", 6).alias("relevance"))
 
 
-LABELLED = [(label, 0, SEARCH_TEXTS[label]) for label in range(3)]
+def all_chunks(t):
+    """Every document, with its vector where it has one."""
+    return t.spread("documents").join(t.embeddings, F.expr("vec_id = doc_id"), "left").select(
+        F.col("label").alias("resource_id"), F.col("doc_id").alias("chunk_id"), "embedding", "text")
+
+
+LABELLED = [(label, 0, SEARCH_TEXTS[label % 3]) for label in range(10)]  # a search text for every label
 
 
 @query("hybrid_search", "R12", f"""
 WITH s AS (SELECT query_id, chunk_id, relevance, distance FROM (SELECT * FROM {DISTANCES.replace("AS distance", "AS distance")}
-    WHERE query_id < 3 AND chunk_id IN (SELECT doc_id FROM documents)) x,
+    WHERE chunk_id IN (SELECT doc_id FROM documents)) x,
     LATERAL (SELECT greatest(0.0, 1.0 - distance) AS relevance) y
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) <= 40),
-k AS (SELECT query_id, chunk_id, relevance FROM {KEYWORD_HITS} WHERE variation = 0 AND relevance > 0
-  AND chunk_id IN (SELECT vec_id FROM embeddings)
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, chunk_id) <= 40)
+k AS (SELECT label AS query_id, chunk_id, relevance FROM {KEYWORD_HITS} x JOIN range(10) l(label) ON x.query_id = label % 3
+  WHERE variation = 0 AND relevance > 0 QUALIFY row_number() OVER (PARTITION BY label ORDER BY relevance DESC, chunk_id) <= 40)
 SELECT query_id, chunk_id, round(relevance, 6) AS relevance FROM (
   SELECT coalesce(s.query_id, k.query_id) AS query_id, coalesce(s.chunk_id, k.chunk_id) AS chunk_id,
     coalesce(least(1.0, 1.2 * (0.7 * s.relevance + 0.3 * k.relevance)), s.relevance, k.relevance) AS relevance
   FROM s FULL JOIN k ON s.query_id = k.query_id AND s.chunk_id = k.chunk_id)
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, chunk_id) <= 20""")
 def _(t):
-    chunks = t.embeddings.join(t.spread("documents"), F.expr("vec_id = doc_id")).select(
-        F.col("label").alias("resource_id"), F.col("vec_id").alias("chunk_id"), "embedding", "text")
     texts = t.spark.createDataFrame(LABELLED, "query_id int, variation int, query string")
-    vectors = centroid_queries(t).where("query_id < 3")
-    found = search.hybrid_search(vectors, texts, chunks, 20)
+    found = search.hybrid_search(centroid_queries(t), texts, all_chunks(t), 20)
     return found.select("query_id", "chunk_id", F.round("relevance", 6).alias("relevance"))
 
 
 @query("mmr_search", "R13")
 def _(t):
-    chunks = t.embeddings.join(t.spread("documents"), F.expr("vec_id = doc_id")).select(
-        F.col("label").alias("resource_id"), F.col("vec_id").alias("chunk_id"), "embedding", "text")
-    return search.mmr_search(centroid_queries(t), chunks, 5)
+    return search.mmr_search(centroid_queries(t), all_chunks(t), 5)
 
 
 @query("text_similarity", "R14", rf"""

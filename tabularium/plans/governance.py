@@ -328,7 +328,16 @@ def _(t):
     return found.withColumns({c: F.col(c).cast("string") for c in ("session_start", "session_end")})
 
 
-@query("rate_limit_decisions", "ST4")
+RATE_LIMIT_SQL = """
+WITH RECURSIVE e AS (SELECT event_type, event_id, epoch(ts) AS secs, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT event_type, event_id, n, true AS allowed, [secs] AS recent FROM e WHERE n = 1
+  UNION ALL SELECT event_type, event_id, n, len(kept) < 5, CASE WHEN len(kept) < 5 THEN list_append(kept, secs) ELSE kept END FROM (
+    SELECT e.event_type, e.event_id, e.n, e.secs, list_filter(r.recent, lambda x: e.secs - x < 60) AS kept
+    FROM r JOIN e ON e.event_type = r.event_type AND e.n = r.n + 1))
+SELECT event_type, event_id, allowed FROM r"""
+
+
+@query("rate_limit_decisions", "ST4", RATE_LIMIT_SQL)
 def _(t):
     calls = t.events.select("event_type", "ts", "event_id")
     return activity.rate_limit(calls, ["event_type"], "streaming")

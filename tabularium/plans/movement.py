@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from tabularium.functions.time import ntz
 from tabularium.operators import access, activity, chunking, cleaning
 from tabularium.plans.governance import EVENTS_END, KIND, SEVERITY, STATUS, audit_log, progress_events
+from tabularium.plans.governance import RATE_LIMIT_SQL
 from tabularium.plans.registry import query
 from tabularium.plans.tabular import messy_customers
 from tabularium.session import new_scratch
@@ -242,7 +243,7 @@ def _(t):
     return streams.run_updates(counted, "audit-counts", ["day", "event_type", "severity"])
 
 
-@query("stream_rate_limit", "ST4")
+@query("stream_rate_limit", "ST4", RATE_LIMIT_SQL)
 def _(t):
     stream = event_stream(t).select("event_type", "ts", "event_id")
     return streams.run_append(streams.rate_limiter(stream, "event_type", "streaming"), "limits")
