@@ -158,11 +158,17 @@ def document_shape(df: DataFrame, key: str, text: str, max_depth: int | None = N
 
 
 def field_type_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Total, numeric and list fields per document, and the number of nested objects."""
+    """Total, numeric and list fields per document, and the number of nested objects; null for what is no JSON object."""
     @F.pandas_udf("struct<total:long, numeric:long, lists:long, objects:long>")
     def count(column: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([count_fields(json.loads(t)) for t in column],
-                            columns=["total", "numeric", "lists", "objects"])
+        def one(t):
+            try:
+                document = json.loads(t)
+            except (TypeError, ValueError):
+                document = None
+            return count_fields(document) if isinstance(document, dict) else (None,) * 4
+
+        return pd.DataFrame([one(t) for t in column], columns=["total", "numeric", "lists", "objects"], dtype="Int64")
 
     return df.select(key, count(text).alias("c")).select(key, "c.*")
 
