@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabularium.llm.common import partitions
+
 SEGMENTS, BITS = 4, 16
 BLOCK = 65_536  # distinct codes of an index block, and of a query block
-QUERY_BLOCK = 256
+QUERY_BLOCK = 512
 
 
 def sign_code(vector: str) -> Column:
@@ -124,7 +126,8 @@ def nearest_codes(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
     n_query_blocks = max(1, -(-codes.count() // QUERY_BLOCK))
     query_blocks = codes.groupBy(F.pmod(F.xxhash64("query_code", F.lit(1)), F.lit(n_query_blocks)).alias("part")).agg(F.collect_list("query_code").alias("queries"))
     pairs = query_blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "block")
-    pairs = pairs.repartition(max(n_query_blocks * n_blocks, 1), "block", "part").select("block", "codes", "first_ids", "queries")
+    spread = max(partitions(rows), min(n_query_blocks * n_blocks, 16 * partitions(rows)))
+    pairs = pairs.repartition(spread, "block", "part").sortWithinPartitions("block").select("block", "codes", "first_ids", "queries")
     found = pairs.mapInPandas(_search(k), "query_code long, code long, first_id long, distance long")
     # the k best codes hold the k best rows
     best = found.withColumn("n", F.row_number().over(W.partitionBy("query_code").orderBy("distance", "first_id"))).where(F.col("n") <= k)
