@@ -273,9 +273,10 @@ def trend_line(df: DataFrame, ts: str, value: str) -> DataFrame:
         F.count(F.lit(1)).alias("count"), F.avg(value).alias("mean"), F.sum(value).alias("total"))
 
 
-def scatter_sample(df: DataFrame, x: str, y: str, key: str, points: int = 1000) -> DataFrame:
-    """Seeded sample of point pairs for a scatter plot, the same rows on every run."""
-    return df.orderBy(F.xxhash64(F.col(key)), key).limit(points).select(key, x, y)
+def scatter_pairs(df: DataFrame, x: str, y: str, key: str, points: int | None = None) -> DataFrame:
+    """Point pairs for a scatter plot: all, or on request a seeded sample that is the same on every run."""
+    pairs = df.select(key, x, y)
+    return pairs if points is None else pairs.orderBy(F.xxhash64(F.col(key)), key).limit(points)
 
 
 def distinct_counts(df: DataFrame, exact: bool = True) -> DataFrame:

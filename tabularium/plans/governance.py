@@ -253,7 +253,7 @@ def _(t):
 
 
 @query("interface_statistics", "A19", f"""
-WITH r AS (SELECT user_id, ts, event_type, value FROM events WHERE ts >= TIMESTAMP '2024-01-29 00:00:00'),
+WITH r AS (SELECT user_id, ts, event_type, value FROM events),
 c AS (SELECT user_id, (epoch_us(TIMESTAMP '{EVENTS_END}') - epoch_us(min(ts))) / 3600000000 AS hours FROM r GROUP BY user_id)
 SELECT 'queries' AS item, count(*)::DOUBLE AS value FROM r UNION ALL SELECT 'references', count(event_type) FROM r
 UNION ALL SELECT 'mean ms', round(avg(value), 6) FROM r UNION ALL SELECT 'conversations', count(*) FROM c
@@ -262,7 +262,7 @@ UNION ALL SELECT 'intent ' || event_type, count(*) FROM r GROUP BY event_type
 UNION ALL SELECT CASE WHEN hours < 1 THEN 'age < 1 hour' WHEN hours < 6 THEN 'age 1-6 hours' WHEN hours < 24
   THEN 'age 6-24 hours' ELSE 'age > 24 hours' END, count(*) FROM c GROUP BY 1""")
 def _(t):
-    requests = t.events.where(F.col("ts") >= ntz("2024-01-29 00:00:00")).select(
+    requests = t.events.select(
         F.col("user_id").alias("conversation"), "ts", F.col("event_type").alias("intent"),
         F.col("event_type").alias("resource"), F.col("value").alias("ms"))
     return activity.interface_statistics(requests, ntz(EVENTS_END)).withColumn("value", F.round("value", 6))

@@ -395,12 +395,12 @@ def _(t):
 
 @query("union_all_aligned", "U2", """
 SELECT o_orderkey, o_totalprice, o_orderpriority, NULL::VARCHAR AS o_orderstatus FROM orders
-WHERE year(o_orderdate) = 1997
-UNION ALL SELECT o_orderkey, o_totalprice, NULL, o_orderstatus FROM orders WHERE year(o_orderdate) = 1998""")
+WHERE o_orderstatus = 'O'
+UNION ALL SELECT o_orderkey, o_totalprice, NULL, o_orderstatus FROM orders WHERE o_orderstatus <> 'O'""")
 def _(t):
     return rel.union_aligned(
-        t.orders.where("year(o_orderdate) = 1997").select("o_orderkey", "o_totalprice", "o_orderpriority"),
-        t.orders.where("year(o_orderdate) = 1998").select("o_orderkey", "o_totalprice", "o_orderstatus"),
+        t.orders.where("o_orderstatus = 'O'").select("o_orderkey", "o_totalprice", "o_orderpriority"),
+        t.orders.where("o_orderstatus <> 'O'").select("o_orderkey", "o_totalprice", "o_orderstatus"),
     )
 
 

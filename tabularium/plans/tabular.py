@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabularium.operators import cleaning, profiling
+from tabularium.operators import cleaning, harmonise as hz, profiling
 from tabularium.plans.registry import query
 
 
@@ -344,7 +344,8 @@ def _(t):
     names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
              "embeddings", "pages", "benchmark", "labels", "conversations"]
     fields = profiling.quality_of_tables(_tables(t, names), exact=False)
-    return profiling.catalog_overview(profiling.quality_dimensions(fields), relationships=8)
+    related = hz.scored_pairs(t.spark, hz.fields_of(_tables(t, names)), hz.RELATION_SIGNS, hz.RELATION_MIN)
+    return profiling.catalog_overview(profiling.quality_dimensions(fields), relationships=len(related))
 
 
 @query("column_roles", "Q12", """
@@ -370,6 +371,6 @@ def _(t):
     return line.withColumns({c: F.round(c, 6) for c in ("mean", "total")})
 
 
-@query("chart_scatter_pairs", "Q13")
+@query("chart_scatter_pairs", "Q13", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def _(t):
-    return profiling.scatter_sample(t.orders, "o_custkey", "o_totalprice", "o_orderkey")
+    return profiling.scatter_pairs(t.orders, "o_custkey", "o_totalprice", "o_orderkey")

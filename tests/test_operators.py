@@ -315,3 +315,53 @@ def test_version_of_file(spark):
 
 def test_limits_list():
     assert activity.limit_decisions([0, 1, 2, 61, 62], 2, 60) == [True, True, False, True, True]
+
+
+def test_every_correlated_pair_reaches_the_report(spark):
+    import numpy as np
+
+    from tabularium.operators import statistics as st
+
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=200)
+    columns = [f"c{i}" for i in range(6)]
+    df = spark.createDataFrame([tuple(float(b * (i + 1)) for i in range(6)) for b in base], ", ".join(f"{c} double" for c in columns))
+    related = st.correlations(df, columns)
+    assert related.count() == 15 and related.where("level = 'strong'").count() == 15
+    assert st.correlations(df, columns, limit=10).count() == 10
+    few = st.correlations(df.limit(5), columns)
+    assert few.where("status = 'too_few_rows' AND r IS NULL").count() == 15
+
+
+def test_short_series_have_a_status(spark):
+    import datetime as dt
+
+    from tabularium.operators import statistics as st
+
+    day = dt.datetime(2024, 1, 1)
+    rows = [("long", day + dt.timedelta(days=i), float(i)) for i in range(30)] + [("short", day, 1.0)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double")
+    trends = {r["k"]: (r["status"], r["trend"]) for r in st.linear_trend(df, ["k"], "ts", "v").collect()}
+    assert trends == {"long": ("ok", "increasing"), "short": ("too_few_rows", None)}
+    forecast = st.linear_forecast(df, ["k"], "ts", "v", 3).groupBy("k", "status").count().collect()
+    assert sorted(tuple(r) for r in forecast) == [("long", "ok", 3), ("short", "too_few_rows", 1)]
+    assert {r["k"]: len(r["left_out"]) for r in st.short_series(df, ["k"], "v").collect()} == {"long": 1, "short": 4}
+
+
+def test_composite_join_keys_stay_whole(spark):
+    from tabularium.operators import harmonise as hz
+
+    left = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "order_id long, line_id long, x string")
+    right = spark.createDataFrame([(1, 1, 10.0), (1, 2, 20.0)], "order_id long, line_id long, y double")
+    tables = {"l": left, "r": right}
+    key = hz.join_key(spark, hz.fields_of(tables))
+    assert {a.name for a, _, _ in key} == {"order_id", "line_id"}
+    assert sorted(tuple(r) for r in hz.synthesize_join(tables, ["x", "y"]).collect()) == [("a", 10.0), ("b", 20.0)]
+
+
+def test_field_type_counts_of_bad_documents(spark):
+    from tabularium.operators import json_docs as jd
+
+    df = spark.createDataFrame([(1, '{"a": 1, "b": [1], "c": {"d": null}}'), (2, None), (3, "no json"), (4, "[1]")], "k int, j string")
+    got = {r["k"]: (r["total"], r["numeric"], r["lists"], r["objects"]) for r in jd.field_type_counts(df, "k", "j").collect()}
+    assert got == {1: (4, 1, 1, 1), 2: (None,) * 4, 3: (None,) * 4, 4: (None,) * 4}
