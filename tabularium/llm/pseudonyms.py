@@ -101,8 +101,17 @@ def phone(m: re.Match, key: bytes) -> str | None:
         n = len(digits) - 2
         return _fill(text, digits[:2] + str(permute(int(digits[2:]), 10**n, key, f"phone{digits[:2]}:{n}")).zfill(n))
     lead, own = digits[:-10], digits[-10:]
-    if len(own) < 10 or lead not in ("", "1") or own[0] in "01" or own[3] in "01" or text.isdigit():
+    if len(own) < 10 or lead not in ("", "1") or text.isdigit():
         return None
+    if own[0] in "01" or own[3] in "01":  # not assigned; only a country code shows that it is meant as a number
+        if not text.startswith("+"):
+            return None
+        at = int(own)
+        while True:  # walked on until it is one of the unassigned again
+            at = permute(at, 10**10, key, "phone0")
+            new = str(at).zfill(10)
+            if new[0] in "01" or new[3] in "01":
+                return _fill(text, lead + new)
     at = ((int(own[:3]) - 200) * 800 + int(own[3:6]) - 200) * 10_000 + int(own[6:])
     at, line = divmod(permute(at, 800 * 800 * 10_000, key, "phone1"), 10_000)
     area, exchange = divmod(at, 800)
