@@ -201,6 +201,7 @@ KINDS: list[tuple[str, str, re.Pattern, Callable[[re.Match, bytes], str | None]]
     ("date", "", re.compile(r"(?<![\d./-])(\d{4})([-/])(\d{2})\2(\d{2})(?![\d/-]|\.\d)", re.ASCII), numeric_date),
     ("date", "", re.compile(r"(?<![\d./-])(\d{2})([-./])(\d{2})\2(\d{4})(?![\d/-]|\.\d)", re.ASCII), numeric_date),
     ("date", "", re.compile(rf"\b(?:(?P<m>{_NAMES}) (?P<d>\d{{1,2}}), (?P<y>\d{{4}})|(?P<d2>\d{{1,2}}) (?P<m2>{_NAMES}) (?P<y2>\d{{4}}))\b", re.ASCII | re.IGNORECASE), written_date),
+    ("phone", "", re.compile(r"(?<![\w+.-])(?:\+?1[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?![\w-]|\.\d)", re.ASCII), phone),
     ("phone", "", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![\w-])", re.ASCII), phone),
 ]
 _SIGN = re.compile(r"[0-9]|@|(?i:token|secret|password|passwd|key)|::")
