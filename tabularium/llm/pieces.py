@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-VARIANTS = 4  # segmentations of a word that documents choose from
-CACHE = 600_000  # segmentations of words kept by a Python worker, some 150 MB
+SHORT = 48  # characters of a chunk whose agenda is a plain list
+VARIANTS = 2  # segmentations of a word that documents choose from
+CACHE = 200_000  # words and as many chunks remembered for each variant, some 100 MB in a Python worker
+ROWS = 500  # texts whose ids a worker holds at once
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -34,24 +37,65 @@ class Pieces:
         inside = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in joined)
         line = "" if any("\n" in p for p in joined) else "\n"
         # merges never cross the end of a chunk, so a chunk is encoded by itself
+        self.draws: dict[int, list[int]] = {}
+        self.by_space = not inside and bool(line)
         self.chunks = re.compile(f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+|\n" if not inside else r"(?s).+")
-        self.cache: dict[tuple[str, int], tuple[int, ...]] = {}
+        self.cache: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self.words: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self.newline = array("i", [byte_ids[10]] if byte_ids else []).tobytes()
 
-    def merge(self, chunk: str, variant: int, dropout: float, seed: int) -> tuple[int, ...]:
-        """Ids of one chunk: the agenda always takes the best-scored, leftmost merge; some are skipped by a keyed hash."""
+    def merge(self, chunk: str, variant: int, dropout: float, seed: int) -> bytes:
+        """Ids of one chunk as 32-bit numbers: the agenda always takes the best-scored, leftmost merge; some are skipped
+        by a keyed hash of the chunk, the place and the piece."""
+        limit = int(dropout * 2**32)
+        mark = xxhash.xxh32_intdigest(f"{variant}|{chunk}") if limit else 0
+        if seed not in self.draws:
+            self.draws = {seed: np.random.Generator(np.random.Philox(seed)).integers(0, 1 << 32, 1 << 16).tolist()}
+        merge = self._merge_short if len(chunk) <= SHORT else self._merge_long
+        parts = merge(chunk, mark, limit, self.draws[seed])
+        out = list(map(self.ids.get, parts))
+        if None in out:
+            out = [i for part, own in zip(parts, out) for i in ([own] if own is not None else [self.byte_ids[x] for x in part.encode()])]
+        return array("i", out).tobytes()
+
+    def _merge_short(self, chunk: str, mark: int, limit: int, draws: list[int]) -> list[str]:
+        """The agenda as a short list, one entry for each pair of neighbours.
+
+        ``draws`` are random numbers of the seed; the chunk's mark, the place and the piece choose a candidate's.
+        """
+        rank, ids, never = self.ranks.get, self.ids, float("inf")
+        part, place = list(chunk), list(range(len(chunk)))
+        agenda = [rank(a + b, never) for a, b in zip(part, part[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == never:
+                break
+            i = agenda.index(best)
+            both = part[i] + part[i + 1]
+            if limit and draws[mark + place[i] * 40503 + ids[both] * 31 & 0xFFFF] < limit:
+                agenda[i] = never
+                continue
+            part[i] = both
+            del part[i + 1], place[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(both + part[i + 1], never)
+            if i:
+                agenda[i - 1] = rank(part[i - 1] + both, never)
+        return part
+
+    def _merge_long(self, chunk: str, mark: int, limit: int, draws: list[int]) -> list[str]:
+        """The same for chunks of any length, with a heap."""
         ids, ranks, n = self.ids, self.ranks, len(chunk)
         part = list(chunk)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(ranks[both], a, both) for a in range(n - 1) if (both := part[a] + part[a + 1]) in ranks]
         heapq.heapify(agenda)
-        limit = int(dropout * 2**32)
-        mark = xxhash.xxh64_intdigest(f"{variant}|{chunk}", seed) if limit else 0
         while agenda:
             _, a, both = heapq.heappop(agenda)
             b = after[a]
             if b >= n or not part[a] or part[a] + part[b] != both:
                 continue  # one side has merged meanwhile
-            if limit and xxhash.xxh32_intdigest(b"%d %d" % (a, ids[both]), mark & 0xFFFFFFFF) < limit:
+            if limit and draws[mark + a * 40503 + ids[both] * 31 & 0xFFFF] < limit:
                 continue
             part[a], part[b] = both, ""
             c = after[a] = after[b]
@@ -62,46 +106,71 @@ class Pieces:
             c = before[a]
             if c >= 0 and (more := part[c] + both) in ranks:
                 heapq.heappush(agenda, (ranks[more], c, more))
-        out: list[int] = []
-        at = 0
-        while at < n:
-            if part[at] in ids:
-                out.append(ids[part[at]])
-            else:
-                out += [self.byte_ids[x] for x in part[at].encode()]
-            at = after[at]
-        return tuple(out)
-
-    def encode(self, text: str, dropout: float = 0.0, seed: int = 0) -> list[int]:
+        return [x for x in part if x]
+
+    def _remembered(self, chunk: str, variant: int, dropout: float, seed: int) -> bytes:
+        cache = self.cache[variant]
+        ids = cache.get(chunk)
+        if ids is None:
+            ids = self.merge(chunk, variant, dropout, seed)
+            if len(chunk) < 64:
+                if len(cache) >= CACHE:
+                    cache.clear()
+                cache[chunk] = ids
+        return ids
+
+    def _word(self, word: str, variant: int, dropout: float, seed: int) -> bytes:
+        """Ids of a word and the space before it; lines inside it are chunks of their own."""
+        if "\n" not in word:
+            return self.merge(SPACE + word, variant, dropout, seed)
+        first, *lines = word.split("\n")
+        parts = [self._remembered(SPACE + first, variant, dropout, seed)]
+        for line in lines:
+            parts.append(self.newline)
+            if line:
+                parts.append(self._remembered(line, variant, dropout, seed))
+        return b"".join(parts)
+
+    def encode(self, text: str, dropout: float = 0.0, seed: int = 0) -> np.ndarray:
         """Ids of a text. A literal U+2581 goes by its bytes, so decoding tells it from a space."""
-        out: list[int] = []
         if not text:
-            return out
+            return np.empty(0, np.int32)
         mark = np.uint64(xxhash.xxh64_intdigest(text.encode(), seed)) if dropout else None
-        cache = self.cache
-        for i, plain in enumerate(text.split(SPACE)):
-            if i:
-                out += [self.byte_ids[x] for x in SPACE.encode()]
-            chunks = self.chunks.findall(("" if i else SPACE) + plain.replace(" ", SPACE))
+
+        def variants(n: int, at: int) -> list[int]:
             if mark is None:
-                keys = [(c, 0) for c in chunks]
-            else:
-                draw = (np.arange(len(chunks), dtype=np.uint64) + mark + np.uint64(len(out))) * _ODD
-                keys = list(zip(chunks, ((draw >> np.uint64(40)) % np.uint64(VARIANTS)).tolist()))
-            for key in keys:
-                ids = cache.get(key)
+                return [0] * n
+            draw = (np.arange(at, at + n, dtype=np.uint64) + mark) * _ODD
+            return ((draw >> np.uint64(40)) % np.uint64(VARIANTS)).tolist()
+
+        out: list[bytes] = []
+        if self.by_space and text[0] != " " and "  " not in text and SPACE not in text:
+            parts = text.split(" ")
+            words = self.words
+            for word, variant in zip(parts, variants(len(parts), 0)):
+                ids = words[variant].get(word)
                 if ids is None:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    ids = self.merge(key[0], key[1], dropout, seed)
-                    if len(key[0]) < 64:
-                        cache[key] = ids
-                out += ids
-        return out
-
-    def decode(self, ids: list[int]) -> str:
+                    ids = self._word(word, variant, dropout, seed)
+                    if len(word) < 64:
+                        if len(words[variant]) >= CACHE:
+                            words[variant].clear()
+                        words[variant][word] = ids
+                out.append(ids)
+        else:
+            literal = array("i", [self.byte_ids[x] for x in SPACE.encode()] if SPACE in text else []).tobytes()
+            for i, plain in enumerate(text.split(SPACE)):
+                if i:
+                    out.append(literal)
+                chunks = self.chunks.findall(("" if i else SPACE) + plain.replace(" ", SPACE))
+                out += [self._remembered(c, v, dropout, seed) for c, v in zip(chunks, variants(len(chunks), len(out)))]
+        return np.frombuffer(b"".join(out), np.int32)
+
+    def decode(self, ids: np.ndarray) -> str:
         """The text that was encoded: piece bytes joined, less the space put before it."""
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
+        return self.decoded_bytes(ids).decode("utf-8", "replace")
+
+    def decoded_bytes(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))[1:]
 
 
 _LOADED: dict[tuple, Pieces] = {}
@@ -142,13 +211,11 @@ def encode_pieces(docs: DataFrame, model_path: str, dropout: float = 0.1, seed:
     @F.pandas_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("same", T.BooleanType())]))
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pieces = _pieces(state.value, dropout, seed)
-        for texts in batches:
-            ids, same = [], []
-            for text in texts:
-                own = pieces.encode(text or "", dropout, seed)
-                ids.append(np.array(own, np.int32))
-                same.append(pieces.decode(own) == (text or ""))
-            yield pd.DataFrame({"ids": ids, "same": same})
+        for batch in batches:
+            for at in range(0, max(len(batch), 1), ROWS):
+                texts = [x or "" for x in batch.iloc[at : at + ROWS]]
+                ids = [pieces.encode(x, dropout, seed) for x in texts]
+                yield pd.DataFrame({"ids": ids, "same": [pieces.decoded_bytes(x) == t.encode() for x, t in zip(ids, texts)]})
 
     done = docs.withColumn("__pieces", encoded(F.col(text_col)))
     return done.withColumns({into: F.col("__pieces.ids"), "lossless": F.col("__pieces.same")}).drop("__pieces")
@@ -162,6 +229,6 @@ def decode_pieces(rows: DataFrame, model_path: str, ids_col: str = "piece_ids",
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = _pieces(state.value, 0.0, 0)
         for column in batches:
-            yield pd.Series([None if x is None else pieces.decode(x) for x in column], dtype=object)
+            yield pd.Series([None if x is None else pieces.decode(np.asarray(x)) for x in column], dtype=object)
 
     return rows.withColumn(into, decoded(F.col(ids_col)))
