@@ -19,7 +19,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +29,9 @@ LENGTH = 50
 COVER = 31
 DIFFERENCES = (1, 5, 11, 24, 25, 27)  # every remainder of 31 is a difference of two of these
 SEED_BYTES = LENGTH - COVER + 1
-BUCKET_BYTES = 16_000_000  # text whose samples share a bucket
+BUCKET_BYTES = 32_000_000  # text whose samples share a bucket; suffixes share one by half as much
 FLUSH = 2_000_000
+MEET_BYTES = 8  # suffixes meet by the smallest name of such strings inside
 LAST_ID = 2**63 - 1  # stands for a null id
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -70,6 +70,16 @@ def _sampled(data: bytes, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return at[order], buckets[order].astype(np.int64), (_mix(names) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order]
 
 
+def _numbers(values: np.ndarray) -> bytes:
+    """Counts in two bytes each, where all fit, or else in four; the first byte tells."""
+    small = not len(values) or values.max() < 1 << 16
+    return bytes([2 if small else 4]) + values.astype(np.uint16 if small else np.uint32).tobytes()
+
+
+def _read_numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(data[1:], np.uint16 if data[0] == 2 else np.uint32).astype(np.int64)
+
+
 def _sample_rows(n_buckets: int):
     """Texts to one row per batch and bucket: the names of each document's samples in order."""
 
@@ -88,11 +98,8 @@ def _sample_rows(n_buckets: int):
             rows = []
             for a, b in zip(starts, np.append(starts[1:], len(buckets))):
                 own, count = np.unique(docs[a:b], return_counts=True)
-                rows.append((int(buckets[a]), k1[own].tobytes(), k2[own].tobytes(), count.astype(np.uint32).tobytes(), names[a:b].tobytes()))
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("bucket", "k1", "k2", "count", "names"), r)) for r in rows],
-                pa.schema([("bucket", pa.int64()), ("k1", pa.binary()), ("k2", pa.binary()), ("count", pa.binary()), ("names", pa.binary())]),
-            )
+                rows.append({"bucket": int(buckets[a]), "k1": k1[own].tobytes(), "k2": k2[own].tobytes(), "count": _numbers(count), "names": names[a:b].tobytes()})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int64()), *[(n, pa.binary()) for n in ("k1", "k2", "count", "names")]]))
 
     return run
 
@@ -111,40 +118,43 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A name seen in two documents is reported at once and remembered as repeated; what is held is one sample per name
     that only one document has so far.
     """
-    bucket, known = -1, np.empty(0, np.uint32)
-    held: list[tuple[np.ndarray, ...]] = []
+    bucket, known, size, documents = -1, np.empty(0, np.uint32), 0, 0
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # names, places, numbers of documents
+    keys: list[tuple[np.ndarray, np.ndarray]] = []
 
     def settle() -> Iterator[pa.RecordBatch]:
-        nonlocal held, known
+        nonlocal held, known, keys
         if not held:
             return
-        names, places, k1, k2 = (np.concatenate(x) for x in zip(*held))
+        names, places, docs = (np.concatenate(x) for x in zip(*held))
+        k1, k2 = (np.concatenate(x) for x in zip(*keys))
         order = np.argsort(names, kind="stable")
-        names, places, k1, k2 = names[order], places[order], k1[order], k2[order]
-        group = np.cumsum(np.diff(names, prepend=names[0]) != 0)
-        same = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
-        several = np.zeros(group[-1] + 1, bool)
-        several[group[1:][(group[1:] == group[:-1]) & ~same]] = True
+        names, places, docs = names[order], places[order], docs[order]
+        group = np.cumsum(np.diff(names, prepend=names[:1]) != 0)
+        several = np.zeros(group[-1] + 1 if len(group) else 0, bool)
+        several[group[1:][(group[1:] == group[:-1]) & (docs[1:] != docs[:-1])]] = True
         many = several[group] | np.isin(names, known)
         known = np.union1d(known, names[many])
         if many.any():
-            order = np.lexsort((places[many], k2[many], k1[many]))
-            a, b, p = k1[many][order], k2[many][order], places[many][order]
-            docs = np.cumsum((np.diff(a, prepend=a[0]) != 0) | (np.diff(b, prepend=b[0]) != 0))
-            first = np.flatnonzero(np.diff(docs, prepend=-1))
-            yield _list_rows(docs, p, {"k1": a[first], "k2": b[first], "bucket": np.full(len(first), bucket)}, "places")
-        held = [(names[~many], places[~many], k1[~many], k2[~many])]
-
-    size = 0
+            p, d = places[many], docs[many]
+            order = np.lexsort((p, d))
+            p, d = p[order], d[order]
+            first = np.flatnonzero(np.diff(d, prepend=-1))
+            columns = {"k1": k1[d[first]], "k2": k2[d[first]], "bucket": np.full(len(first), bucket)}
+            yield _list_rows(np.cumsum(np.diff(d, prepend=d[:1]) != 0), p, columns, "places")
+        held, keys = [(names[~many], places[~many], docs[~many])], [(k1, k2)]
+
     for batch in batches:
         for row in batch.to_pylist():
             if row["bucket"] != bucket:
                 yield from settle()
-                bucket, known, held, size = row["bucket"], np.empty(0, np.uint32), [], 0
-            count = np.frombuffer(row["count"], np.uint32)
+                bucket, known, held, keys, size, documents = row["bucket"], np.empty(0, np.uint32), [], [], 0, 0
+            count = _read_numbers(row["count"])
             places = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            k1, k2 = (np.repeat(np.frombuffer(row[c], np.int64), count) for c in ("k1", "k2"))
-            held.append((np.frombuffer(row["names"], np.uint32), places.astype(np.int32), k1, k2))
+            docs = np.repeat(np.arange(documents, documents + len(count)), count)
+            keys.append((np.frombuffer(row["k1"], np.int64), np.frombuffer(row["k2"], np.int32)))
+            documents += len(count)
+            held.append((np.frombuffer(row["names"], np.uint32), places.astype(np.int32), docs.astype(np.int32)))
             size += len(places)
             if size >= FLUSH:
                 yield from settle()
@@ -165,14 +175,17 @@ def _reach(data: bytes, seeds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
 
 
-def _smallest(names: np.ndarray) -> np.ndarray:
-    """Smallest of every 31 neighbours."""
-    for step in (1, 2, 4, 8):
+def _smallest(names: np.ndarray, window: int) -> np.ndarray:
+    """Smallest of every ``window`` neighbours (at least two)."""
+    done = 1
+    while done < window:
+        step = min(done, window - done)
         names = np.minimum(names[:-step], names[step:])
-    return np.minimum(names[: len(names) - 15], names[15:])
+        done += step
+    return names
 
 
-def _runs(data: bytes, found: list, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _runs(data: bytes, found: list, n_buckets: int, n_meets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(bucket, start, number of suffixes)`` of the runs of neighbouring suffixes that meet in one bucket."""
     at, buckets, _ = _sampled(data, n_buckets)
     first = np.searchsorted(buckets, np.arange(n_buckets + 1))
@@ -180,19 +193,19 @@ def _runs(data: bytes, found: list, n_buckets: int) -> tuple[np.ndarray, np.ndar
     starts = _reach(data, seeds)
     if not len(starts):
         return starts, starts, starts
-    names = _names(_loads(data), np.arange(len(data) - SEED_BYTES + 1), SEED_BYTES, 77)
-    meet = (_mix(_smallest(names)[starts] * _M[2]) % np.uint64(n_buckets)).astype(np.int64)
+    names = _names(_loads(data), np.arange(len(data) - MEET_BYTES + 1), MEET_BYTES, 77)
+    meet = (_mix(_smallest(names, LENGTH - MEET_BYTES + 1)[starts] * _M[2]) % np.uint64(n_meets)).astype(np.int64)
     cut = np.flatnonzero((np.diff(starts, prepend=-9) != 1) | (np.diff(meet, prepend=-1) != 0))
     return meet[cut], starts[cut], np.diff(np.append(cut, len(starts)))
 
 
-def _run_rows(n_buckets: int):
+def _run_rows(n_buckets: int, n_meets: int):
     """Documents with their kept samples to one row per batch and bucket: ids, starts, sizes and text of the runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x.encode() for x in batch.column("text").to_pylist()]
-            parts = [_runs(t, f, n_buckets) for t, f in zip(texts, batch.column("found").to_pylist())]
+            parts = [_runs(t, f, n_buckets, n_meets) for t, f in zip(texts, batch.column("found").to_pylist())]
             if not parts:
                 continue
             buckets, starts, sizes = (np.concatenate([p[i] for p in parts]) for i in range(3))
@@ -203,13 +216,13 @@ def _run_rows(n_buckets: int):
             edges = np.flatnonzero(np.diff(buckets, prepend=-1))
             rows = []
             for a, b in zip(edges, np.append(edges[1:], len(buckets))):
-                own, which = np.unique(docs[a:b], return_inverse=True)
+                own, count = np.unique(docs[a:b], return_counts=True)  # runs are in document order
                 text = b"".join([texts[d][s : s + n + LENGTH - 1] for d, s, n in zip(docs[a:b].tolist(), starts[a:b].tolist(), sizes[a:b].tolist())])
                 rows.append({
                     "bucket": int(buckets[a]), "k1": k1[own].tobytes(), "k2": k2[own].tobytes(), "id": ids[own].tobytes(),
-                    "doc": which.astype(np.uint32).tobytes(), "start": starts[a:b].astype(np.uint32).tobytes(), "size": sizes[a:b].astype(np.uint32).tobytes(), "text": text,
+                    "count": _numbers(count), "low": (starts[a:b] & 0xFFFF).astype(np.uint16).tobytes(), "high": _numbers(starts[a:b] >> 16), "size": _numbers(sizes[a:b]), "text": text,
                 })
-            names = ("k1", "k2", "id", "doc", "start", "size", "text")
+            names = ("k1", "k2", "id", "count", "low", "high", "size", "text")
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int64()), *[(n, pa.binary()) for n in names]]))
 
     return run
@@ -220,44 +233,49 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Sorted by name, only the suffixes of the smallest id so far are held; any other is reported as soon as it is seen.
     """
-    bucket = -1
-    held: list[tuple[np.ndarray, ...]] = []
+    bucket, size, documents = -1, 0, 0
+    held: list[tuple[np.ndarray, ...]] = []  # two names, starts, numbers of documents
+    tables: list[tuple[np.ndarray, ...]] = []
 
     def settle() -> Iterator[pa.RecordBatch]:
-        nonlocal held
+        nonlocal held, tables
         if not held:
             return
-        a, b, ids, starts, k1, k2 = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((ids, b, a))
-        a, b, ids, starts, k1, k2 = (x[order] for x in (a, b, ids, starts, k1, k2))
+        a, b, starts, docs = (np.concatenate(x) for x in zip(*held))
+        k1, k2, ids = (np.concatenate(x) for x in zip(*tables))
+        order = np.lexsort((ids[docs], b, a))
+        a, b, starts, docs = a[order], b[order], starts[order], docs[order]
+        del order
+        own = ids[docs]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        later = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-        held = [tuple(x[~later] for x in (a, b, ids, starts, k1, k2))]
+        later = own > own[np.flatnonzero(new)][np.cumsum(new) - 1]
+        held, tables = [(a[~later], b[~later], starts[~later], docs[~later])], [(k1, k2, ids)]
         if later.any():
-            s, x, y = starts[later], k1[later], k2[later]
-            order = np.lexsort((s, y, x))
-            s, x, y = s[order], x[order], y[order]
-            edge = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-            docs = np.cumsum(edge) - 1
+            s, d = starts[later].astype(np.int64), docs[later]
+            order = np.lexsort((s, d))
+            s, d = s[order], d[order]
+            edge = np.diff(d, prepend=-1) != 0
             cut = np.flatnonzero(edge | (np.diff(s, prepend=-9) != 1))
             pairs = np.stack([s[cut], np.diff(np.append(cut, len(s)))], axis=1).ravel()
-            first = np.flatnonzero(edge)
-            yield _list_rows(np.repeat(docs[cut], 2), pairs, {"k1": x[first], "k2": y[first]}, "pairs")
+            first = d[edge]
+            yield _list_rows(np.repeat((np.cumsum(edge) - 1)[cut], 2), pairs, {"k1": k1[first], "k2": k2[first]}, "pairs")
 
-    size = 0
     for batch in batches:
         for row in batch.to_pylist():
             if row["bucket"] != bucket:
                 yield from settle()
-                bucket, held, size = row["bucket"], [], 0
-            doc, start, sizes = (np.frombuffer(row[c], np.uint32).astype(np.int64) for c in ("doc", "start", "size"))
+                bucket, held, tables, size, documents = row["bucket"], [], [], 0, 0
+            count, sizes = _read_numbers(row["count"]), _read_numbers(row["size"])
+            doc = np.repeat(np.arange(len(count)), count)
+            start = np.frombuffer(row["low"], np.uint16) + (_read_numbers(row["high"]) << 16)
             ordinal = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             width = sizes + LENGTH - 1
             at = np.repeat(np.cumsum(width) - width, sizes) + ordinal
             loads = _loads(row["text"])
-            which = np.repeat(doc, sizes)
-            k1, k2, ids = (np.frombuffer(row[c], np.int64)[which] for c in ("k1", "k2", "id"))
-            held.append((_names(loads, at, LENGTH), _names(loads, at, LENGTH, 99), ids, np.repeat(start, sizes) + ordinal, k1, k2))
+            short = (_names(loads, at, LENGTH, 99) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            held.append((_names(loads, at, LENGTH), short, (np.repeat(start, sizes) + ordinal).astype(np.uint32), (np.repeat(doc, sizes) + documents).astype(np.int32)))
+            tables.append(tuple(np.frombuffer(row[c], np.int32 if c == "k2" else np.int64) for c in ("k1", "k2", "id")))
+            documents += len(tables[-1][0])
             size += len(at)
             if size >= FLUSH:
                 yield from settle()
@@ -291,28 +309,29 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte of the UTF-8 text is removed if a 50-byte string over it also starts in a document with a smaller id; strings
     are judged on the input. Null texts are empty. Rows with equal ids remove nothing from each other; a null id counts
     as larger than all others. Equal texts are handled once: the copies with larger ids are repeated whole. Names of
-    whole 50-byte strings and of whole texts have 128 bits.
+    whole 50-byte strings and of whole texts have 96 bits.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), text.alias("text"))
-    rows = rows.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
+    rows = rows.withColumns({"k1": F.xxhash64("text"), "k2": F.shiftright(F.xxhash64(F.lit(1), "text"), 32).cast("int")})
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = max(partitions(docs), -(-size // bucket_bytes))
+    n_buckets = max(1, -(-int(size) // bucket_bytes))
+    n_meets = max(partitions(docs), 2 * n_buckets)
     texts = rows.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.max("text").alias("text"))
 
     samples = texts.select("k1", "k2", "id", "text")  # all columns, so that the texts are shuffled once for all three uses
     samples = samples.mapInArrow(_sample_rows(n_buckets), "bucket long, k1 binary, k2 binary, count binary, names binary")
     samples = samples.repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
-    kept = samples.mapInArrow(_repeated, "k1 long, k2 long, bucket long, places array<int>")
+    kept = samples.mapInArrow(_repeated, "k1 long, k2 int, bucket long, places array<int>")
     kept = kept.groupBy("k1", "k2").agg(F.collect_list(F.struct("bucket", "places")).alias("found"))
 
     runs = texts.join(kept, ["k1", "k2"]).select("k1", "k2", "id", "text", "found")
-    runs = runs.mapInArrow(_run_rows(n_buckets), "bucket long, k1 binary, k2 binary, id binary, doc binary, start binary, size binary, text binary")
-    runs = runs.repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
-    later = runs.mapInArrow(_later, "k1 long, k2 long, pairs array<int>").groupBy("k1", "k2").agg(F.collect_list("pairs").alias("found"))
+    runs = runs.mapInArrow(_run_rows(n_buckets, n_meets), "bucket long, k1 binary, k2 binary, id binary, count binary, low binary, high binary, size binary, text binary")
+    runs = runs.repartition(n_meets, "bucket").sortWithinPartitions("bucket")
+    later = runs.mapInArrow(_later, "k1 long, k2 int, pairs array<int>").groupBy("k1", "k2").agg(F.collect_list("pairs").alias("found"))
 
     done = texts.join(later, ["k1", "k2"], "left").select("k1", "k2", "id", "text", "found")
-    done = done.mapInArrow(_removed, "k1 long, k2 long, id long, n_removed long, n_spans long, kept_sha256 string")
+    done = done.mapInArrow(_removed, "k1 long, k2 int, id long, n_removed long, n_spans long, kept_sha256 string")
     each = rows.select("doc", F.col("id").alias("own"), "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes")).join(done, ["k1", "k2"])
     copy = (F.col("own") > F.col("id")) & (F.col("n_bytes") >= LENGTH)
     return each.select(
