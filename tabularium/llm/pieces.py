@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -16,10 +17,32 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 SHORT = 48  # characters of a chunk whose agenda is a plain list
-VARIANTS = 2  # segmentations of a word that documents choose from
-CACHE = 200_000  # words and as many chunks remembered for each variant, some 100 MB in a Python worker
+CACHE = 300_000  # segmentations remembered, some 100 MB in a Python worker
 ROWS = 500  # texts whose ids a worker holds at once
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: of a chunk's position, of the draws in a chunk, of the lines in a word; all odd
+_PLACE, _DRAW, _LINE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA24BAED4963EE407
+_MASK = (1 << 64) - 1
+
+
+def _mixed(x):
+    """The splitmix64 finaliser, of an integer or of a whole ``uint64`` array."""
+    if isinstance(x, np.ndarray):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _MASK
+    return x ^ x >> 31
+
+
+def _scale(limit: int) -> float:
+    """What turns the logarithm of a uniform draw into the number of merges taken before the next skipped one."""
+    return 0.0 if limit >= 1 << 32 else 1 / math.log1p(-limit / 2**32)
+
+
+def _gap(mark: int, n: int, scale: float) -> float:
+    """Merges taken between skip ``n - 1`` and skip ``n``, before rounding down: each merge is skipped independently."""
+    return math.log(((_mixed(mark + n * _DRAW & _MASK) >> 11) + 1) * 2.0**-53) * scale
 
 
 class Pieces:
@@ -37,66 +60,76 @@ class Pieces:
         inside = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in joined)
         line = "" if any("\n" in p for p in joined) else "\n"
         # merges never cross the end of a chunk, so a chunk is encoded by itself
-        self.draws: dict[int, list[int]] = {}
         self.by_space = not inside and bool(line)
         self.chunks = re.compile(f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+|\n" if not inside else r"(?s).+")
-        self.cache: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
-        self.words: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        # [merges known before a skip, ids if no more is skipped, what follows when the merge of a number is skipped]
+        self.cache: list[dict[str, list]] = [{}]
+        self.words: list[dict[str, list]] = [{}]
+        self.held = 0
         self.newline = array("i", [byte_ids[10]] if byte_ids else []).tobytes()
 
-    def merge(self, chunk: str, variant: int, dropout: float, seed: int) -> bytes:
-        """Ids of one chunk as 32-bit numbers: the agenda always takes the best-scored, leftmost merge; some are skipped
-        by a keyed hash of the chunk, the place and the piece."""
-        limit = int(dropout * 2**32)
-        mark = xxhash.xxh32_intdigest(f"{variant}|{chunk}") if limit else 0
-        if seed not in self.draws:
-            self.draws = {seed: np.random.Generator(np.random.Philox(seed)).integers(0, 1 << 32, 1 << 16).tolist()}
+    def merge(self, chunk: str, mark: int, limit: int, draws: list[int]) -> bytes:
+        """Ids of one chunk as 32-bit numbers: the agenda always takes the best-scored, leftmost merge, or skips it.
+
+        ``mark`` is the number of this occurrence, ``limit`` the share of skipped merges times 2**32. The numbers of
+        merges taken before each skip and after the last are appended to ``draws``; they decide the result.
+        """
         merge = self._merge_short if len(chunk) <= SHORT else self._merge_long
-        parts = merge(chunk, mark, limit, self.draws[seed])
+        parts = merge(chunk, mark, limit, draws)
         out = list(map(self.ids.get, parts))
         if None in out:
             out = [i for part, own in zip(parts, out) for i in ([own] if own is not None else [self.byte_ids[x] for x in part.encode()])]
         return array("i", out).tobytes()
 
     def _merge_short(self, chunk: str, mark: int, limit: int, draws: list[int]) -> list[str]:
-        """The agenda as a short list, one entry for each pair of neighbours.
-
-        ``draws`` are random numbers of the seed; the chunk's mark, the place and the piece choose a candidate's.
-        """
-        rank, ids, never = self.ranks.get, self.ids, float("inf")
-        part, place = list(chunk), list(range(len(chunk)))
+        """The agenda as a short list, one entry for each pair of neighbours."""
+        rank, never = self.ranks.get, float("inf")
+        part = list(chunk)
         agenda = [rank(a + b, never) for a, b in zip(part, part[1:])]
+        scale, skips, taken = _scale(limit) if limit else 0.0, 0, 0
+        gap = int(_gap(mark, 0, scale)) if limit else -1
         while agenda:
             best = min(agenda)
             if best == never:
                 break
             i = agenda.index(best)
-            both = part[i] + part[i + 1]
-            if limit and draws[mark + place[i] * 40503 + ids[both] * 31 & 0xFFFF] < limit:
+            if taken == gap:
                 agenda[i] = never
+                draws.append(taken)
+                skips, taken = skips + 1, 0
+                gap = int(_gap(mark, skips, scale))
                 continue
+            taken += 1
+            both = part[i] + part[i + 1]
             part[i] = both
-            del part[i + 1], place[i + 1], agenda[i]
+            del part[i + 1], agenda[i]
             if i < len(agenda):
                 agenda[i] = rank(both + part[i + 1], never)
             if i:
                 agenda[i - 1] = rank(part[i - 1] + both, never)
+        draws.append(taken)
         return part
 
     def _merge_long(self, chunk: str, mark: int, limit: int, draws: list[int]) -> list[str]:
         """The same for chunks of any length, with a heap."""
-        ids, ranks, n = self.ids, self.ranks, len(chunk)
+        ranks, n = self.ranks, len(chunk)
         part = list(chunk)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(ranks[both], a, both) for a in range(n - 1) if (both := part[a] + part[a + 1]) in ranks]
         heapq.heapify(agenda)
+        scale, skips, taken = _scale(limit) if limit else 0.0, 0, 0
+        gap = int(_gap(mark, 0, scale)) if limit else -1
         while agenda:
             _, a, both = heapq.heappop(agenda)
             b = after[a]
             if b >= n or not part[a] or part[a] + part[b] != both:
                 continue  # one side has merged meanwhile
-            if limit and draws[mark + a * 40503 + ids[both] * 31 & 0xFFFF] < limit:
+            if taken == gap:
+                draws.append(taken)
+                skips, taken = skips + 1, 0
+                gap = int(_gap(mark, skips, scale))
                 continue
+            taken += 1
             part[a], part[b] = both, ""
             c = after[a] = after[b]
             if c < n:
@@ -106,63 +139,84 @@ class Pieces:
             c = before[a]
             if c >= 0 and (more := part[c] + both) in ranks:
                 heapq.heappush(agenda, (ranks[more], c, more))
+        draws.append(taken)
         return [x for x in part if x]
 
-    def _remembered(self, chunk: str, variant: int, dropout: float, seed: int) -> bytes:
-        cache = self.cache[variant]
-        ids = cache.get(chunk)
-        if ids is None:
-            ids = self.merge(chunk, variant, dropout, seed)
-            if len(chunk) < 64:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[chunk] = ids
+    def _remembered(self, nodes: dict[str, list], key: str, chunk: str, mark: int, limit: int, scale: float) -> bytes:
+        """Ids of a chunk. Only what follows from the numbers of the skipped merges is remembered, never the draws."""
+        if len(chunk) >= 64:
+            return self.merge(chunk, mark, limit, [])
+        node, n = nodes.get(key), 0
+        while node is not None:
+            low, ids, below = node
+            gap = _gap(mark, n, scale) if limit else math.inf
+            if gap < low:
+                node, n = below and below.get(int(gap)), n + 1
+            elif ids is not None:
+                return ids
+            else:
+                break
+        draws: list[int] = []
+        ids = self.merge(chunk, mark, limit, draws)
+        if self.held >= CACHE:
+            self.cache[0].clear()
+            self.words[0].clear()
+            self.held = 0
+        self.held += len(draws)
+        node = nodes.setdefault(key, [0, None, None])
+        for gap in draws[:-1]:
+            node[0] = max(node[0], gap + 1)
+            if node[2] is None:
+                node[2] = {}
+            node = node[2].setdefault(gap, [0, None, None])
+        node[0], node[1] = draws[-1], ids
         return ids
 
-    def _word(self, word: str, variant: int, dropout: float, seed: int) -> bytes:
+    def _word(self, word: str, mark: int, limit: int, scale: float) -> bytes:
         """Ids of a word and the space before it; lines inside it are chunks of their own."""
         if "\n" not in word:
-            return self.merge(SPACE + word, variant, dropout, seed)
+            return self._remembered(self.words[0], word, SPACE + word, mark, limit, scale)
         first, *lines = word.split("\n")
-        parts = [self._remembered(SPACE + first, variant, dropout, seed)]
-        for line in lines:
+        parts = [self._remembered(self.words[0], first, SPACE + first, mark, limit, scale)]
+        for i, line in enumerate(lines, 1):
             parts.append(self.newline)
             if line:
-                parts.append(self._remembered(line, variant, dropout, seed))
+                parts.append(self._remembered(self.cache[0], line, line, mark + i * _LINE & _MASK, limit, scale))
         return b"".join(parts)
 
     def encode(self, text: str, dropout: float = 0.0, seed: int = 0) -> np.ndarray:
         """Ids of a text. A literal U+2581 goes by its bytes, so decoding tells it from a space."""
         if not text:
             return np.empty(0, np.int32)
-        mark = np.uint64(xxhash.xxh64_intdigest(text.encode(), seed)) if dropout else None
+        limit = int(dropout * 2**32)
+        scale = _scale(limit) if limit else 0.0
+        mark = np.uint64(xxhash.xxh64_intdigest(text.encode(), seed)) if limit else None
 
-        def variants(n: int, at: int) -> list[int]:
-            if mark is None:
-                return [0] * n
-            draw = (np.arange(at, at + n, dtype=np.uint64) + mark) * _ODD
-            return ((draw >> np.uint64(40)) % np.uint64(VARIANTS)).tolist()
+        def marks(n: int, at: int) -> np.ndarray:
+            return np.zeros(n, np.uint64) if mark is None else np.arange(at, at + n, dtype=np.uint64) * np.uint64(_PLACE) + mark
 
         out: list[bytes] = []
         if self.by_space and text[0] != " " and "  " not in text and SPACE not in text:
             parts = text.split(" ")
-            words = self.words
-            for word, variant in zip(parts, variants(len(parts), 0)):
-                ids = words[variant].get(word)
-                if ids is None:
-                    ids = self._word(word, variant, dropout, seed)
-                    if len(word) < 64:
-                        if len(words[variant]) >= CACHE:
-                            words[variant].clear()
-                        words[variant][word] = ids
-                out.append(ids)
+            known, places = self.words[0].get, marks(len(parts), 0)
+            if limit:
+                shares = ((_mixed(places) >> np.uint64(11)) + np.uint64(1)) * 2.0**-53
+                gaps = [x * scale for x in map(math.log, shares.tolist())]
+            else:
+                gaps = [math.inf] * len(parts)
+            for word, own, gap in zip(parts, places.tolist(), gaps):
+                node = known(word)
+                if node is not None and gap >= node[0] and node[1] is not None:
+                    out.append(node[1])  # nothing is skipped
+                else:
+                    out.append(self._word(word, own, limit, scale))
         else:
             literal = array("i", [self.byte_ids[x] for x in SPACE.encode()] if SPACE in text else []).tobytes()
             for i, plain in enumerate(text.split(SPACE)):
                 if i:
                     out.append(literal)
                 chunks = self.chunks.findall(("" if i else SPACE) + plain.replace(" ", SPACE))
-                out += [self._remembered(c, v, dropout, seed) for c, v in zip(chunks, variants(len(chunks), len(out)))]
+                out += [self._remembered(self.cache[0], c, c, m, limit, scale) for c, m in zip(chunks, marks(len(chunks), len(out)).tolist())]
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -200,9 +254,11 @@ def model_state(path: str) -> tuple[list[str], list[float], list[int], int]:
 def encode_pieces(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1, text_col: str = "text", into: str = "piece_ids") -> DataFrame:
     """``docs`` with ``into``: the ids of the text's pieces, and ``lossless``: whether they decode to the text.
 
-    Merges are taken best score first from an agenda; a candidate is skipped with probability ``dropout`` by a hash
-    keyed with ``seed``, the chunk, the place and one of a few variants that a hash of the document chooses for each
-    chunk. So equal texts have equal ids in any run, and the same word is cut in several ways across a text. With
+    Merges are taken best score first from an agenda; each candidate is skipped with probability ``dropout``,
+    independently of all others. The draws are keyed with ``seed``, the text's hash, the chunk's position in it and
+    the number of the candidate in the chunk's agenda (which has one place and piece once the earlier skips are
+    known); they are made as the numbers of merges between skips. So equal texts have equal ids in any run, and each
+    occurrence of a word is cut anew: only the results that follow from given skips are remembered. With
     ``dropout=0`` the ids are those of the plain tokenizer. Null and empty texts have no ids and are lossless; columns
     named like the new ones are replaced. The vocabulary (a bounded table) is broadcast; nothing is shuffled.
     """

@@ -322,6 +322,55 @@ def test_both_agendas_agree(chunk, mark, limit):
     assert pieces._merge_short(chunk, mark, limit, draws) == pieces._merge_long(chunk, mark, limit, draws)
 
 
+def test_each_occurrence_is_cut_anew():
+    pieces = Pieces(*model_state(MODEL))
+    word, n, share, rng = "international", 20_000, 0.3, random.Random(3)
+
+    def brute() -> tuple[str, ...]:
+        part, skipped = list("▁" + word), set()
+        while True:
+            best = min(((pieces.ranks[a + b], i) for i, (a, b) in enumerate(zip(part, part[1:])) if a + b in pieces.ranks and (i, a, b, len(part)) not in skipped), default=None)
+            if best is None:
+                return tuple(part)
+            i = best[1]
+            if rng.random() < share:
+                skipped.add((i, part[i], part[i + 1], len(part)))
+                continue
+            old, at = len(part), i
+            part[i : i + 2] = [part[i] + part[i + 1]]
+            skipped = {(j - (j > at), a, b, old - 1) for j, a, b, _ in skipped if j not in (at - 1, at, at + 1)}
+
+    ids = pieces.encode(" ".join([word] * n), share, 1)
+    cuts: dict[tuple, int] = {}
+    for i in np.split(ids, np.flatnonzero([pieces.bytes[x].startswith(b" ") for x in ids.tolist()])[1:]):
+        text = tuple(pieces.bytes[x].decode().replace(" ", "▁") for x in i.tolist())
+        cuts[text] = cuts.get(text, 0) + 1
+    expected: dict[tuple, int] = {}
+    for _ in range(n):
+        cut = brute()
+        expected[cut] = expected.get(cut, 0) + 1
+    assert len(cuts) > 500 and sum(cuts.values()) == n
+    common = [x for x, count in expected.items() if count > 100]
+    assert len(common) > 10 and all(abs(cuts.get(x, 0) - expected[x]) < 6 * (2 * expected[x]) ** 0.5 for x in common)
+    text = " ".join([word] * 2000)
+    starts = Pieces(*model_state(MODEL)).encode(text, share, 1)  # with an empty memory
+    assert starts.tolist() == pieces.encode(text, share, 1).tolist() != pieces.encode(text, share, 2).tolist()
+    lengths = [len(pieces.decode(x)) for x in (starts, pieces.encode(text + " ", share, 1))]
+    assert lengths == [len(text), len(text) + 1]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("abehtinor▁x ", min_size=1, max_size=60), st.integers(0, 2**64 - 1), st.sampled_from([0.1, 0.5, 1.0]))
+def test_remembered_results_are_those_of_the_merges(chunk, mark, dropout):
+    pieces = test_remembered_results_are_those_of_the_merges.__dict__.setdefault("pieces", Pieces(*model_state(MODEL)))
+    limit = int(dropout * 2**32)
+    scale = 0.0 if dropout == 1 else 1 / np.log1p(-dropout)
+    short, long = [], []
+    assert pieces._merge_short(chunk, mark, limit, short) == pieces._merge_long(chunk, mark, limit, long) and short == long
+    for _ in range(2):
+        assert pieces._remembered(pieces.cache[0], chunk, chunk, mark, limit, scale) == pieces.merge(chunk, mark, limit, [])
+
+
 # 8: pseudonyms
 
 KEY = b"k" * 32
