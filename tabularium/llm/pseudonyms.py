@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 ROUNDS = 10
 DAY_FROM, DAYS = dt.date(1800, 1, 1).toordinal(), dt.date(2200, 1, 1).toordinal() - dt.date(1800, 1, 1).toordinal()
+SHORT_FROM = dt.date(1969, 1, 1).toordinal()  # two-digit years are 1969 to 2068
+SHORT_DAYS = dt.date(2069, 1, 1).toordinal() - SHORT_FROM
 MONTHS = "January February March April May June July August September October November December".split()
 
 
@@ -140,40 +142,66 @@ def iban(m: re.Match, key: bytes) -> str | None:
 
 
 def _day(day: dt.date, key: bytes) -> dt.date | None:
-    at = day.toordinal() - DAY_FROM
-    return dt.date.fromordinal(DAY_FROM + permute(at, DAYS, key, "date")) if 0 <= at < DAYS else None
+    """The pseudonym of a day. Days that a two-digit year can name stay among themselves, so two digits name the new one too."""
+    at, n = day.toordinal(), SHORT_DAYS
+    if 0 <= at - SHORT_FROM < n:
+        return dt.date.fromordinal(SHORT_FROM + permute(at - SHORT_FROM, n, key, "date2"))
+    if not 0 <= at - DAY_FROM < DAYS:
+        return None
+    at = DAY_FROM + permute(at - DAY_FROM - (n if at >= SHORT_FROM else 0), DAYS - n, key, "date4")
+    return dt.date.fromordinal(at + n if at >= SHORT_FROM else at)
+
+
+def _year(text: str) -> int:
+    return int(text) + (0 if len(text) == 4 else 2000 if int(text) < 69 else 1900)
+
+
+def _as_written(year: int, old: str) -> str:
+    return f"{year % 100:02d}" if len(old) == 2 else str(year)
 
 
 def numeric_date(m: re.Match, key: bytes) -> str | None:
-    """``2024-03-05 2024/03/05`` and ``05.03.2024 03/05/2024``; with a dot or a first number over 12, day first."""
+    """``2024-03-05 2024/3/5`` and ``05.03.2024 3/5/24``; with a dot or a first number over 12, day first."""
     first, sep, second, last = m[1], m[2], m[3], m[4]
     year_first = len(first) == 4
-    day_first = sep == "." or int(first) > 12
+    day_first = not year_first and (sep == "." or int(first) > 12)
+    y, month, d = (first, second, last) if year_first else (last, second, first) if day_first else (last, first, second)
     try:
-        order = (first, second, last) if year_first else (last, second, first) if day_first else (last, first, second)
-        new = _day(dt.date(*map(int, order)), key)
+        new = _day(dt.date(_year(y), int(month), int(d)), key)
     except ValueError:
         return None
     if new is None:
         return None
-    parts = (new.year, new.month, new.day) if year_first else (new.day, new.month, new.year) if day_first else (new.month, new.day, new.year)
-    return sep.join(str(x).zfill(4 if x == new.year else 2) for x in parts)
+    padded = len(month) == len(d) == 2
+    year, month, d = _as_written(new.year, y), *(f"{x:02d}" if padded or old[0] == "0" else str(x) for x, old in ((new.month, month), (new.day, d)))
+    return sep.join((year, month, d) if year_first else (d, month, year) if day_first else (month, d, year))
 
 
 def _month(name: str) -> int:
-    return next(i for i, x in enumerate(MONTHS, 1) if x.lower() == name.lower())
+    return next(i for i, x in enumerate(MONTHS, 1) if x[:3].lower() == name[:3].lower())
 
 
 def written_date(m: re.Match, key: bytes) -> str | None:
-    """``March 5, 2024`` and ``5 March 2024``."""
+    """``March 5, 2024``, ``5 March 2024``, ``Mar. 5th 2024``, ``5-Mar-24`` and the like, kept in their form."""
+    month_first = m["m"] is not None
+    name, d, suffix, y = (m["m"], m["d"], m["o"], m["y"]) if month_first else (m["m2"], m["d2"], m["o2"], m["y2"])
+    digits = y.lstrip("'\u2019")
     try:
-        day = dt.date(int(m["y"] or m["y2"]), _month(m["m"] or m["m2"]), int(m["d"] or m["d2"]))
+        day = dt.date(_year(digits), _month(name), int(d))
     except ValueError:
         return None
     if (new := _day(day, key)) is None:
         return None
-    name = MONTHS[new.month - 1]
-    return f"{name} {new.day}, {new.year}" if m["m"] else f"{new.day} {name} {new.year}"
+    month = MONTHS[new.month - 1]
+    if len(name) <= 4 and name.lower() not in ("may", "june", "july") or name.lower() == "may" and (m["s1"] or m["s4"]).startswith("."):
+        month = month[:3]
+    month = month.upper() if name.isupper() else month.lower() if name.islower() else month
+    number = f"{new.day:02d}" if d[0] == "0" else str(new.day)
+    if suffix:
+        ending = "th" if 10 < new.day < 14 else {1: "st", 2: "nd", 3: "rd"}.get(new.day % 10, "th")
+        number += ending.upper() if suffix.isupper() else ending
+    year = y[: len(y) - len(digits)] + _as_written(new.year, digits)
+    return f"{month}{m['s1']}{number}{m['s2']}{year}" if month_first else f"{number}{m['s3']}{month}{m['s4']}{year}"
 
 
 def email(m: re.Match, key: bytes) -> str | None:
@@ -187,7 +215,11 @@ def secret(m: re.Match, key: bytes) -> str | None:
     return m[1] + permute_text(m[2], key, "secret")
 
 
-_NAMES = "|".join(MONTHS)
+_NAMES = "|".join([*MONTHS, "Sept", *(x[:3] for x in MONTHS)])
+_WRITTEN = rf"""\b(?:
+    (?P<m>{_NAMES})(?P<s1>\.?\s{{1,3}}|\.|-)(?P<d>\d{{1,2}})(?P<o>st|nd|rd|th)?(?P<s2>,?\s{{1,3}}|,|-)(?P<y>\d{{4}}|['\u2019]\d{{2}}|(?<=,\s)\d{{2}}(?![:%]|[.,]\d))
+  | (?P<d2>\d{{1,2}})(?P<o2>st|nd|rd|th)?(?P<s3>\.?\s{{1,3}}(?:of\s{{1,3}})?|[-/.]?)(?P<m2>{_NAMES})(?P<s4>\.?,?\s{{1,3}}|[-/.,]?)(?P<y2>\d{{4}}|['\u2019]?\d{{2}}(?![:%]|[.,]\d))
+)(?!\w)"""
 #: kind, a text without it cannot match, pattern, validated replacement; earlier kinds win where spans overlap
 KINDS: list[tuple[str, str, re.Pattern, Callable[[re.Match, bytes], str | None]]] = [
     ("secret", "", re.compile(r"(\b(?i:token|secret|password|passwd|api[_-]?key)\s*[=:]\s*[\"']?)([A-Za-z0-9+/_.~-]{8,})", re.ASCII), secret),
@@ -198,9 +230,10 @@ KINDS: list[tuple[str, str, re.Pattern, Callable[[re.Match, bytes], str | None]]
     ("ip", ".", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", re.ASCII), ip_address),
     ("card", "", re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])", re.ASCII), card),
     ("ssn", "-", re.compile(r"(?<![\d-])(\d{3})-(\d{2})-(\d{4})(?![\d-])", re.ASCII), ssn),
-    ("date", "", re.compile(r"(?<![\d./-])(\d{4})([-/])(\d{2})\2(\d{2})(?![\d/-]|\.\d)", re.ASCII), numeric_date),
-    ("date", "", re.compile(r"(?<![\d./-])(\d{2})([-./])(\d{2})\2(\d{4})(?![\d/-]|\.\d)", re.ASCII), numeric_date),
-    ("date", "", re.compile(rf"\b(?:(?P<m>{_NAMES}) (?P<d>\d{{1,2}}), (?P<y>\d{{4}})|(?P<d2>\d{{1,2}}) (?P<m2>{_NAMES}) (?P<y2>\d{{4}}))\b", re.ASCII | re.IGNORECASE), written_date),
+    ("date", "", re.compile(r"(?<![\d./-])(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?![\d/-]|\.\d)", re.ASCII), numeric_date),
+    ("date", "", re.compile(r"(?<![\d./-])(\d{1,2})([-./])(\d{1,2})\2(\d{4})(?![\d/-]|\.\d)", re.ASCII), numeric_date),
+    ("date", "", re.compile(r"(?<![\w./-])(\d{1,2})([-./])(\d{1,2})\2(\d{2})(?![\w/-]|\.\d)", re.ASCII), numeric_date),
+    ("date", "", re.compile(_WRITTEN, re.ASCII | re.IGNORECASE | re.VERBOSE), written_date),
     ("phone", "", re.compile(r"(?<![\w+.-])(?:\+?1[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?![\w-]|\.\d)", re.ASCII), phone),
     ("phone", "", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![\w-])", re.ASCII), phone),
 ]
@@ -234,7 +267,8 @@ def pseudonyms(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     Card numbers (Luhn), IBANs (mod 97), social security and phone numbers, IP addresses, e-mail addresses, keys and
     dates are replaced by another valid value of the same format. The permutation depends on the key and the kind
     alone, so equal values have equal pseudonyms in all documents, different values different ones, and a date has one
-    pseudonym however it is written. Numbers that fail validation stay. Work is row by row, nothing is shuffled. Null
+    pseudonym however it is written: numbers of one or two digits, years of two (1969 to 2068) or four, English month
+    names and their abbreviations, ordinals; the written form is kept. Numbers that fail validation stay. Work is row by row, nothing is shuffled. Null
     texts stay null, an existing ``pii_kinds`` column is replaced.
     """
     secret_key = hashlib.blake2b(key.encode(), digest_size=32).digest()

@@ -403,6 +403,35 @@ def test_pseudonyms_keep_their_format():
     assert pseudonymise(text, KEY) == (new, kinds) and pseudonymise(text, b"z" * 32)[0] != new
 
 
+@pytest.mark.parametrize("text,form", [
+    ("2024-03-05", r"(?P<Y>\d{4})-(?P<m>\d\d)-(?P<d>\d\d)"), ("2024/3/5", r"(?P<Y>\d{4})/(?P<m>\d\d?)/(?P<d>\d\d?)"), ("2024.03.05", r"(?P<Y>\d{4})\.(?P<m>\d\d)\.(?P<d>\d\d)"),
+    ("3/5/2024", r"(?P<m>[1-9]\d?)/(?P<d>[1-9]\d?)/(?P<Y>\d{4})"), ("5.3.2024", r"(?P<d>[1-9]\d?)\.(?P<m>[1-9]\d?)\.(?P<Y>\d{4})"),
+    ("03/05/24", r"(?P<m>\d\d)/(?P<d>\d\d)/(?P<y>\d\d)"), ("5.3.24", r"(?P<d>[1-9]\d?)\.(?P<m>[1-9]\d?)\.(?P<y>\d\d)"), ("3-5-24", r"(?P<m>[1-9]\d?)-(?P<d>[1-9]\d?)-(?P<y>\d\d)"),
+    ("Mar 5, 2024", r"(?P<b>[A-Z][a-z]{2}) (?P<d>\d\d?), (?P<Y>\d{4})"), ("5 Mar 2024", r"(?P<d>\d\d?) (?P<b>[A-Z][a-z]{2}) (?P<Y>\d{4})"),
+    ("March 5 2024", r"(?P<b>[A-Z][a-z]+) (?P<d>\d\d?) (?P<Y>\d{4})"), ("March 5th, 2024", r"(?P<b>[A-Z][a-z]+) (?P<d>\d\d?)(?:st|nd|rd|th), (?P<Y>\d{4})"),
+    ("5th of March, 2024", r"(?P<d>\d\d?)(?:st|nd|rd|th) of (?P<b>[A-Z][a-z]+), (?P<Y>\d{4})"), ("MAR. 05, 2024", r"(?P<b>[A-Z]{3})\. (?P<d>\d\d), (?P<Y>\d{4})"),
+    ("5-Mar-24", r"(?P<d>\d\d?)-(?P<b>[A-Z][a-z]{2})-(?P<y>\d\d)"), ("March 5, '24", r"(?P<b>[A-Z][a-z]+) (?P<d>\d\d?), '(?P<y>\d\d)"), ("5 march 24", r"(?P<d>\d\d?) (?P<b>[a-z]+) (?P<y>\d\d)"),
+    ("March 5,\n2024", r"(?P<b>[A-Z][a-z]+) (?P<d>\d\d?),\n(?P<Y>\d{4})"),
+])
+def test_a_date_has_one_pseudonym_in_every_form(text, form):
+    new, kinds = pseudonymise(f"on {text}, they said", KEY)
+    assert kinds == ["date"]
+    m = re.fullmatch(f"on {form}, they said", new)
+    assert m, new
+    part = m.groupdict()
+    month = int(part["m"]) if "m" in part else [x[:3] for x in pii.MONTHS].index(part["b"][:3].title()) + 1
+    year = int(part["Y"]) if "Y" in part else int(part["y"]) + (2000 if int(part["y"]) < 69 else 1900)
+    assert dt.date(year, month, int(part["d"])) == pii._day(dt.date(2024, 3, 5), KEY) != dt.date(2024, 3, 5)
+
+
+def test_days_have_different_pseudonyms():
+    days = range(dt.date(1965, 1, 1).toordinal(), dt.date(1973, 1, 1).toordinal())
+    new = [pii._day(dt.date.fromordinal(x), KEY) for x in days]
+    assert len(set(new)) == len(days) and all((1969 <= x.year < 2069) == (dt.date.fromordinal(d).year >= 1969) and 1800 <= x.year < 2200 for d, x in zip(days, new))
+    for text in ("version v1.2.24 of 1.2.3.4.5", "13/13/2024 and 31.02.24", "5 March 10:30", "may 5 10 people", "chapter 3-4-5"):
+        assert "date" not in pseudonymise(text, KEY)[1]
+
+
 def test_what_is_not_personal_stays():
     for text in ("4111 1111 1111 1112", "version 1.2.3", "in 2024 there were 123456 of 7890", "a 999.1.1.1 b", "2001-02-30", "token of thanks", "000-12-3456", "12:30:45"):
         assert pseudonymise(text, KEY) == (text, [])
