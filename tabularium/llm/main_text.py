@@ -26,14 +26,23 @@ BLOCKS = set(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot "
     "th thead tr ul".split()
 )
-#: Elements that are never part of a main text, and words of class, id and role that say the same.
+#: Elements that are never part of a main text, and roles that say the same.
 OUTSIDE = set("head nav aside footer form button menu dialog label input fieldset".split())
-_MARKED = re.compile(
-    r"(?:class|id|role)\s*=\s*[\"']?[^\"'>]*?(?<![a-z0-9])(?:ads?|advert(?:s|isement|ising)?|sponsored|promo(?:tion)?s?|banner|cookies?|consent|notices?|sidebar|"
-    r"menu|nav(?:bar|igation)?|breadcrumbs?|footer|masthead|comments?|disqus|respond|replies|newsletter|subscribe|signup|related|recommended|share|sharing|social|"
-    r"popup|modal|overlay|pagination|pager|toolbar|widget|contentinfo|complementary|search|alert)(?![a-z0-9])",
-    re.IGNORECASE,
+ROLES = set("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
+#: Whole class tokens of containers that are not main text: anywhere, and outside an article or main element.
+CONTAINERS = set("center details div dl ol section table ul".split())
+_ANYWHERE = set(
+    "ad ads advert advertisement advertising adverts ad-banner ad-container ad-slot sponsored promo comments comment-list comments-area "
+    "comments-section disqus newsletter newsletter-signup breadcrumb breadcrumbs pagination share-buttons sharing social-share".split()
 )
+_AROUND = _ANYWHERE | set(
+    "banner cookie cookies cookie-banner cookie-consent cookie-notice footer masthead main-menu main-nav menu modal nav navbar nav-menu navigation "
+    "overlay page-footer pager popup promotion promotions recommended related related-articles related-posts replies respond search share sidebar "
+    "signup site-footer site-header social subscribe toolbar widget widget-area".split()
+)
+#: Whole ids of ``div`` outside an article or main element; an id can name the topic of a section, so the list is short.
+_IDS = set("breadcrumb breadcrumbs cookie-banner cookie-consent cookie-notice disqus_thread footer masthead navbar sidebar".split())
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|\Z)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 
@@ -43,6 +52,22 @@ _CONTENT = set("p h1 h2 h3 h4 h5 h6 blockquote pre b i em strong br code td th f
 KNOWN = sorted(BLOCKS | VOID | _CONTENT | set("a span u s small sub sup cite q abbr time".split()))
 
 
+def _marked(name: str, attributes: str, inside: bool) -> bool:
+    """Whether role, class or id say that an element is no main text. Headings, paragraphs and inline elements are judged
+    by their role alone, and a class or id by whole tokens: ``related-work`` and ``binary-search`` say nothing."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        kind, values = m[1].lower(), (m[2] or m[3] or m[4] or "").lower().split()
+        if kind == "role":
+            if not ROLES.isdisjoint(values):
+                return True
+        elif kind == "class":
+            if name in CONTAINERS and not (_ANYWHERE if inside else _AROUND).isdisjoint(values):
+                return True
+        elif name == "div" and not inside and not _IDS.isdisjoint(values):
+            return True
+    return False
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
     """``(kind, name, kept, text)`` of a page in order: kind is ``open``, ``close`` or ``text``; the name of a text is that
     of its nearest block. ``kept`` is false inside elements that are never main text."""
@@ -80,7 +105,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
             kept = True
         elif name not in ("html", "article", "main"):
             kept = kept and name not in OUTSIDE and not (name == "header" and not inside)
-            kept = kept and not (m[4] and (_MARKED.search(m[4]) or _HIDDEN.search(m[4])))
+            kept = kept and not (m[4] and (_marked(name, m[4], inside) or _HIDDEN.search(m[4])))
         yield "open", name, kept, ""
         if name not in VOID and not m[4].endswith("/"):
             stack.append((name, kept, inside or name in ("article", "main")))

@@ -144,6 +144,22 @@ def test_main_text():
     assert main_text('<p>cut off</p><p class="x', weights) == "cut off"
 
 
+@pytest.mark.parametrize("start,end", [
+    ('<h2 id="binary-search">', "</h2>"), ('<section id="related-work"><p>', "</section>"), ('<section id="social-history"><p>', "</section>"),
+    ('<p class="notice">', "</p>"), ('<section id="search"><p>', "</section>"), ('<p>see <span class="search">', "</span></p>"),
+    ('<div class="entry-content comments-enabled"><p>', "</div>"), ("<div class='has-sidebar'><p>", "</div>"), ('<p data-id="ad">', "</p>"),
+])
+@pytest.mark.parametrize("outer", ["article", "div"])
+def test_ids_and_parts_of_class_words_drop_nothing(start, end, outer):
+    page = f"<body><nav><a>Home</a></nav><{outer}><p>one two three four five six</p>{start}the words that count{end}<p>seven eight nine ten</p></{outer}></body>"
+    assert "the words that count" in main_text(page, fit_weights([]))
+
+
+def test_marked_containers_stay_out():
+    for start in ('<div class="x ad">', "<div class=sidebar>", '<div role="navigation">', '<div id="footer">', '<ul class="breadcrumbs"><li>'):
+        assert main_text(f"<body><div><p>one two three four five six</p></div>{start}buy these now", fit_weights([])) == "one two three four five six"
+
+
 def test_main_text_of_given_pages(tables, spark):
     def article(page):
         inner = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)[1]
