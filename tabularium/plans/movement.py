@@ -282,5 +282,5 @@ def _(t):
     arrived = t.documents.select(
         "doc_id", "text", F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, doc_id)").alias("ts"))
     stream = streams.file_stream(t.spark, arrivals(t, arrived), arrived.schema, files_per_batch=1)
-    kept = streams.run_append(streams.drop_repeated_content(stream, F.col("text"), "30 days"), "distinct")
+    kept = streams.run_append(streams.drop_repeated_content(stream, F.col("text")), "distinct")
     return kept.agg(F.count(F.lit(1)).alias("kept"), F.count_distinct("content_hash").alias("distinct_content"))

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from tabularium.operators import activity
 from tabularium.plans import REGISTRY
+from tabularium.session import new_scratch
+from tabularium.streaming import streams
 from tests.conftest import FOLDER
 from tests.oracle import compare, connect
 
@@ -27,3 +29,13 @@ def test_streamed_sessions_are_batch_sessions(spark, tables):
     batch = batch.select("user_id", F.col("session_start").cast("string"), F.col("session_end").cast("string"), "events")
     streamed = REGISTRY["stream_sessions"].run(spark, FOLDER).select("user_id", "session_start", "session_end", "events")
     assert streamed.exceptAll(batch).count() == 0
+
+
+def test_copies_far_apart_are_dropped(spark):
+    path, schema = new_scratch(spark, "far"), "doc_id long, text string, ts timestamp_ntz"
+    for day, text in ((0, "a"), (100, "b"), (200, "c"), (300, "a"), (400, None), (900, None)):
+        rows = spark.createDataFrame([(day, text)], "doc_id long, text string")
+        rows.withColumn("ts", F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(int(doc_id), 0, 0, 0)")).coalesce(1).write.mode("append").parquet(path)
+    stream = streams.file_stream(spark, path, spark.read.schema(schema).parquet(path).schema, files_per_batch=1)
+    kept = streams.run_append(streams.drop_repeated_content(stream, F.col("text")), "far-kept")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 100, 200, 400]
