@@ -12,6 +12,7 @@ from tabularium.llm.code_search import nearest_codes, sign_code
 from tabularium.llm.decontaminate import contamination
 from tabularium.llm.licenses import THRESHOLD, TEMPLATES, license_matches, template_bigrams
 from tabularium.llm.main_text import extract_main_text
+from tabularium.llm.manifest import lower_ascii, merkle_manifest
 from tabularium.llm.pieces import encode_pieces
 from tabularium.llm.pseudonyms import pseudonyms
 from tabularium.llm.quality import classify
@@ -133,3 +134,76 @@ def op5_code_search(t: Tables) -> DataFrame:
 @llm_query()
 def op1_suffix_dedup(t: Tables) -> DataFrame:
     return repeated_bytes(t.documents)
+
+
+_LEVELS = 6  # of the SQL below: 16 ** 6 documents of a source, and as many sources
+_CRC_NIBBLES = [
+    0x00000000, 0x1DB71064, 0x3B6E20C8, 0x26D930AC, 0x76DC4190, 0x6B6B51F4, 0x4DB26158, 0x5005713C,
+    0xEDB88320, 0xF00F9344, 0xD6D6A3E8, 0xCB61B38C, 0x9B64C2B0, 0x86D3D2D4, 0xA00AE278, 0xBDBDF21C,
+]  # fixed values: the CRC-32 remainders of the sixteen half bytes
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of the ASCII text of a DuckDB expression, half byte by half byte."""
+    half = "xor((c >> 4), [{}][(c & 15) + 1])".format(", ".join(f"{v}::BIGINT" for v in _CRC_NIBBLES))
+    step = f"list_transform([list_transform([xor(c, b)], lambda c: {half})[1]], lambda c: {half})[1]"
+    return f"xor(4294967295, list_reduce([4294967295] || list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT), lambda c, b: {step}))"
+
+
+def _field_sql(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
+
+
+def _tree_sql(name: str, leaves: str) -> tuple[str, str]:
+    """Levels of the trees over ``leaves(g, pos, d)``: CTEs ``name0`` to ``name6`` (the runs of a level, with their digest)
+    and the joins that add the siblings of a node at ``pos``."""
+    parts, joins, below = [], [], leaves
+    for k in range(_LEVELS):
+        parts.append(
+            f"{name}{k} AS (SELECT *, CASE WHEN done THEN kids[1] ELSE sha256(array_to_string(kids, '')) END AS d FROM (SELECT *, "
+            f"len(kids) = 1 AND count(*) OVER (PARTITION BY g) = 1 AS done FROM (SELECT g, pos // 16 AS pos, list(d ORDER BY pos) AS kids "
+            f"FROM {below} GROUP BY g, pos // 16)))"
+        )
+        joins.append(f"JOIN {name}{k} ON {name}{k}.g IS NOT DISTINCT FROM it.g AND {name}{k}.pos = it.pos // {16 ** (k + 1)}")
+        below = f"{name}{k}"
+    return ", ".join(parts), " ".join(joins)
+
+
+def _climb_sql(name: str, start: str) -> tuple[str, str, str]:
+    """Chained column definitions: folded digest and siblings through the levels of ``name``."""
+    columns, folded, siblings = [], start, []
+    for k in range(_LEVELS):
+        slot = f"(it.pos // {16 ** k}) % 16"
+        left, right = f"array_to_string({name}{k}.kids[1:{slot}], '')", f"array_to_string({name}{k}.kids[{slot} + 2:], '')"
+        columns.append(f"CASE WHEN {name}{k}.done THEN {folded} ELSE sha256({left} || {folded} || {right}) END AS f{k}")
+        siblings.append(f"{left} || {right}")
+        folded = f"f{k}"
+    return ", ".join(columns), folded, " || ".join(siblings)
+
+
+def _manifest_sql() -> str:
+    own, own_joins = _tree_sql("own", "leaves")
+    top, top_joins = _tree_sql("top", "subs")
+    own_columns, own_fold, own_siblings = _climb_sql("own", "it.t")
+    top_columns, top_fold, top_siblings = _climb_sql("top", "it.t")
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    leaf = " || ".join(_field_sql(c) for c in fields)
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH hashed AS (SELECT doc_id, source AS g, sha256({leaf} || {_field_sql("text")}) AS d,
+  sha256({leaf} || CASE WHEN doc_id IS NOT NULL AND {crc32_sql("doc_id::VARCHAR")} % 5 = 0 THEN {_field_sql(lower)} ELSE {_field_sql("text")} END) AS t FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d) - 1 AS pos FROM hashed),
+{own},
+subs AS (SELECT 'all' AS g, g AS name, d, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos FROM own{_LEVELS - 1}),
+{top},
+low AS (SELECT it.doc_id, it.g, it.d, {own_columns}, {own_fold} AS t, {own_siblings} AS siblings FROM leaves it {own_joins}),
+it AS (SELECT low.doc_id, low.d AS leaf, low.t, low.siblings, subs.g, subs.pos, subs.d AS subroot FROM low JOIN subs ON low.g IS NOT DISTINCT FROM subs.name),
+high AS (SELECT it.doc_id, it.leaf, it.subroot, top{_LEVELS - 1}.d AS root, it.siblings || {top_siblings} AS siblings, {top_columns}, {top_fold} AS folded FROM it {top_joins})
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM high"""
+
+
+@llm_query(_manifest_sql())
+def op12_manifest(t: Tables) -> DataFrame:
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    return merkle_manifest(t.documents, fields, "doc_id", "source", {"text": lower_ascii(F.col("text"))}, tampered).drop("n_siblings")
