@@ -19,6 +19,8 @@ from tabularium.llm.quality import classify
 from tabularium.llm.simhash import simhash_components
 from tabularium.llm.suffix_dedup import repeated_bytes
 from tabularium.llm.token_counts import token_counts
+from tabularium.llm.toxicity import fit_toxicity, score_toxicity
+from tabularium.llm.vector_codes import ENTRIES, PARTS, ROUNDS, compress
 from tabularium.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +209,45 @@ def op12_manifest(t: Tables) -> DataFrame:
     tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
     return merkle_manifest(t.documents, fields, "doc_id", "source", {"text": lower_ascii(F.col("text"))}, tampered).drop("n_siblings")
+
+
+def _codes_sql() -> str:
+    # a squared distance and an entry number in one integer: the smallest one is the nearest entry, ties to the lower
+    nearest = (
+        f"SELECT v.vec_id, v.label, v.p, any_value(v.x) AS x, min({ENTRIES} * list_sum(list_transform(range(1, len(v.x) + 1), "
+        "lambda i: (v.x[i] - c.e[i]) * (v.x[i] - c.e[i])))::BIGINT + c.k) AS best FROM parts v JOIN {book} c USING (p) GROUP BY v.vec_id, v.label, v.p"
+    )
+    steps, book = [], "book0"
+    for r in range(1, ROUNDS + 1):
+        steps.append(f"near{r} AS ({nearest.format(book=book)})")
+        steps.append(
+            f"means{r} AS (SELECT p, k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS e FROM (SELECT p, best % {ENTRIES} AS k, i, sum(x[i])::BIGINT AS s, "
+            f"count(*) AS n FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM near{r}) GROUP BY ALL) GROUP BY p, k)"
+        )
+        steps.append(f"book{r} AS (SELECT p, k, coalesce(m.e, b.e) AS e FROM {book} b LEFT JOIN means{r} m USING (p, k))")
+        book = f"book{r}"
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, label, p, q[len(q) // {PARTS} * p + 1:len(q) // {PARTS} * (p + 1)] AS x FROM kept, range({PARTS}) r(p)),
+book0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, x AS e FROM parts QUALIFY k < {ENTRIES}),
+{", ".join(steps)},
+last AS ({nearest.format(book=book)}),
+rows AS (SELECT vec_id, label, string_agg(lower(printf('%02x', best % {ENTRIES})), '' ORDER BY p) AS code, sum(best // {ENTRIES})::BIGINT AS error FROM last GROUP BY vec_id, label),
+books AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM {book})
+SELECT vec_id, label, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM rows, books"""
+
+
+@llm_query(_codes_sql())
+def op13_vector_codes(t: Tables) -> DataFrame:
+    return compress(t.embeddings)
+
+
+@llm_query()
+def op11_toxicity(t: Tables) -> DataFrame:
+    held_out = lambda doc_id: F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
+    machine = fit_toxicity(t.documents, t.labels, lambda doc_id: ~held_out(doc_id))
+    rows = score_toxicity(t.documents.select("doc_id", "text"), machine)
+    return rows.select(
+        "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "witness"
+    )
