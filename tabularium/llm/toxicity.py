@@ -25,8 +25,9 @@ DECAY = 0.75
 CLASSES = 64  # letters: a to z, the rest folded on what is left
 WINDOW = 24  # longer words are read in overlapping windows of this length
 RIDGE = 0.05
-CLEAN_WEIGHT = 6.0  # of all clean words together, against all toxic ones
+CLEAN_WEIGHT = 25.0  # of all clean words together, against all toxic ones
 GAIN = 12.0  # evidence from which a word is learned as toxic
+HIDDEN_WEIGHT = 0.03  # of the hidden forms in the curve to probabilities, against toxic documents
 VARIANTS = 8  # hidden forms of a toxic word that are learned too
 CACHE = 400_000  # scored words that a worker keeps
 
@@ -251,11 +252,15 @@ def train(toxic: dict[str, float], clean: dict[str, float]) -> Machine:
     return Machine(landmarks, root @ w, bias)
 
 
-def calibrated(machine: Machine, value: np.ndarray, y: np.ndarray) -> Machine:
-    """Slope and offset of a logistic curve from decision values to probabilities, by Newton steps."""
+def calibrated(machine: Machine, value: np.ndarray, y: np.ndarray, hidden: np.ndarray) -> Machine:
+    """Slope and offset of a logistic curve from decision values to probabilities, by Newton steps.
+
+    Both kinds of documents weigh the same; the values of hidden insults are toxic ones of a tenth of that weight.
+    """
     if len(y) and y.min() < y.max():
-        x = np.c_[value, np.ones(len(value))]
-        weight = np.where(y > 0, 1 / max(1.0, y.sum()), 1 / max(1.0, (1 - y).sum())) * len(y) / 2
+        weight = np.where(y > 0, 1 / y.sum(), 1 / (1 - y).sum()) * len(y) / 2
+        weight = np.r_[weight, np.full(len(hidden), HIDDEN_WEIGHT * len(y) / 2 / max(1, len(hidden)))]
+        x, y = np.c_[np.r_[value, hidden], np.ones(len(weight))], np.r_[y, np.ones(len(hidden))]
         soft = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
         w = np.array([1.0, 0.0])
         for _ in range(100):
@@ -366,8 +371,7 @@ def fit_toxicity(
         machine = train(toxic | dict(zip(alike["unit"], alike["t"].astype(float))), clean)
     seen = _sentence_witnesses(sample, machine)
     hidden = machine.decide([h for u in sorted(toxic) for h in inserted(u)])  # a text whose insult is hidden is toxic too
-    value, y = np.r_[seen["value"], hidden], np.r_[seen["toxic"], np.ones(len(hidden))]
-    return calibrated(machine, value, y.astype(float))
+    return calibrated(machine, seen["value"].to_numpy(float), seen["toxic"].to_numpy(float), hidden)
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:

@@ -289,11 +289,14 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     """
     names = F.struct(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).alias("row")
     kept = vectors.where(is_kept(F.col(f"`{vector_col}`"))).select(names, F.col(f"`{vector_col}`").alias("vector"))
-    seeds = kept.orderBy(F.col("row.id").asc_nulls_last(), "vector").limit(ENTRIES).collect()
+    smallest = lambda df: df.orderBy(F.col("row.id").asc_nulls_last(), "vector").limit(ENTRIES).collect()
+    seeds = smallest(kept)
     dims = len(seeds[0]["vector"]) if seeds else 0
     kept = kept.where(F.size("vector") == dims)
+    if any(len(r["vector"]) != dims for r in seeds):
+        seeds = smallest(kept)
     bounds = part_bounds(dims)
-    first = integers(np.array([r["vector"] for r in seeds if len(r["vector"]) == dims], np.float64).reshape(-1, dims))
+    first = integers(np.array([r["vector"] for r in seeds], np.float64).reshape(len(seeds), dims))
     ends = kept.agg(F.min(F.array_min("vector")), F.max(F.array_max("vector"))).first() if dims else (0.0, 0.0)
     low, high = (int(v) for v in integers(np.array([v or 0.0 for v in ends])))
     parts = _parts_of(kept.withColumn("uid", F.monotonically_increasing_id()).select("row", "uid", "vector"), dims, low, high)

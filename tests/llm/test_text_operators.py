@@ -526,12 +526,13 @@ def test_license_matches(spark, docs, none):
         (1, "text\nReleased under the MIT License.\nmore\nLicensed under CC BY-NC 4.0."), (2, "Licensed under the Apache License, version 2.0"),
         (3, "released under the mit licence, they say"), (None, "Licensed under CC BY 4.0."), (5, None), (5, ""), (6, "License"),
         (7, "Permission to use, copy, modify, and/or distribute this software\nfor any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice\nappear in all copies.\n\nother text"),
+        (8, "Permission to use, copy, modify, and/or distribute this software\nfor any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice\nappear in all copies.\n\n" + " ".join(f"w{i}" for i in range(90))),
     ]
     got = {(r["doc_id"], r["license"]): (r["n_lines"], r["n_paragraphs"], r["whole_text"], r["best_dice"]) for r in license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1, "MIT"][0] == 1 and got[1, "CC-BY-NC-4.0"] == (1, 0, False, 1.0)
     assert got[2, "Apache-2.0"] == (1, 0, True, 1.0) and got[None, "CC-BY-4.0"][3] == 1.0
-    assert got[7, "ISC"] == (0, 1, False, 1.0)
-    assert set(got) == {(1, "MIT"), (1, "CC-BY-NC-4.0"), (2, "Apache-2.0"), (None, "CC-BY-4.0"), (7, "ISC")}
+    assert got[7, "ISC"] == (0, 1, True, 1.0) and got[8, "ISC"] == (0, 1, False, 1.0)
+    assert set(got) == {(8, "ISC"), (1, "MIT"), (1, "CC-BY-NC-4.0"), (2, "Apache-2.0"), (None, "CC-BY-4.0"), (7, "ISC")}
     assert license_matches(docs).count() == 0 and license_matches(none).count() == 0 and license_matches(docs, {}).count() == 0
     plan = license_matches(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
