@@ -29,7 +29,7 @@ CLEAN_WEIGHT = 25.0  # of all clean words together, against all toxic ones
 GAIN = 12.0  # evidence from which a word is learned as toxic
 HIDDEN_WEIGHT = 0.03  # of the hidden forms in the curve to probabilities, against toxic documents
 VARIANTS = 8  # hidden forms of a toxic word that are learned too
-CACHE = 400_000  # scored words that a worker keeps
+CACHE = 150_000  # scored words that a worker keeps
 
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s+|$)|\n")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
@@ -178,7 +178,7 @@ class Machine:
         for at, text in enumerate(texts):
             held.append(words_of(text))
             size += len(text)
-            if size > 2_000_000 or at == len(texts) - 1:  # words are scored for many texts at once
+            if size > 1_000_000 or at == len(texts) - 1:  # words are scored for many texts at once
                 known = self.learn(set().union(*held))
                 for words in held:
                     top, word = max(((known[w], w) for w in words), default=(self.bias, ""))
@@ -307,14 +307,17 @@ def _unit_counts(sample: DataFrame) -> DataFrame:
     """
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, rows = ["unit", "toxic", "doc", "mark"], []
         for frame in frames:
-            rows = []
             for doc, toxic, text in zip(frame["doc"], frame["toxic"], frame["text"]):
                 for sentence in sentences_of(text) if isinstance(text, str) else []:
                     mark = int.from_bytes(hashlib.blake2b(sentence.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
                     found = {letters(w) for w in words_of(sentence)}
                     rows += [(u, toxic, doc, mark) for u in found if 3 <= len(u) <= WINDOW]
-            yield pd.DataFrame(rows, columns=["unit", "toxic", "doc", "mark"])
+                    if len(rows) > 50_000:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+        yield pd.DataFrame(rows, columns=names)
 
     made = sample.mapInPandas(pairs, "unit string, toxic int, doc long, mark long")
     each = made.groupBy("unit", "toxic").agg(F.least(F.count_distinct("doc"), F.count_distinct("mark")).alias("n"))
