@@ -301,26 +301,28 @@ def _copy_key(texts: pd.Series) -> pd.Series:
 
 
 def _unit_counts(sample: DataFrame) -> DataFrame:
-    """``(unit, t, c)``: toxic and clean documents that hold a unit, but at most as many as distinct sentences hold it.
+    """``(unit, t, c)``: toxic and clean documents that hold a unit, those with the same first sentence of it counted once.
 
     So the words of copied passages count once, however often they are copied.
     """
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, rows = ["unit", "toxic", "doc", "mark"], []
+        names, rows = ["unit", "toxic", "mark"], []
         for frame in frames:
-            for doc, toxic, text in zip(frame["doc"], frame["toxic"], frame["text"]):
+            for toxic, text in zip(frame["toxic"], frame["text"]):
+                held: dict[str, int] = {}
                 for sentence in sentences_of(text) if isinstance(text, str) else []:
-                    mark = int.from_bytes(hashlib.blake2b(sentence.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-                    found = {letters(w) for w in words_of(sentence)}
-                    rows += [(u, toxic, doc, mark) for u in found if 3 <= len(u) <= WINDOW]
-                    if len(rows) > 50_000:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
+                    mark = crc32(sentence.encode("utf-8", "surrogatepass")) - (1 << 31)
+                    for unit in {letters(w) for w in words_of(sentence)}:
+                        held.setdefault(unit, mark)
+                rows += [(u, toxic, mark) for u, mark in held.items() if 3 <= len(u) <= WINDOW]
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
         yield pd.DataFrame(rows, columns=names)
 
-    made = sample.mapInPandas(pairs, "unit string, toxic int, doc long, mark long")
-    each = made.groupBy("unit", "toxic").agg(F.least(F.count_distinct("doc"), F.count_distinct("mark")).alias("n"))
+    made = sample.mapInPandas(pairs, "unit string, toxic int, mark int")
+    each = made.groupBy("unit", "toxic").agg(F.count_distinct("mark").alias("n"))
     return each.groupBy("unit").agg(F.sum(F.col("toxic") * F.col("n")).alias("t"), F.sum((1 - F.col("toxic")) * F.col("n")).alias("c"))
 
 
