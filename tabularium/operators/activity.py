@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabularium.functions.ordered import with_previous, with_running_max
 from tabularium.functions.time import day_key, epoch_seconds
+from tabularium.operators import limiter
 
 # Request limits per endpoint (requests, seconds), rating penalties; must equal the reference's.
 RATE_LIMITS = {"analysis": (10, 60), "streaming": (5, 60), "websocket": (20, 60), "health": (60, 60), "default": (30, 60)}
@@ -220,32 +221,10 @@ def limit_decisions(times: Sequence[float], limit: int, window: float) -> list[b
     return decided
 
 
-def rate_limit(events: DataFrame, keys: Sequence[str], endpoint: str = "default", slice_seconds: int = 3600) -> DataFrame:
-    """Allow or deny each request of a key by the requests allowed before it.
-
-    The decision forgets everything after a quiet window, so a key is cut at its quiet moments and the
-    pieces spread over tasks. A task streams its sorted rows with the few remembered times as state.
-    """
+def rate_limit(events: DataFrame, keys: Sequence[str], endpoint: str = "default", parts: int | None = None) -> DataFrame:
+    """Allow or deny each request of a key by the limit of the endpoint."""
     limit, window = RATE_LIMITS.get(endpoint, RATE_LIMITS["default"])
-    runs = session_starts(events, keys, window, slice_seconds).withColumn("__at", epoch_seconds("ts").cast("double"))
-    group = [*keys, "session_start"]
-    kinds = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in (*keys, "event_id"))
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, recent = None, []
-        for batch in batches:
-            allowed = []
-            for current, now in zip(zip(*[batch[g] for g in group]), batch["__at"]):
-                if current != owner:
-                    owner, recent = current, []
-                recent = [t for t in recent if now - t < window]
-                allowed.append(len(recent) < limit)
-                if allowed[-1]:
-                    recent.append(now)
-            yield batch[[*keys, "event_id"]].assign(allowed=allowed)
-
-    ordered = runs.select(*group, "event_id", "__at").repartition(*group).sortWithinPartitions(*group, "__at", "event_id")
-    return ordered.mapInPandas(decide, f"{kinds}, allowed boolean")
+    return limiter.rate_limit(events, keys, limit, window, parts=parts)
 
 
 def daily_completeness(events: DataFrame, expected_share: float = 1.0) -> DataFrame:

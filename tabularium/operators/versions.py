@@ -1,16 +1,13 @@
-"""Versions, lineage, duplicates and the tamper-evident audit chain."""
+"""Versions, lineage and duplicates."""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabularium.functions.ordered import SLICE, slice_id, with_previous
 from tabularium.functions.skew import join_checked
 from tabularium.functions.time import epoch_seconds
 from tabularium.operators.relational import sort_column, top_per_group
@@ -102,63 +99,6 @@ def integrity_check(manifest: DataFrame, data: DataFrame, key: str, text: str) -
     return joined.select(key, status.alias("status"))
 
 
-def canonical_json(columns: Sequence[str]) -> Column:
-    """JSON text of the row with sorted keys."""
-    return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
-
-
-def build_chain(log: DataFrame, segment_seconds: int = 3600) -> DataFrame:
-    """Add ``body`` and ``link``: link = sha256(body + link of the predecessor).
-
-    Time segments are built in parallel: the first row of a segment is linked to the hash of the last
-    body before it, every other row to the link before it. Inside a segment the fold streams through
-    the task with one hash as state.
-    """
-    body = log.withColumn("body", canonical_json(log.columns))
-    chained = with_previous(body, [], "ts", {"__head": "body"}, segment_seconds, ["event_id"])
-    chained = chained.withColumn(SLICE, slice_id(chained, "ts", segment_seconds))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        segment, last = None, ""
-        for batch in batches:
-            links = []
-            for current, text, head in zip(batch[SLICE], batch["body"], batch["__head"]):
-                if current != segment:
-                    segment, last = current, hashlib.sha256((head or "").encode()).hexdigest()
-                last = hashlib.sha256((text + last).encode()).hexdigest()
-                links.append(last)
-            yield batch[["event_id", "ts", "body"]].assign(link=links)
-
-    schema = f"event_id {log.schema['event_id'].dataType.simpleString()}, ts timestamp_ntz, body string, link string"
-    ordered = chained.select(SLICE, "ts", "event_id", "body", "__head").repartition(SLICE).sortWithinPartitions(
-        SLICE, "ts", "event_id")
-    return ordered.mapInPandas(fold, schema)
-
-
-def verify_chain(chain: DataFrame, segment_seconds: int = 3600) -> DataFrame:
-    """Status per row: verified, failed or missing; every row needs only its predecessor."""
-    sliced = chain.withColumn("segment", slice_id(chain, "ts", segment_seconds))
-    linked = with_previous(
-        sliced, [], "ts", {"__link": "link", "__body": "body", "__segment": "segment"}, segment_seconds, ["event_id"])
-    head = F.sha2(F.coalesce("__body", F.lit("")), 256)
-    before = F.when(F.col("__segment") == F.col("segment"), F.coalesce("__link", F.lit(""))).otherwise(head)
-    status = (
-        F.when(F.col("link").isNull(), "missing")
-        .when(F.sha2(F.concat("body", before), 256) == F.col("link"), "verified").otherwise("failed")
-    )
-    return linked.withColumn("status", status).select("event_id", "ts", "status")
-
-
-def chain_report(checked: DataFrame) -> DataFrame:
-    """Totals per day and whether the day verifies."""
-    def n(status: str) -> Column:
-        return F.count_if(F.col("status") == status)
-
-    return checked.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
-        F.count(F.lit(1)).alias("total"), n("verified").alias("verified"), n("failed").alias("failed"),
-        n("missing").alias("missing"), (n("failed") == 0).alias("intact"))
-
-
 def field_lineage(mappings: DataFrame, catalog: DataFrame) -> DataFrame:
     """mappings(unified_field, resource_id, source_field) -> lineage rows ``unified <- file.field``."""
     named = mappings.join(catalog.select("resource_id", "original_filename"), "resource_id", "left")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabularium.functions.lineage import settled
 from tabularium.functions.text import words
 from tabularium.functions.time import day_key, ntz
-from tabularium.operators import access, activity, labels, relational as rel, versions
+from tabularium.operators import access, activity, audit_tree, labels, relational as rel, versions
 from tabularium.operators.profiling import type_name
 from tabularium.functions.ordered import with_previous
 from tabularium.plans.documents import INTENTS, WS
@@ -443,10 +444,36 @@ def _(t):
 
 
 @query("audit_chain", "V10", """
-SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS total, count(*) AS verified, 0 AS failed, 0 AS missing, true AS intact
-FROM events GROUP BY 1""")
-def _(t):
-    return versions.chain_report(versions.verify_chain(versions.build_chain(t.events)))
+WITH p AS (SELECT event_id, date_trunc('hour', ts) AS h, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) - 1 AS place FROM events),
+s AS (SELECT *, max((event_id % 103 = 9)::INT) OVER w * (count(*) OVER w - 1) = 1 AS swapped FROM p WINDOW w AS (PARTITION BY h, place // 2)),
+c AS (SELECT *, CASE WHEN event_id % 101 = 7 THEN 'removed' WHEN event_id % 97 = 5 THEN 'changed' WHEN swapped THEN 'moved' ELSE 'verified' END AS status FROM s),
+hours AS (SELECT h, count(*) FILTER (status <> 'verified') = 0 AS intact FROM c GROUP BY h)
+SELECT strftime(c.h, '%Y-%m-%d') AS day, count(*) AS total, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'changed') AS changed,
+  count(*) FILTER (status = 'moved') AS moved, count(*) FILTER (status = 'removed') AS removed, 0 AS added,
+  count(DISTINCT c.h) FILTER (intact) AS intact_hours, count(DISTINCT c.h) AS hours
+FROM c JOIN hours USING (h) GROUP BY 1""")
+def _(t):
+    # the log as sealed, and as found: values changed, rows removed, neighbours exchanged
+    sealed = settled(audit_tree.leaves(t.events, "event_id"))
+    found = t.events.withColumn("value", F.when(F.col("event_id") % 97 == 5, F.col("value") + 1).otherwise(F.col("value")))
+    hashes = found.select(F.col("event_id").alias("id"), F.sha2(audit_tree.canonical_json(found.columns), 256).alias("leaf"))
+    current = audit_tree.swapped_pairs(sealed.drop("leaf"), F.col("id") % 103 == 9).join(hashes, "id").where("id % 101 <> 7")
+    hours = audit_tree.segment_report(sealed, settled(current))
+    counts = [F.sum(c).alias(c) for c in ("total", "verified", "changed", "moved", "removed", "added")]
+    return hours.groupBy(F.date_format("segment", "yyyy-MM-dd").alias("day")).agg(
+        *counts, F.count_if("intact").alias("intact_hours"), F.count(F.lit(1)).alias("hours"))
+
+
+@query("audit_proofs", "V10", """
+SELECT event_id AS id, true AS included, date_trunc('hour', ts)::VARCHAR AS segment FROM events WHERE event_type = 'error' AND event_id % 50 = 3""")
+def _(t):
+    placed = settled(audit_tree.leaves(t.events, "event_id"))
+    nodes = audit_tree.tree(placed)
+    wanted = t.events.where("event_type = 'error' AND event_id % 50 = 3").select(F.col("event_id").alias("id"))
+    proofs = audit_tree.inclusion_proofs(placed, nodes, wanted)
+    sealed = audit_tree.chained(audit_tree.roots(nodes)).select(F.col("segment").alias("__segment"), "root")
+    checked = proofs.join(sealed, F.col("segment").eqNullSafe(F.col("__segment")))
+    return checked.select("id", (audit_tree.folded_root(F.col("leaf"), F.col("steps")) == F.col("root")).alias("included"), F.col("segment").cast("string").alias("segment"))
 
 
 @query("field_lineage", "V11", """

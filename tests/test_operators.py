@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import json
 import math
 import re
@@ -9,8 +10,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
+from tabularium.functions import ranges
 from tabularium.operators import (
-    access, activity, chunking, cleaning, json_docs, relational, search, statistics, templates, text_cleaning, versions,
+    access, activity, audit_tree, chunking, cleaning, json_docs, limiter, relational, search, statistics,
+    templates, text_cleaning, versions,
 )
 from tabularium.sources import files
 
@@ -277,7 +280,7 @@ def test_rate_limit_equals_the_loop(spark):
         at[k] = at.get(k, 0.0) + float(rng.choice([0.5, 2, 9, 70], p=[0.6, 0.2, 0.15, 0.05]))
         rows.append((k, base + dt.timedelta(seconds=at[k]), i))
     df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, event_id long")
-    got = {r["event_id"]: r["allowed"] for r in activity.rate_limit(df, ["k"], "streaming", 50).collect()}
+    got = {r["event_id"]: r["allowed"] for r in activity.rate_limit(df, ["k"], "streaming", parts=6).collect()}
     for k in ("hot", "cold"):
         mine = sorted((ts, i) for kk, ts, i in rows if kk == k)
         recent = []
@@ -288,21 +291,6 @@ def test_rate_limit_equals_the_loop(spark):
                 recent.append(ts)
 
 
-def test_chain_detects_changes_and_gaps(spark, tables):
-    chain = versions.build_chain(tables.events).cache()
-    n = chain.count()
-    clean = versions.chain_report(versions.verify_chain(chain))
-    assert clean.agg(F.sum("verified")).first()[0] == n and clean.where("NOT intact").count() == 0
-    flipped = chain.withColumn("body", F.when(F.col("event_id") == 77, F.regexp_replace("body", "\"user_id\":", "\"user_id\": ")).otherwise(F.col("body")))
-    bad = versions.verify_chain(flipped).where("status = 'failed'")
-    assert 77 in {r["event_id"] for r in bad.collect()}
-    removed = versions.verify_chain(chain.where("event_id <> 100"))
-    assert removed.where("status = 'failed'").count() == 1
-    unlinked = chain.withColumn("link", F.when(F.col("event_id") != 5, F.col("link")))
-    assert versions.verify_chain(unlinked).where("status = 'missing'").count() == 1
-    chain.unpersist()
-
-
 def test_visible_text():
     html = "<!DOCTYPE html><p>A &amp; B</p><script>var x='<p>';</script><!-- no --><style>p{}</style><b>c</b>"
     assert files.visible_text(html) == "A & Bc"
@@ -365,3 +353,95 @@ def test_field_type_counts_of_bad_documents(spark):
     df = spark.createDataFrame([(1, '{"a": 1, "b": [1], "c": {"d": null}}'), (2, None), (3, "no json"), (4, "[1]")], "k int, j string")
     got = {r["k"]: (r["total"], r["numeric"], r["lists"], r["objects"]) for r in jd.field_type_counts(df, "k", "j").collect()}
     assert got == {1: (4, 1, 1, 1), 2: (None,) * 4, 3: (None,) * 4, 4: (None,) * 4}
+
+
+# ---- ranges, limiter, audit tree ----
+
+def test_numbered_places_equal_a_sort(spark):
+    rows = [("hot", 5, i) for i in range(500)] + [("hot", None, 501), (None, 1, 502), (None, None, 503), ("cold", -1, 504), ("hot", 5, 7)]
+    df = spark.createDataFrame(rows, "k string, t int, i int")
+    got = ranges.numbered(df, ["k"], ["t", "i"], "place", "n", parts=7)
+    assert got.columns == ["k", "t", "i", "place", "n"]
+    lag = lambda v: (v is not None, v or 0)
+    for key in ("hot", None, "cold"):
+        mine = sorted((r for r in got.collect() if r["k"] == key), key=lambda r: r["place"])
+        assert [r["place"] for r in mine] == list(range(len(mine))) and {r["n"] for r in mine} == {len(mine)}
+        assert [(lag(r["t"]), r["i"]) for r in mine] == sorted((lag(t), i) for k, t, i in rows if k == key)
+    assert ranges.numbered(df.limit(0), [], ["t"], "place").count() == 0
+
+
+def looped(rows, limit, window):
+    """Decisions of the limiter, one request after the other."""
+    decided, recent = {}, {}
+    for k, at, i in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[1], r[2])):
+        recent[k] = [t for t in recent.get(k, []) if at - t < window * 1_000_000]
+        decided[i] = len(recent[k]) < limit
+        if decided[i]:
+            recent[k].append(at)
+    return decided | {i: True for _, at, i in rows if at is None}
+
+
+@pytest.mark.parametrize("spacing", ["steady", "dense", "uneven"])
+def test_busy_key_is_decided_by_many_tasks(spark, spacing):
+    rng = np.random.default_rng(8)
+    steps = {"steady": lambda: 5_000_000, "dense": lambda: int(rng.integers(10_000, 40_000)), "uneven": lambda: int(rng.choice([1, 7, 31, 64])) * 1_000_000}
+    at, rows = 0, []
+    for i in range(6000):
+        at += steps[spacing]()
+        rows.append(("hot" if i % 10 else None, at, i))
+    rows.append(("hot", None, 9999))
+    df = spark.createDataFrame(rows, "k string, us long, event_id long").select("k", F.timestamp_micros("us").alias("ts"), "event_id")
+    got = limiter.rate_limit(df, ["k"], 5, 60, parts=9)
+    assert {r["event_id"]: r["allowed"] for r in got.collect()} == looped(rows, 5, 60)
+    tasks = got.select(F.spark_partition_id().alias("p")).groupBy("p").count()
+    if spacing == "steady":  # all states it can be in are among the assumed ones
+        assert tasks.count() >= 8 and tasks.agg(F.max("count")).first()[0] < 2000
+    assert limiter.rate_limit(df.limit(0), ["k"], 5, 60).count() == 0
+
+
+def test_allow_equals_the_loop():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        times = np.cumsum(rng.integers(0, 30, rng.integers(1, 60)))
+        cut = int(rng.integers(0, len(times)))
+        first, state = limiter.allow(times[:cut], (), 3, 40)
+        second, _ = limiter.allow(times[cut:], state, 3, 40)
+        assert [*first, *second] == activity.limit_decisions(times.tolist(), 3, 40)
+
+
+def test_audit_tree_tells_what_was_done(spark, tables):
+    log = tables.events
+    sealed = audit_tree.leaves(log, "event_id", parts=6).cache()
+    clean = audit_tree.segment_report(sealed, audit_tree.leaves(log, "event_id"))
+    assert clean.where("NOT intact OR total <> verified").count() == 0 and clean.agg(F.sum("total")).first()[0] == log.count()
+    inside = log.withColumn("hour", F.date_trunc("hour", "ts")).groupBy("hour").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b")).where("b > a").first()
+    cases = {
+        "changed": sealed.withColumn("leaf", F.when(F.col("id") == inside["a"], F.sha2("leaf", 256)).otherwise(F.col("leaf"))),
+        "removed": sealed.where(F.col("id") != inside["a"]),
+        "added": sealed.unionByName(sealed.where(F.col("id") == inside["b"]).selectExpr("-1L AS id", "segment", "place + 1 AS place", "leaf")),
+        "moved": audit_tree.swapped_pairs(sealed, F.col("id") == inside["a"]),
+    }
+    for status, current in cases.items():
+        bad = audit_tree.segment_report(sealed, current).where("NOT intact").collect()
+        assert len(bad) == 1 and bad[0][status] in (1, 2) and bad[0]["segment"] == inside["hour"].replace(tzinfo=None)
+
+
+def test_audit_tree_of_several_levels_and_its_proofs(spark):
+    ids = spark.range(70_000).select(F.col("id").alias("event_id"), F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id div 40)").alias("ts"))
+    placed = audit_tree.leaves(ids, "event_id", unit="day", parts=5).cache()
+    nodes = audit_tree.tree(placed)
+    assert nodes.agg(F.max("level")).first()[0] == 3
+    chain = audit_tree.chained(audit_tree.roots(nodes))
+    assert chain.count() == 1 and chain.first()["link"] == hashlib.sha256(chain.first()["root"].encode()).hexdigest()
+    wanted = spark.createDataFrame([(0,), (255,), (256,), (65_535,), (65_536,), (69_999,)], "id long")
+    proofs = audit_tree.inclusion_proofs(placed, nodes, wanted)
+    folded = proofs.select(audit_tree.folded_root(F.col("leaf"), F.col("steps")).alias("a"), audit_tree.folded_root(F.sha2("leaf", 256), F.col("steps")).alias("b")).collect()
+    root = chain.first()["root"]
+    assert len(folded) == 6 and all(r["a"] == root and r["b"] != root for r in folded)
+    rows = sorted((r["place"], r["leaf"]) for r in placed.collect())
+    level = [leaf for _, leaf in rows]
+    for _ in range(3):
+        level = [hashlib.sha256("".join(level[i : i + 256]).encode()).hexdigest() for i in range(0, len(level), 256)]
+    assert level == [root]
+    empty = audit_tree.leaves(ids.limit(0), "event_id")
+    assert audit_tree.tree(empty).count() == 0
