@@ -215,14 +215,7 @@ UNION ALL SELECT 'billing', 'c_custkey', 'data_type', 'cast_to_string', 'varchar
 UNION ALL SELECT 'crm', 'c_acctbal', 'data_type', 'cast_to_numeric', 'decimal', false, count(c_acctbal) FROM customer
 UNION ALL SELECT 'billing', 'c_acctbal', 'data_type', 'cast_to_numeric', 'decimal', false, count(c_acctbal) FROM customer""")
 def _(t):
-    tables, parts = customer_variants(t), []
-    for name, conflict in hz.conflicts(hz.fields_of(tables)).items():
-        strategy, target, loss = hz.resolution(conflict)
-        for resource, df in tables.items():
-            parts.append(df.agg(F.count(name).alias("values")).select(
-                F.lit(resource).alias("resource"), F.lit(name).alias("field"), F.lit(conflict[0]).alias("conflict"),
-                F.lit(strategy).alias("strategy"), F.lit(target).alias("target"), F.lit(loss).alias("precision_loss"), "values"))
-    return reduce(DataFrame.unionByName, parts)
+    return hz.conflict_report(customer_variants(t))
 
 
 @query("failed_casts", "H6", """
@@ -247,7 +240,7 @@ def _(t):
         F.struct(F.lit(c).alias("field"), F.lit(kind).alias("type"), F.col(c).alias("values")) for c, kind in schema.items()])
     return counted.select(F.explode(rows).alias("x")).select(
         "x.*", F.lit(round(hz.schema_similarity(fields), 6)).alias("similarity"),
-        F.lit(hz.synthesis_strategy(t.spark, fields)).alias("strategy"), F.lit(round(hz.synthesis_quality(fields), 6)).alias("quality"))
+        F.lit(hz.synthesis_strategy(t.spark, fields)).alias("strategy"), F.lit(round(hz.synthesis_quality(t.spark, fields), 6)).alias("quality"))
 
 
 @query("harmonised_union", "H6, H10, U2", """
