@@ -7,20 +7,18 @@ retried batch replaces itself; the newest row per key is read back.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tabularium.functions.time import epoch_seconds
 from tabularium.operators.activity import RATE_LIMITS
 from tabularium.operators.cleaning import TypePlan, normalize_names, strip_whitespace
 from tabularium.session import new_scratch
+from tabularium.streaming.stateful import LatestUpload, RequestLimiter, Sessions, with_rocks_db
 
-PROGRESS_KEEP_HOURS, SESSION_GAP_SECONDS = 24, 3600
+PROGRESS_KEEP_HOURS, SESSION_GAP_SECONDS, LATENESS_SECONDS = 24, 3600, 3600
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None, kind: str = "parquet") -> DataFrame:
@@ -72,37 +70,12 @@ def continuous_ingest(stream: DataFrame, types: TypePlan, tenant: Callable[[Data
     return tenant(types.apply(filled))
 
 
-def latest_progress(stream: DataFrame, key: str) -> DataFrame:
-    """Latest upload state per resource with percent done; finished uploads are forgotten after a day.
-
-    State is one row per resource and expires by event time.
-    """
-    columns = f"{key} {stream.schema[key].dataType.simpleString()}"
-    output = f"{columns}, event_id long, ts timestamp, status string, percent double, finished boolean"
-
-    def track(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best = state.get if state.exists else None
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                seen = (row.ts.to_pydatetime(), int(row.event_id), row.status, float(row.uploaded_bytes), float(row.total_bytes))
-                if best is None or seen[:2] > (best[0], best[1]):
-                    best = seen
-        state.update(best)
-        finished = best[2] in ("completed", "failed")
-        if finished:
-            watermark = state.getCurrentWatermarkMs()
-            state.setTimeoutTimestamp(max(int(best[0].timestamp() * 1000) + PROGRESS_KEEP_HOURS * 3_600_000, watermark + 1))
-        share = min(100.0, best[3] / best[4] * 100.0) if best[4] else 0.0
-        yield pd.DataFrame({key: [name[0]], "event_id": [best[1]], "ts": [best[0]], "status": [best[2]],
-                            "percent": [share], "finished": [finished]})
-
-    timed = zoned(stream).withWatermark("ts", "1 hour")
-    return timed.groupBy(key).applyInPandasWithState(
-        track, output, "ts timestamp, event_id long, status string, uploaded double, total double", "update",
-        GroupStateTimeout.EventTimeTimeout)
+def latest_progress(stream: DataFrame, key: str, lateness: str = "1 hour") -> DataFrame:
+    """Latest upload state per resource with percent done; finished uploads are forgotten after a day of event time."""
+    output = f"{key} {stream.schema[key].dataType.simpleString()}, event_id long, ts timestamp, status string, percent double, finished boolean"
+    timed = with_rocks_db(zoned(stream).withWatermark("ts", lateness))
+    return timed.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=LatestUpload(key, PROGRESS_KEEP_HOURS * 3_600_000), outputStructType=output, outputMode="Update", timeMode="EventTime")
 
 
 def daily_audit_counts(stream: DataFrame, dimensions: list[str], lateness: str = "2 days") -> DataFrame:
@@ -112,39 +85,32 @@ def daily_audit_counts(stream: DataFrame, dimensions: list[str], lateness: str =
     return counted.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), *dimensions, "events")
 
 
-def rate_limiter(stream: DataFrame, key: str, endpoint: str = "default") -> DataFrame:
-    """Allow or deny each request; state per key is at most ``limit`` times and expires when idle."""
+def rate_limiter(stream: DataFrame, key: str, endpoint: str = "default", lateness_seconds: int = LATENESS_SECONDS, expire: bool = False) -> DataFrame:
+    """``(key, event_id, allowed, late)``: a decision for every request, late ones included.
+
+    A request more than ``lateness_seconds`` older than the newest one of its key is denied; one that is less late is judged by the
+    requests allowed in the window before it. Requests without a time get no decision in a stream. ``expire`` forgets keys that
+    were idle for window and lateness; such a stream needs a processing-time trigger, as it always has another batch to run.
+    """
     limit, window = RATE_LIMITS.get(endpoint, RATE_LIMITS["default"])
-    output = f"{key} {stream.schema[key].dataType.simpleString()}, event_id long, allowed boolean"
-
-    def decide(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        allowed = []
-        for now in rows["at"]:
-            recent = [t for t in recent if now - t < window]
-            allowed.append(len(recent) < limit)
-            if allowed[-1]:
-                recent.append(now)
-        state.update((recent,))
-        watermark = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(int(rows["at"].iloc[-1] * 1000) + window * 1000, watermark + 1))
-        yield pd.DataFrame({key: name[0], "event_id": rows["event_id"], "allowed": allowed})
-
-    timed = zoned(stream.withColumn("at", epoch_seconds("ts").cast("double"))).withWatermark("ts", "0 seconds")
-    return timed.groupBy(key).applyInPandasWithState(
-        decide, output, "recent array<double>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def idle_sessions(stream: DataFrame, key: str, gap: str = f"{SESSION_GAP_SECONDS} seconds", lateness: str = "1 hour") -> DataFrame:
-    """Sessions per key, closed after ``gap`` without activity."""
-    timed = zoned(stream).withWatermark("ts", lateness)
-    grouped = timed.groupBy(key, F.session_window("ts", gap)).agg(
-        F.count(F.lit(1)).alias("events"), F.max("ts").alias("session_end"))
-    return grouped.select(key, F.col("session_window.start").alias("session_start"), "session_end", "events")
+    output = f"{key} {stream.schema[key].dataType.simpleString()}, event_id long, allowed boolean, late boolean"
+    timed = with_rocks_db(stream.select(key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).where("at IS NOT NULL"))
+    idle = (window + lateness_seconds) * 1000 if expire else None
+    limiter = RequestLimiter(key, limit, window * 1_000_000, lateness_seconds * 1_000_000, idle)
+    return timed.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=limiter, outputStructType=output, outputMode="Append", timeMode="ProcessingTime" if expire else "None")
+
+
+def idle_sessions(stream: DataFrame, key: str, gap_seconds: int = SESSION_GAP_SECONDS, lateness: str = "1 hour") -> DataFrame:
+    """``(key, session_start, session_end, events, open)`` as updates: a session is reported as it grows and when it closes.
+
+    It closes when the watermark, ``lateness`` behind the newest row, is a gap past its last row. A row with no events says
+    that the session of that start has become part of an earlier one.
+    """
+    output = f"{key} {stream.schema[key].dataType.simpleString()}, session_start timestamp, session_end timestamp, events long, open boolean"
+    timed = with_rocks_db(zoned(stream).withWatermark("ts", lateness).withColumn("at", F.unix_micros("ts")).select(key, "ts", "at"))
+    return timed.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=Sessions(key, gap_seconds * 1_000_000), outputStructType=output, outputMode="Update", timeMode="EventTime")
 
 
 def sliding_activity(stream: DataFrame, keys: list[str], lateness: str = "1 hour") -> DataFrame:

@@ -12,6 +12,8 @@ from tests.oracle import compare, connect
 
 def test_rate_limiter_equals_batch(spark, tables):
     streamed = REGISTRY["stream_rate_limit"].run(spark, FOLDER)
+    assert streamed.where("late").count() == 0
+    streamed = streamed.drop("late")
     batch = activity.rate_limit(tables.events.select("event_type", "ts", "event_id"), ["event_type"], "streaming")
     assert streamed.count() == tables.events.count()
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
@@ -28,7 +30,34 @@ def test_streamed_sessions_are_batch_sessions(spark, tables):
     batch = activity.sessions(tables.events.select("user_id", "ts", "event_id"), "user_id", 3600, 86_400)
     batch = batch.select("user_id", F.col("session_start").cast("string"), F.col("session_end").cast("string"), "events")
     streamed = REGISTRY["stream_sessions"].run(spark, FOLDER).select("user_id", "session_start", "session_end", "events")
-    assert streamed.exceptAll(batch).count() == 0
+    assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
+
+
+def arriving(spark, label, batches):
+    """A stream of one file for each list of (key, seconds, id)."""
+    path, schema = new_scratch(spark, label), "k string, ts timestamp_ntz, event_id long"
+    for rows in batches:
+        made = spark.createDataFrame(rows, "k string, s long, event_id long")
+        made.select("k", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "event_id").coalesce(1).write.mode("append").parquet(path)
+    return streams.file_stream(spark, path, spark.read.schema(schema).parquet(path).schema, files_per_batch=1)
+
+
+def test_late_requests_get_a_decision(spark):
+    batches = [[("a", 1000 + i, i) for i in range(7)] + [("b", 5000, 20)], [("a", 1500, 30), ("a", 1003, 31), ("b", 4990, 21)], [("b", 1300, 22), ("b", 5001, 23), ("a", 990, 32)]]
+    got = streams.run_append(streams.rate_limiter(arriving(spark, "late", batches), "k", "streaming"), "late-out")
+    rows = {r["event_id"]: (r["allowed"], r["late"]) for r in got.collect()}
+    assert len(rows) == 14 and [rows[i] for i in range(7)] == [(True, False)] * 5 + [(False, False)] * 2
+    assert rows[30] == (True, False) and rows[31] == (True, True)  # four allowed ones in the window before 1003
+    assert rows[32] == (True, True) and rows[21] == (True, True) and rows[23] == (True, False)
+    assert rows[22] == (False, True)  # more than an hour behind the newest
+
+
+def test_sessions_merge_and_stay_open(spark):
+    batches = [[("a", 10_000, 1), ("a", 18_000, 2), ("b", 10_000, 3)], [("a", 14_000, 4), ("b", 17_000, 6), ("a", 15_000, 7)], [("c", 40_000, 8), ("b", 39_000, 9)]]
+    updates = streams.run_updates(streams.idle_sessions(arriving(spark, "gaps", batches), "k", gap_seconds=4500), "gaps-out", ["k", "session_start"])
+    got = sorted((r["k"], r["session_start"].timestamp(), r["session_end"].timestamp(), r["events"], r["open"]) for r in updates.where("events > 0").collect())
+    utc = [(k, a, b, n, o) for k, a, b, n, o in got]
+    assert utc == [("a", 10_000, 18_000, 4, False), ("b", 10_000, 10_000, 1, False), ("b", 17_000, 17_000, 1, False), ("b", 39_000, 39_000, 1, True), ("c", 40_000, 40_000, 1, True)]
 
 
 def test_copies_far_apart_are_dropped(spark):
