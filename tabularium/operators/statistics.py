@@ -282,13 +282,16 @@ def grow_forest(sample: np.ndarray, trees: int, size: int, seed: int) -> tuple[n
 def isolation_outliers(df: DataFrame, key: str, value: str) -> DataFrame:
     """The tenth of all values that an isolation forest separates fastest.
 
-    The forest is grown from a bounded seeded sample (that is its definition); every row is scored.
+    The forest is grown from a bounded seeded sample (that is its definition); every row is scored. Too few values give
+    one row with the status ``too_few_rows`` and nulls.
     """
     known = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("value"))
     drawn = known.orderBy(F.xxhash64(F.col(key), F.lit(FOREST_SEED)), key).limit(FOREST_TREES * FOREST_SAMPLE)
     sample = np.array([r["value"] for r in drawn.select("value").collect()])
     if len(sample) <= FOREST_MIN_ROWS:
-        return known.limit(0).select(key, "value", F.lit(0.0).alias("score"), F.lit(0.0).alias("confidence"))
+        nothing = [F.lit(None).cast(known.schema[c].dataType).alias(c) for c in (key, "value")]
+        empty = [F.lit(None).cast("double").alias(c) for c in ("score", "confidence")]
+        return df.sparkSession.range(1).select(*nothing, *empty, F.lit(TOO_FEW).alias("status"))
     size = min(FOREST_SAMPLE, len(sample))
     edges, depth = grow_forest(sample, FOREST_TREES, size, FOREST_SEED)
     scores = 2.0 ** (-depth / _average_depth(size))
@@ -301,7 +304,7 @@ def isolation_outliers(df: DataFrame, key: str, value: str) -> DataFrame:
     cut = scored.agg(F.percentile_approx("score", 1 - CONTAMINATION, 10_000)).scalar()
     # Scores are steps, so the rows on the cut value itself belong to the larger group and stay out.
     flagged = scored.withColumn("__cut", cut).where(F.col("score") > F.col("__cut"))
-    return flagged.select(key, "value", "score", F.least(F.col("score") - F.col("__cut"), F.lit(1.0)).alias("confidence"))
+    return flagged.select(key, "value", "score", F.least(F.col("score") - F.col("__cut"), F.lit(1.0)).alias("confidence"), F.lit("ok").alias("status"))
 
 
 def linear_forecast(df: DataFrame, keys: Sequence[str], ts: str, value: str, horizon: int) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -99,8 +100,24 @@ def integrity_check(manifest: DataFrame, data: DataFrame, key: str, text: str) -
     return joined.select(key, status.alias("status"))
 
 
-def field_lineage(mappings: DataFrame, catalog: DataFrame) -> DataFrame:
-    """mappings(unified_field, resource_id, source_field) -> lineage rows ``unified <- file.field``."""
+def field_lineage(mappings: DataFrame, catalog: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """mappings(unified_field, resource_id, source_field) -> lineage rows ``unified <- file.field`` with what the source holds.
+
+    ``known`` counts the rows that have a value and ``distinct_values`` the values. A table is unpivoted once and its values
+    are counted map-side, so a value of any share of the rows is one row a task.
+    """
+    wanted = {(r["resource_id"], r["source_field"]) for r in mappings.select("resource_id", "source_field").collect()}
+    parts = []
+    for resource, df in tables.items():
+        mine = [c for c in df.columns if (resource, c) in wanted]
+        if mine:
+            cells = F.array(*[F.struct(F.lit(c).alias("source_field"), F.col(f"`{c}`").cast("string").alias("value")) for c in mine])
+            values = df.select(F.explode(cells).alias("c")).select("c.*").groupBy("source_field", "value").agg(F.count(F.lit(1)).alias("n"))
+            held = values.groupBy("source_field").agg(F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("known"), F.count("value").alias("distinct_values"))
+            parts.append(held.withColumn("resource_id", F.lit(resource)))
     named = mappings.join(catalog.select("resource_id", "original_filename"), "resource_id", "left")
     origin = F.concat_ws(".", F.coalesce("original_filename", "resource_id"), "source_field")
-    return named.select("unified_field", origin.alias("origin"))
+    if not parts:
+        return named.select("unified_field", origin.alias("origin"), F.lit(0).cast("long").alias("known"), F.lit(0).cast("long").alias("distinct_values"))
+    counted = named.join(reduce(DataFrame.unionByName, parts), ["resource_id", "source_field"], "left")
+    return counted.select("unified_field", origin.alias("origin"), "known", "distinct_values")

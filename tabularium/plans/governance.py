@@ -476,15 +476,18 @@ def _(t):
     return checked.select("id", (audit_tree.folded_root(F.col("leaf"), F.col("steps")) == F.col("root")).alias("included"), F.col("segment").cast("string").alias("segment"))
 
 
-@query("field_lineage", "V11", """
-SELECT 'custkey' AS unified_field, 'customer.parquet.c_custkey' AS origin UNION ALL SELECT 'custkey', 'orders.parquet.o_custkey'
-UNION ALL SELECT 'nationkey', 'customer.parquet.c_nationkey' UNION ALL SELECT 'nationkey', 'supplier.parquet.s_nationkey'
-UNION ALL SELECT 'name', 'customer.parquet.c_name' UNION ALL SELECT 'name', 'supplier.parquet.s_name'
-UNION ALL SELECT 'acctbal', 'customer.parquet.c_acctbal' UNION ALL SELECT 'acctbal', 'supplier.parquet.s_acctbal'""")
+LINEAGE_TABLES = {"customer": "c_", "orders": "o_", "supplier": "s_"}
+SHARED_FIELDS = {"custkey": ["customer", "orders"], "nationkey": ["customer", "supplier"], "name": ["customer", "supplier"], "acctbal": ["customer", "supplier"]}
+
+
+@query("field_lineage", "V11", " UNION ALL ".join(
+    f"SELECT '{field}' AS unified_field, '{table}.parquet.{LINEAGE_TABLES[table]}{field}' AS origin, count({LINEAGE_TABLES[table]}{field}) AS known, "
+    f"count(DISTINCT {LINEAGE_TABLES[table]}{field}) AS distinct_values FROM {table}" for field, tables in SHARED_FIELDS.items() for table in tables))
 def _(t):
-    tables = {"customer": t.customer, "orders": t.orders, "supplier": t.supplier}
+    tables = {name: getattr(t, name) for name in LINEAGE_TABLES}
     rows = [(f.name.split("_", 1)[1], name, f.name, type_name(f.dataType)) for name, df in tables.items() for f in df.schema.fields]
     fields = t.spark.createDataFrame(rows, "unified_field string, resource_id string, source_field string, type string")
     files = t.spark.createDataFrame([(n, f"{n}.parquet") for n in tables], "resource_id string, original_filename string")
     shared = fields.groupBy("unified_field").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("unified_field")
-    return versions.field_lineage(rel.keep_matching(fields.alias("f"), shared.alias("s"), "f.unified_field = s.unified_field"), files)
+    mapped = rel.keep_matching(fields.alias("f"), shared.alias("s"), "f.unified_field = s.unified_field")
+    return versions.field_lineage(mapped, files, tables)

@@ -21,9 +21,10 @@ def _(t):
 
 
 @query("derived_field", "P2", """
-SELECT * EXCLUDE (l_shipdate), l_extendedprice * (1 - l_discount) AS net_price FROM lineitem""")
+SELECT * REPLACE (l_shipdate::VARCHAR AS l_shipdate), l_extendedprice * (1 - l_discount) AS net_price FROM lineitem""")
 def _(t):
-    return rel.derive_field(t.lineitem.drop("l_shipdate"), "net_price", "l_extendedprice * (1 - l_discount)")
+    derived = rel.derive_field(t.lineitem, "net_price", "l_extendedprice * (1 - l_discount)")
+    return derived.withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
 
 
 TENANT_ORDERS = """(SELECT *, 'client-' || o_orderstatus AS client_id, 'user-' || (o_custkey // 100) AS user_id,
@@ -55,9 +56,9 @@ def _(t):
 
 
 @query("drop_system_columns", "P9", """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""")
+SELECT * REPLACE (o_orderdate::VARCHAR AS o_orderdate) FROM orders""")
 def _(t):
-    return access.drop_system_columns(tenant_orders(t)).drop("o_orderdate")
+    return access.drop_system_columns(tenant_orders(t)).withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
 @query("access_levels", "P4", f"""
@@ -133,10 +134,10 @@ def _(t):
 
 
 @query("recent_rows", "P8", """
-SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders
+SELECT * REPLACE (o_orderdate::VARCHAR AS o_orderdate) FROM orders
 WHERE o_orderdate >= TIMESTAMP '1998-01-01' ORDER BY o_orderkey LIMIT 100""")
 def _(t):
-    return templates.recent_rows(t.orders, "1998-01-01").drop("o_orderdate", "o_orderstatus")
+    return templates.recent_rows(t.orders, "1998-01-01").withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
 @query("sample_query_predicates", "P13", """

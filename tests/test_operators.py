@@ -221,7 +221,9 @@ def test_isolation_flags_extremes(spark):
     rng = np.random.default_rng(2)
     rows = [(i, float(v)) for i, v in enumerate(rng.normal(size=2000))] + [(5000, 40.0), (5001, -35.0)]
     found = statistics.isolation_outliers(spark.createDataFrame(rows, "id long, v double"), "id", "v").collect()
-    assert {5000, 5001} <= {r["id"] for r in found} and len(found) <= 0.11 * len(rows)
+    assert {5000, 5001} <= {r["id"] for r in found} and len(found) <= 0.11 * len(rows) and {r["status"] for r in found} == {"ok"}
+    few = statistics.isolation_outliers(spark.createDataFrame(rows[:50], "id long, v double"), "id", "v").collect()
+    assert [tuple(r) for r in few] == [(None, None, None, None, statistics.TOO_FEW)]
 
 
 # ---- json ----
