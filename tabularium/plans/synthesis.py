@@ -62,6 +62,14 @@ def _(t):
     return hz.synthesize_join(_tables(t, ("customer", "orders")), ["c_name", "o_orderkey", "o_totalprice"])
 
 
+@query("discovered_join_chain", "J8, H10", """
+SELECT n_name, c_name, o_orderkey, l_linenumber, l_quantity FROM nation JOIN customer ON n_nationkey = c_nationkey
+JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey""")
+def _(t):
+    tables = _tables(t, ("lineitem", "nation", "customer", "orders"))
+    return hz.synthesize_join(tables, ["n_name", "c_name", "o_orderkey", "l_linenumber", "l_quantity"])
+
+
 @query("join_candidates_measured", "J8", """
 SELECT 'c_custkey' AS left_field, 'o_custkey' AS right_field, 0.8::DOUBLE AS score,
   (SELECT count(*) FROM customer JOIN orders ON c_custkey = o_custkey) AS joined_rows""")

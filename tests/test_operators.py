@@ -338,6 +338,22 @@ def test_short_series_have_a_status(spark):
     assert {r["k"]: len(r["left_out"]) for r in st.short_series(df, ["k"], "v").collect()} == {"long": 1, "short": 4}
 
 
+def test_resources_are_joined_along_their_keys(spark):
+    from tabularium.operators import harmonise as hz
+
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = {
+        "visits": make([(1, 10, "v1"), (2, 20, "v2"), (3, 30, "v3")], "visit_id long, shop_id long, note string"),
+        "towns": make([(7, "north"), (8, "south")], "town_id long, label string"),
+        "shops": make([(10, 7), (20, 8)], "shop_id long, town_id long"),
+    }
+    steps = hz.join_tree(spark, hz.fields_of(tables))
+    assert {r for r, _ in steps} == set(tables) and steps[0][1] == [] and all(key for _, key in steps[1:])
+    assert sorted(tuple(r) for r in hz.synthesize_join(tables, ["note", "label"]).collect()) == [("v1", "north"), ("v2", "south")]
+    with pytest.raises(ValueError, match="apart"):
+        hz.synthesize_join(tables | {"apart": make([("x",)], "remark string")}, ["note"])
+
+
 def test_composite_join_keys_stay_whole(spark):
     from tabularium.operators import harmonise as hz
 
