@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -158,86 +156,156 @@ def document_shape(df: DataFrame, key: str, text: str, max_depth: int | None = N
 
 
 def field_type_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Total, numeric and list fields per document, and the number of nested objects; null for what is no JSON object."""
-    @F.pandas_udf("struct<total:long, numeric:long, lists:long, objects:long>")
-    def count(column: pd.Series) -> pd.DataFrame:
-        def one(t):
-            try:
-                document = json.loads(t)
-            except (TypeError, ValueError):
-                document = None
-            return count_fields(document) if isinstance(document, dict) else (None,) * 4
-
-        return pd.DataFrame([one(t) for t in column], columns=["total", "numeric", "lists", "objects"], dtype="Int64")
-
-    return df.select(key, count(text).alias("c")).select(key, "c.*")
-
-
-def count_fields(document: dict) -> tuple[int, int, int, int]:
-    """(keys, numeric values, lists, nested objects) over all nested objects; lists are not entered."""
-    total = numeric = lists = objects = 0
-    open_objects = [document]
-    while open_objects:
-        current = open_objects.pop()
-        total += len(current)
-        for value in current.values():
-            numeric += isinstance(value, (int, float))
-            lists += isinstance(value, list)
-            if isinstance(value, dict):
-                objects += 1
-                open_objects.append(value)
-    return total, numeric, lists, objects
+    """Total, numeric and list fields per document over all nested objects, and the number of nested objects.
+
+    Lists are not entered; booleans count as numbers. Null for what is no JSON object, or names a field twice in one
+    object. The text is reduced to its name colons, brackets and one letter per number; the stretches between list
+    brackets are then counted where no list is open.
+    """
+    bare = F.regexp_replace(F.col(text), rf"(?s){_STRING}(?:\s*+(:))?", "$1")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"(?:null|[\s,}])++", ""), r"true|false|[-0-9][0-9eE+.-]*+", "n")
+
+    def step(a: Column, part: Column) -> Column:
+        first = F.substring(part, 1, 1)
+        opened = a["open"] + F.when(first == "[", 1).when(first == "]", -1).otherwise(0)
+        count = lambda sign: F.when(opened == 0, F.length(part) - F.length(F.replace(part, F.lit(sign), F.lit("")))).otherwise(0)
+        return F.struct(
+            opened.alias("open"), (a["total"] + count(":")).alias("total"), (a["numeric"] + count("n")).alias("numeric"),
+            (a["lists"] + F.when((first == "[") & (a["open"] == 0), 1).otherwise(0)).alias("lists"),
+            (a["objects"] + count("{")).alias("objects"))
+
+    none = F.struct(*[F.lit(n).alias(name) for name, n in (("open", 0), ("total", 0), ("numeric", 0), ("lists", 0), ("objects", -1))])
+    is_object = F.col(text).rlike(r"^\s*+\{") & F.try_parse_json(text).isNotNull()
+    counted = df.select(key, F.when(_is_one_value(F.col(text)) & is_object, F.aggregate(F.split(bare, r"(?=[\[\]])"), none, step)).alias("c"))
+    return counted.select(key, *[F.col(f"c.{n}").cast("long").alias(n) for n in ("total", "numeric", "lists", "objects")])
 
 
 # ---- cleaning ----------------------------------------------------------------------------------
 
-def without_empty(value):
-    """The document without null, {} and [] members; emptiness is tested before descending."""
-    if isinstance(value, dict):
-        return {k: without_empty(v) for k, v in value.items() if v is not None and v != {} and v != []}
-    if isinstance(value, list):
-        return [without_empty(v) for v in value if v is not None and v != {} and v != []]
-    return value
-
-
-def with_snake_keys(value):
-    if isinstance(value, dict):
-        return {snake_case(k): with_snake_keys(v) for k, v in value.items()}
-    return [with_snake_keys(v) for v in value] if isinstance(value, list) else value
-
-
-def flat(document: dict, max_depth: int = FLATTEN_DEPTH, prefix: str = "", depth: int = 0) -> dict:
-    """Nested objects joined by ``_`` down to ``max_depth`` levels; lists and deeper objects stay values."""
-    result = {}
-    for name, value in document.items():
-        path = f"{prefix}_{name}" if prefix else name
-        if isinstance(value, dict) and depth + 1 < max_depth:
-            result.update(flat(value, max_depth, path, depth + 1))
-        elif isinstance(value, dict):
-            result.update({f"{path}_{k}": v for k, v in value.items()})
-        else:
-            result[path] = value
-    return result
-
-
-def clean_json(text: Column | str, remove_empty: bool = True, snake_keys: bool = True, flatten: bool = False) -> Column:
-    """Cleaned JSON text; a text that does not parse becomes null."""
-    @F.pandas_udf("string")
-    def clean(column: pd.Series) -> pd.Series:
-        def one(t):
-            try:
-                value = json.loads(t)
-            except (TypeError, ValueError):
-                return None
-            value = without_empty(value) if remove_empty else value
-            value = with_snake_keys(value) if snake_keys else value
-            if flatten:
-                value = [flat(v) for v in value if isinstance(v, dict)] if isinstance(value, list) else flat(value)
-            return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
-
-        return column.map(one)
-
-    return clean(text)
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_SNAKE = r'"[a-z0-9]++(?:_[a-z0-9]++)*+":'
+_EMPTY = rf"(?:{_STRING}:)?(?:null|\{{\}}|\[\])"  # of a compact text: a member or an element
+_MARK = "\x01"  # no JSON text holds it
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _is_one_value(text: Column) -> Column:
+    """Whether a text is one JSON value with nothing behind it."""
+    return F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+
+
+def _without_empties(compact: Column) -> Column:
+    """A compact text without the members and elements that are null, {} or [], each with one of the commas next to it."""
+    before_end, elsewhere = rf"(?:,{_EMPTY})++(?=[\]}}])", rf"(?<=[\[{{,]){_EMPTY}(?:,|(?=[\]}}]))"
+    return F.regexp_replace(compact, rf"(?s){before_end}|{elsewhere}|({_STRING}:?)", "$1")
+
+
+def _with_snake_names(compact: Column) -> Column:
+    """A compact text with names in snake_case, escapes in names decoded first. Only names that differ are cut out."""
+    marked = F.regexp_replace(compact, rf"(?s)((?:[^\"]++|{_SNAKE}|{_STRING}(?!:))*+)({_STRING}:|\z)", f"$1{_MARK}$2")
+
+    def renamed(part: Column) -> Column:
+        name = F.regexp_extract(part, rf"(?s)^{_STRING}", 0)
+        plain = F.when(F.contains(name, F.lit("\\")), F.get_json_object(F.concat(F.lit('{"k":'), name, F.lit("}")), "$.k")).otherwise(name)
+        words = F.btrim(F.regexp_replace(F.lower(plain), r"[^\p{L}\p{N}]+", "_"), F.lit("_"))
+        return F.concat(F.lit('"'), words, F.lit('"'), F.substring(part, F.length(name) + 1, F.length(part)))
+
+    parts = F.split(marked, _MARK)
+    return F.array_join(F.transform(parts, lambda p, i: F.when((i > 0) & (p != ""), renamed(p)).otherwise(p)), "")
+
+
+def _printed(tokens: Column) -> Column:
+    """Tokens without commas as JSON text with the commas they need."""
+    def with_comma(x: Column, i: Column) -> Column:
+        before = F.get(tokens, i - 1)
+        starts = F.endswith(before, F.lit(":")) | before.isin("{", "[")
+        return F.when((i > 0) & ~x.isin("}", "]") & ~starts, F.concat(F.lit(","), x)).otherwise(x)
+
+    return F.array_join(F.transform(tokens, with_comma), "")
+
+
+def _last_members(tokens: Column) -> Column:
+    """The tokens without members whose name comes again later in the same object."""
+    def step(a: Column, x: Column) -> Column:
+        depth = F.size(a["open"])
+        opened = F.when(x == "{", F.array_append(a["open"], a["at"])).when(x == "}", F.slice(a["open"], 1, depth - 1))
+        named = F.struct(F.get(a["open"], depth - 1).alias("object"), a["at"].alias("at"), x.alias("name"))
+        return F.struct(
+            (a["at"] + 1).alias("at"), opened.otherwise(a["open"]).alias("open"),
+            F.when(F.endswith(x, F.lit(":")), F.array_append(a["names"], named)).otherwise(a["names"]).alias("names"))
+
+    none = F.struct(
+        F.lit(0).alias("at"), F.array().cast("array<int>").alias("open"),
+        F.array().cast("array<struct<object:int,at:int,name:string>>").alias("names"))
+
+    def without(names: Column) -> Column:
+        again = lambda m: F.exists(names, lambda o: (o["object"] == m["object"]) & (o["name"] == m["name"]) & (o["at"] > m["at"]))
+        ranges = F.filter(  # a repeated member ends where the next member of its object begins
+            F.transform(names, lambda m, i: F.struct(m["at"].alias("a"), F.get(names, i + 1)["at"].alias("b"), again(m).alias("again"))),
+            lambda r: r["again"])
+        return _bound(ranges, lambda rs: F.filter(tokens, lambda x, i: ~F.exists(rs, lambda r: (r["a"] <= i) & (i < r["b"]))))
+
+    return _bound(F.array_sort(F.aggregate(tokens, none, step)["names"]), without)
+
+
+def _flat(value: Column, max_depth: int) -> Column:
+    """A JSON object (a variant) with nested objects joined by ``_`` down to ``max_depth`` levels, as text; lists and
+    deeper objects stay values. Members come in the order of their names; of repeated names the last stays."""
+    def members(v: Column) -> Column:
+        return F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+
+    def inner(e: Column, prefix: Column) -> Column:
+        named = F.transform(members(e["value"]), lambda c: F.struct(F.concat(prefix, c["key"]).alias("key"), c["value"].alias("value")))
+        return F.coalesce(named, F.array(e))
+
+    found = members(value)
+    for _ in range(max_depth - 1):  # a field without a name adds none
+        found = F.flatten(F.transform(found, lambda e: inner(e, F.when(e["key"] == "", "").otherwise(F.concat(e["key"], F.lit("_"))))))
+    found = F.flatten(F.transform(found, lambda e: inner(e, F.concat(e["key"], F.lit("_")))))
+
+    def printed(entries: Column) -> Column:
+        distinct = F.size(F.array_distinct(F.transform(entries, lambda e: e["key"]))) == F.size(entries)
+        last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"]))
+        return F.to_json(F.map_from_entries(F.when(distinct, entries).otherwise(last)))
+
+    return _bound(found, printed)
+
+
+def clean_json(
+    text: Column | str, remove_empty: bool = True, snake_keys: bool = True, flatten: bool = False, max_depth: int = FLATTEN_DEPTH
+) -> Column:
+    """Cleaned JSON text; a text that does not parse becomes null.
+
+    ``remove_empty`` leaves out members and list elements that are null, {} or [] as written (a container that becomes
+    empty stays), ``snake_keys`` renames every field. Numbers and strings stay as written; of fields of one object
+    whose names are equal the last one stays. ``flatten`` joins nested objects by ``_``, at the root or in each object
+    of a list at the root (other elements are left out, a scalar document is null). All of it is one projection of
+    passes over the text that step over strings, without Python and without a shuffle.
+    """
+    column = F.col(text) if isinstance(text, str) else text
+    compact = F.regexp_replace(column, rf"(?s)({_STRING})|\s++", "$1")
+    compact = _without_empties(compact) if remove_empty else compact
+    compact = _with_snake_names(compact) if snake_keys else compact
+
+    def checked(t: Column) -> Column:
+        tokens = F.regexp_extract_all(t, F.lit(rf"(?s){_STRING}:|{_STRING}|[\[\]{{}}]|[^\[\]{{}},\":]++"), F.lit(0))
+        last = _bound(_bound(tokens, _last_members), _printed)
+        return F.when(F.try_parse_json(t).isNotNull(), t).otherwise(_bound(last, lambda x: F.when(F.try_parse_json(x).isNotNull(), x)))
+
+    cleaned = F.when(_is_one_value(column), _bound(compact, checked))
+    if not flatten:
+        return cleaned
+
+    def flattened(v: Column) -> Column:
+        objects = F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.try_variant_get(x, "$", "map<string,variant>").isNotNull())
+        listed = F.concat(F.lit("["), F.array_join(F.transform(objects, lambda x: _flat(x, max_depth)), ","), F.lit("]"))
+        return F.coalesce(_flat(v, max_depth), listed)
+
+    return _bound(F.try_parse_json(cleaned), flattened)
 
 
 # ---- typed documents ---------------------------------------------------------------------------

@@ -11,6 +11,8 @@ from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
 from tabularium.functions import ranges
+from tabularium.functions.names import snake_case
+from tabularium.functions.names import snake_case
 from tabularium.operators import (
     access, activity, audit_tree, chunking, cleaning, json_docs, limiter, relational, search, statistics,
     templates, text_cleaning, versions,
@@ -99,7 +101,7 @@ def python_chunks(text, size, overlap, min_chars):
     return found or ([text.strip()] if text.strip() else [])
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(hs.lists(hs.text(alphabet="ab é\n\t.", max_size=400), min_size=1, max_size=8), hs.integers(2, 12), hs.integers(0, 5))
 def test_word_chunks_equal_the_loop(spark, texts, size, overlap):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
@@ -231,13 +233,72 @@ def test_isolation_flags_extremes(spark):
 DOC = {"User Name": "A", "empty": {}, "none": None, "list": [], "In Ner": {"deep": None, "x": [{"a b": 1}, None, {}], "L3": {"L4": {"v": 2}}}}
 
 
+def without_empty(value):
+    if isinstance(value, dict):
+        return {k: without_empty(v) for k, v in value.items() if v is not None and v != {} and v != []}
+    if isinstance(value, list):
+        return [without_empty(v) for v in value if v is not None and v != {} and v != []]
+    return value
+
+
+def with_snake_keys(value):
+    if isinstance(value, dict):
+        return {snake_case(k): with_snake_keys(v) for k, v in value.items()}
+    return [with_snake_keys(v) for v in value] if isinstance(value, list) else value
+
+
+def paths(value, depth=3):
+    """(names, value) of the members of a document, nested objects entered ``depth`` times."""
+    for name, inner in value.items():
+        if isinstance(inner, dict) and depth:
+            yield from (((name, *p), v) for p, v in paths(inner, depth - 1))
+        else:
+            yield (name,), inner
+
+
+def joined(value):
+    return {"_".join(p): v for p, v in paths(value)}
+
+
 def test_json_cleaning(spark):
     df = spark.createDataFrame([(json.dumps(DOC),), ("not json",)], "j string")
     got = [r["c"] for r in df.select(json_docs.clean_json("j").alias("c")).collect()]
     assert json.loads(got[0]) == {"user_name": "A", "in_ner": {"x": [{"a_b": 1}], "l3": {"l4": {"v": 2}}}} and got[1] is None
-    nested = {"user": {"personal": {"name": "x", "age": 3}, "contact": {"email": "e"}}, "settings": {"theme": "d"}}
-    assert json_docs.flat(nested) == {
-        "user_personal_name": "x", "user_personal_age": 3, "user_contact_email": "e", "settings_theme": "d"}
+    nested = {"user": {"personal": {"name": "x", "age": 3}, "contact": {"email": "e"}}, "settings": {"theme": "d"}, "a": {"b": {"c": {"d": {"e": 1}}}}}
+    df = spark.createDataFrame([(json.dumps(nested),), (json.dumps([nested["user"], 3]),), ("7",)], "j string")
+    got = [r["c"] for r in df.select(json_docs.clean_json("j", flatten=True).alias("c")).collect()]
+    assert json.loads(got[0]) == {
+        "user_personal_name": "x", "user_personal_age": 3, "user_contact_email": "e", "settings_theme": "d", "a_b_c_d": {"e": 1}}
+    assert json.loads(got[1]) == [{"personal_name": "x", "personal_age": 3, "contact_email": "e"}] and got[2] is None
+
+
+def test_json_cleaning_of_what_is_no_json_and_of_long_documents(spark):
+    bad = ['{"a":1} x', '{"a":1,,}', "{'a':1}", '{"a" 1}', "", "nul", '{"a":nullable}', "[1 2]", '{"a":1', None]
+    rows = spark.createDataFrame([(b,) for b in bad], "j string").select(json_docs.clean_json("j").alias("c")).collect()
+    assert [r["c"] for r in rows] == [None] * len(bad)
+    long = {"A": ['\\"' * 200_000, *range(50_000), None], "B c": {str(i): i for i in range(2_000)}}
+    got = spark.createDataFrame([(json.dumps(long, indent=2),)], "j string").select(json_docs.clean_json("j").alias("c")).first()["c"]
+    assert json.loads(got) == with_snake_keys(without_empty(long))
+
+
+NAMES = hs.sampled_from(["A b", "a_b", "x", "\u00dcn\u00ef", 'q"t', "back\\s", "k:1,{", "[z]", "none"])
+TEXTS = hs.sampled_from(["", "null", "a,null,b", '"k":null,', "{}", "[]", "x:", "tab\t", "\\", "line\nb", 'q"'])
+ANY_JSON = hs.recursive(
+    hs.none() | hs.booleans() | hs.integers(-9, 10**12) | hs.sampled_from([0.5, -1.25]) | TEXTS,
+    lambda inner: hs.dictionaries(NAMES, inner, max_size=4) | hs.lists(inner, max_size=4), max_leaves=25)
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(hs.lists(ANY_JSON, min_size=40, max_size=80), hs.sampled_from([None, 1]), hs.booleans())
+def test_json_cleaning_equals_recursion(spark, documents, indent, ascii_only):
+    df = spark.createDataFrame([(i, json.dumps(d, indent=indent, ensure_ascii=ascii_only)) for i, d in enumerate(documents)], "i int, j string")
+    clean = json_docs.clean_json
+    for r in df.select("i", clean("j").alias("a"), clean("j", True, False).alias("b"), clean("j", False).alias("c"), clean("j", flatten=True).alias("d")).collect():
+        d = documents[r["i"]]
+        assert [json.loads(r[c]) for c in "abc"] == [with_snake_keys(without_empty(d)), without_empty(d), with_snake_keys(d)]
+        whole = with_snake_keys(without_empty(d))
+        if isinstance(whole, dict) and len(joined(whole)) == sum(1 for _ in paths(whole)):
+            assert json.loads(r["d"]) == joined(whole)
 
 
 def python_leaves(value, path=""):
@@ -368,9 +429,14 @@ def test_composite_join_keys_stay_whole(spark):
 def test_field_type_counts_of_bad_documents(spark):
     from tabularium.operators import json_docs as jd
 
-    df = spark.createDataFrame([(1, '{"a": 1, "b": [1], "c": {"d": null}}'), (2, None), (3, "no json"), (4, "[1]")], "k int, j string")
+    rows = [
+        (1, '{"a": 1, "b": [1], "c": {"d": null}}'), (2, None), (3, "no json"), (4, "[1]"), (5, '{"a":1} x'), (6, "{}"),
+        (7, '{"a":[[1],{"b":2,"c":[{}]}],"d":true,"e":"7","f":{"g":{"h":-1.5,"i":[]}},"j":{}}'), (8, '{"a":1,"a":2}'),
+    ]
+    df = spark.createDataFrame(rows, "k int, j string")
     got = {r["k"]: (r["total"], r["numeric"], r["lists"], r["objects"]) for r in jd.field_type_counts(df, "k", "j").collect()}
-    assert got == {1: (4, 1, 1, 1), 2: (None,) * 4, 3: (None,) * 4, 4: (None,) * 4}
+    none = (None,) * 4
+    assert got == {1: (4, 1, 1, 1), 2: none, 3: none, 4: none, 5: none, 6: (0, 0, 0, 0), 7: (8, 2, 2, 3), 8: none}
 
 
 # ---- ranges, limiter, audit tree ----
