@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: One attribute and all of a tag's, as the markup standard cuts them: a quote counts only where a value begins.
+_ONE = r"[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+))?+"
+_ALL = rf"(?:[\s/]++|{_ONE})*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|math|iframe|object|title|select|canvas|audio|video)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*+>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(script|style|noscript|template|textarea|svg|math|iframe|object|title|select|canvas|audio|video)(?=[\s/>])" + _ALL + r">.*?(?:</\1\s*+>|\Z)"
+    r"|<(/?)([a-z][^\s/>]*+)(" + _ALL + r")>"
     r"|<[!?/][^>]*(?:>|\Z)"
-    r"|<[a-z][^<>]*\Z",
+    r"|<[a-z][^>]*\Z",
     re.IGNORECASE | re.DOTALL,
 )
 #: Fixed values of the markup language.
@@ -27,7 +30,7 @@ BLOCKS = set(
     "th thead tr ul".split()
 )
 #: Elements that are never part of a main text, and roles that say the same.
-OUTSIDE = set("head nav aside footer form button menu dialog label input fieldset".split())
+OUTSIDE = set("head nav aside footer button menu dialog input fieldset".split())
 ROLES = set("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 #: Whole class tokens of containers that are not main text: anywhere, and outside an article or main element.
 CONTAINERS = set("center details div dl ol section table ul".split())
@@ -35,6 +38,8 @@ _ANYWHERE = set(
     "ad ads advert advertisement advertising adverts ad-banner ad-container ad-slot sponsored promo comments comment-list comments-area "
     "comments-section disqus newsletter newsletter-signup breadcrumb breadcrumbs pagination share-buttons sharing social-share".split()
 )
+#: Whole class tokens that mark an advert on any element.
+_ADVERTS = set("ad ads advert advertisement advertising adverts sponsored".split())
 _AROUND = _ANYWHERE | set(
     "banner cookie cookies cookie-banner cookie-consent cookie-notice footer masthead main-menu main-nav menu modal nav navbar nav-menu navigation "
     "overlay page-footer pager popup promotion promotions recommended related related-articles related-posts replies respond search share sidebar "
@@ -42,8 +47,13 @@ _AROUND = _ANYWHERE | set(
 )
 #: Whole ids of ``div`` outside an article or main element; an id can name the topic of a section, so the list is short.
 _IDS = set("breadcrumb breadcrumbs cookie-banner cookie-consent cookie-notice disqus_thread footer masthead navbar sidebar".split())
-_ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|\Z)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+#: Whole ids of containers with reader comments, inside an article as well.
+_COMMENTS = set("comment-list comments comments-area comments-section disqus_thread reader-comments respond user-comments".split())
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+)))?+")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+_FORM_END = re.compile(r"</form[\s/>]|\Z", re.IGNORECASE)
+_ARTICLE_PART, _PARAGRAPH = re.compile(r"<(?:article|main|h1)[\s/>]", re.IGNORECASE), re.compile(r"<p[\s/>]", re.IGNORECASE)
+WRAPPER_PARAGRAPHS = 3  # a form with as many paragraphs is not one to fill in
 _SPACE = re.compile(r"\s+")
 
 PRIOR = 10.0  # tokens that a weight is worth before any page is seen
@@ -52,20 +62,35 @@ _CONTENT = set("p h1 h2 h3 h4 h5 h6 blockquote pre b i em strong br code td th f
 KNOWN = sorted(BLOCKS | VOID | _CONTENT | set("a span u s small sub sup cite q abbr time".split()))
 
 
-def _marked(name: str, attributes: str, inside: bool) -> bool:
-    """Whether role, class or id say that an element is no main text. Headings, paragraphs and inline elements are judged
-    by their role alone, and a class or id by whole tokens: ``related-work`` and ``binary-search`` say nothing."""
-    for m in _ATTRIBUTE.finditer(attributes):
-        kind, values = m[1].lower(), (m[2] or m[3] or m[4] or "").lower().split()
-        if kind == "role":
-            if not ROLES.isdisjoint(values):
-                return True
-        elif kind == "class":
-            if name in CONTAINERS and not (_ANYWHERE if inside else _AROUND).isdisjoint(values):
-                return True
-        elif name == "div" and not inside and not _IDS.isdisjoint(values):
-            return True
-    return False
+def attributes(tag: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name; of repeated names the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(tag):
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
+def _marked(name: str, tag: str, inside: bool) -> bool:
+    """Whether attributes say that an element is no main text: hidden, a role, a class or an id. Headings, paragraphs
+    and inline elements are judged by role and advert classes alone, and a class or id by whole tokens:
+    ``related-work`` and ``binary-search`` say nothing."""
+    found = attributes(tag)
+    if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or _NOT_SHOWN.search(found.get("style", "")):
+        return True
+    words = {kind: set(found.get(kind, "").lower().split()) for kind in ("role", "class", "id")}
+    if words["role"] & ROLES or words["class"] & _ADVERTS:
+        return True
+    if name in CONTAINERS and (words["class"] & (_ANYWHERE if inside else _AROUND) or words["id"] & _COMMENTS):
+        return True
+    return name == "div" and not inside and bool(words["id"] & _IDS)
+
+
+def _wraps_page(page: str, start: int) -> bool:
+    """Whether the form whose content begins at ``start`` holds the page's text, as old servers wrote it."""
+    end = _FORM_END.search(page, start).start()
+    if _ARTICLE_PART.search(page, start, end):
+        return True
+    return sum(1 for _ in _PARAGRAPH.finditer(page, start, end)) >= WRAPPER_PARAGRAPHS
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
@@ -105,7 +130,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
             kept = True
         elif name not in ("html", "article", "main"):
             kept = kept and name not in OUTSIDE and not (name == "header" and not inside)
-            kept = kept and not (m[4] and (_marked(name, m[4], inside) or _HIDDEN.search(m[4])))
+            kept = kept and not (name == "label" and not inside) and not (name == "form" and not _wraps_page(page, m.end()))
+            kept = kept and not (m[4] and _marked(name, m[4], inside))
         yield "open", name, kept, ""
         if name not in VOID and not m[4].endswith("/"):
             stack.append((name, kept, inside or name in ("article", "main")))
@@ -161,36 +187,49 @@ def fit_weights(counts: list[tuple[str, int, int]]) -> dict[str, float]:
     return weights
 
 
-def main_text(page: str | None, weights: dict[str, float]) -> str:
-    """Text of the maximum-scoring run of tokens, blocks joined by newlines; of equal runs the first and shortest."""
-    if not page:
-        return ""
-    found = list(tokens(page))
-    best, best_span, run, start, dropped = 0.0, (0, 0), 0.0, 0, False
-    for i, (kind, name, kept, text) in enumerate(found):
-        if not kept:  # whatever it holds, a menu or advert costs once
-            score = 0.0 if dropped else DROPPED
+def token_scores(found: list[tuple[str, str, bool, str]], weights: dict[str, float]) -> list[float]:
+    """Score of each token; of what is not kept only the first token in a row costs, whatever it holds."""
+    scores, dropped = [], False
+    for kind, name, kept, text in found:
+        if not kept:
+            scores.append(0.0 if dropped else DROPPED)
         elif kind == "text":
-            score = len(text.split()) * weights[_feature(kind, name, kept)]
+            scores.append(len(text.split()) * weights[_feature(kind, name, kept)])
         elif name in ("article", "main"):
-            score = EDGE
+            scores.append(EDGE)
         else:
-            score = 0.0 if name in ("body", "html") else weights[_feature(kind, name, kept)]
+            scores.append(0.0 if name in ("body", "html") else weights[_feature(kind, name, kept)])
         dropped = not kept
+    return scores
+
+
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """``(start, end)`` of the contiguous run with the largest positive sum, in one scan; of equal runs the one that ends
+    first and, of those, the shortest. Empty where no score is positive."""
+    best, span, run, start = 0.0, (0, 0), 0.0, 0
+    for i, score in enumerate(scores):
         if run <= 0:
             run, start = 0.0, i
         run += score
         if run > best:
-            best, best_span = run, (start, i + 1)
+            best, span = run, (start, i + 1)
+    return span
+
+
+def main_text(page: str | None, weights: dict[str, float]) -> str:
+    """Text of the maximum-scoring run of tokens, blocks joined by newlines."""
+    if not page:
+        return ""
+    found = list(tokens(page))
     blocks, words = [], []
-    for kind, name, kept, text in found[slice(*best_span)]:
+    for kind, name, kept, text in found[slice(*best_run(token_scores(found, weights)))]:
         if kind == "text":
             if kept:
                 words.append(text)
         elif name in BLOCKS:
             blocks.append("".join(words))
             words = []
-        elif name in VOID:
+        elif name == "br":
             words.append(" ")
     blocks.append("".join(words))
     clean = (_SPACE.sub(" ", html.unescape(x)).strip() for x in blocks)

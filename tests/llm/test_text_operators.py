@@ -22,7 +22,7 @@ from tabularium.llm.code_search import nearest_codes, sign_code
 from tabularium.llm.decontaminate import contamination, without_contaminated
 from tabularium.llm.graph import connected_components
 from tabularium.llm.licenses import license_matches
-from tabularium.llm.main_text import extract_main_text, fit_weights, main_text
+from tabularium.llm.main_text import best_run, extract_main_text, fit_weights, main_text
 from tabularium.llm.pieces import Pieces, decode_pieces, encode_pieces, model_state
 from tabularium.llm.pseudonyms import permute, pseudonymise, pseudonyms
 from tabularium.llm.quality import classify, keep_good
@@ -160,6 +160,49 @@ def test_marked_containers_stay_out():
         assert main_text(f"<body><div><p>one two three four five six</p></div>{start}buy these now", fit_weights([])) == "one two three four five six"
 
 
+BODY = "<body><article><p>one two three four five six seven</p>{}<p>eight nine ten eleven twelve</p></article></body>"
+
+
+@pytest.mark.parametrize("piece, text", [
+    ('<p title="the hidden truth">seen words</p>', "seen words"),
+    ('<section aria-label="On hidden variables"><p>seen words</p></section>', "seen words"),
+    ('<p class="md hidden lg-block">seen words</p>', "seen words"),
+    ("<p hidden>gone</p>", ""), ("<p aria-hidden=TRUE>gone</p>", ""), ("<p style='color:red;display : none'>gone</p>", ""),
+    ("<p data-t=don't>seen words</p>", "seen words"), ("<p data-t=don't>it's seen</p><p>so's this</p>", "it's seen\nso's this"),
+    ('<p title="a > b">seen words</p>', "seen words"), ("<p a=\"1\" a='2' =x / b>seen words</p>", "seen words"),
+    ("<p>un<wbr>broken, an<img src=x alt='y'>d cut<br>here</p>", "unbroken, and cut here"),
+    ('<div id="comments"><p>first!</p></div>', ""), ('<ol class="comment-list"><li>first!</li></ol>', ""),
+    ('<p class="ad">buy</p>', ""), ('<p>seen <span class="x advert">buy</span>words</p>', "seen words"),
+    ('<h2 id="comments">seen words</h2>', "seen words"), ('<p class="ad-hoc">seen words</p>', "seen words"),
+    ("<p><label>seen</label> words</p>", "seen words"), ("<form><label>name</label><input><p>send it</p></form>", ""),
+])
+def test_main_text_goes_by_parsed_attributes(piece, text):
+    want = ["one two three four five six seven", text, "eight nine ten eleven twelve"]
+    assert main_text(BODY.format(piece), fit_weights([])) == "\n".join(x for x in want if x)
+
+
+def test_main_text_of_a_page_inside_a_form():
+    inner = "<h1>seen title</h1><p>one two three four five</p><label>name</label><input><button>send</button>"
+    assert main_text(f"<body><form action=x>{inner}</form></body>", fit_weights([])) == "seen title\none two three four five"
+    assert main_text("<body><form><p>a b c d</p><p>e f g h</p><p>i j k l</p></form></body>", fit_weights([])) == "a b c d\ne f g h\ni j k l"
+
+
+def test_best_run_equals_all_runs():
+    rng = random.Random(5)
+    for _ in range(300):
+        scores = [float(rng.randint(-3, 3)) for _ in range(rng.randint(0, 14))]
+        runs = [(-sum(scores[a:b]), b, b - a, a) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1) if sum(scores[a:b]) > 0]
+        best = min(runs, default=None)
+        assert best_run(scores) == ((best[3], best[1]) if best else (0, 0)), scores
+
+
+def test_main_text_of_a_very_long_page_and_of_repeated_pages(spark):
+    page = "<body><nav><a>menu</a></nav><main>" + "".join(f"<p title='{i}\"'>word {i} it's</p>" for i in range(30_000)) + "</main>" + "<div " * 20_000
+    rows = spark.createDataFrame([(1, page), (1, page), (2, '<p a="' * 20_000)], "page_id long, html string")
+    got = extract_main_text(rows).collect()
+    assert [r["text"] for r in got if r["page_id"] == 1] == ["\n".join(f"word {i} it's" for i in range(30_000))] * 2
+
+
 def test_main_text_of_given_pages(tables, spark):
     def article(page):
         inner = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)[1]
