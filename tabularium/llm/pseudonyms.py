@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import bisect
 import hashlib
 import ipaddress
 import re
@@ -244,16 +245,16 @@ def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, list[str]]:
     """The text with pseudonyms, and the kinds replaced in text order. Null stays null."""
     if not text or not _SIGN.search(text):
         return text, []
-    found: list[tuple[int, int, str, str]] = []
+    found: list[tuple[int, int, str, str]] = []  # disjoint and in text order
     for kind, sign, pattern, replace in KINDS:
         if sign not in text:
             continue
         for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, _, _ in found):
+            place = bisect.bisect_left(found, m.end(), key=lambda x: x[0])  # of the spans before, the last ends last
+            if place and found[place - 1][1] > m.start():
                 continue
             if (new := replace(m, key)) is not None:
-                found.append((m.start(), m.end(), kind, new))
-    found.sort()
+                found.insert(place, (m.start(), m.end(), kind, new))
     out, at = [], 0
     for a, b, _, new in found:
         out += [text[at:a], new]
