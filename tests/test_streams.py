@@ -68,3 +68,15 @@ def test_copies_far_apart_are_dropped(spark):
     stream = streams.file_stream(spark, path, spark.read.schema(schema).parquet(path).schema, files_per_batch=1)
     kept = streams.run_append(streams.drop_repeated_content(stream, F.col("text")), "far-kept")
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 100, 200, 400]
+
+
+def test_requests_of_a_batch_are_decided_in_time_order(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        rows = [("a", 1000 + 7 * (i * 37 % 300), i) for i in range(300)]  # in no order, and fifteen frames of one batch
+        got = streams.run_append(streams.rate_limiter(arriving(spark, "frames", [rows]), "k", "streaming"), "frames-out").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    in_time = sorted(rows, key=lambda r: r[1:])
+    allowed = activity.limit_decisions([r[1] for r in in_time], 5, 60)
+    assert {r["event_id"]: (r["allowed"], r["late"]) for r in got} == {r[2]: (a, False) for r, a in zip(in_time, allowed)}
