@@ -19,6 +19,7 @@ from tabularium.session import new_scratch
 from tabularium.streaming.stateful import LatestUpload, RequestLimiter, Sessions, with_rocks_db
 
 PROGRESS_KEEP_HOURS, SESSION_GAP_SECONDS, LATENESS_SECONDS = 24, 3600, 3600
+STATE_GROUPS = 1024  # groups of keys that share a call; a stream with very many keys takes more, so that a group's state stays small
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None, kind: str = "parquet") -> DataFrame:
@@ -70,12 +71,18 @@ def continuous_ingest(stream: DataFrame, types: TypePlan, tenant: Callable[[Data
     return tenant(types.apply(filled))
 
 
-def latest_progress(stream: DataFrame, key: str, lateness: str = "1 hour") -> DataFrame:
+def _grouped(stream: DataFrame, key: str, groups: int):
+    """The timed stream in ``groups`` groups of keys, the key as text beside the time in microseconds."""
+    timed = stream.withColumns({"at": F.unix_micros("ts"), "name": F.col(key).cast("string"), "part": F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")})
+    return with_rocks_db(timed.where("at IS NOT NULL")).drop(key).groupBy("part")
+
+
+def latest_progress(stream: DataFrame, key: str, lateness: str = "1 hour", groups: int = STATE_GROUPS) -> DataFrame:
     """Latest upload state per resource with percent done; finished uploads are forgotten after a day of event time."""
-    output = f"{key} {stream.schema[key].dataType.simpleString()}, event_id long, ts timestamp, status string, percent double, finished boolean"
-    timed = with_rocks_db(zoned(stream).withWatermark("ts", lateness))
-    return timed.groupBy(key).transformWithStateInPandas(
+    output = f"{key} string, event_id long, ts timestamp, status string, percent double, finished boolean"
+    latest = _grouped(zoned(stream).withWatermark("ts", lateness), key, groups).transformWithStateInPandas(
         statefulProcessor=LatestUpload(key, PROGRESS_KEEP_HOURS * 3_600_000), outputStructType=output, outputMode="Update", timeMode="EventTime")
+    return latest.withColumn(key, F.col(key).cast(stream.schema[key].dataType))
 
 
 def daily_audit_counts(stream: DataFrame, dimensions: list[str], lateness: str = "2 days") -> DataFrame:
@@ -101,16 +108,16 @@ def rate_limiter(stream: DataFrame, key: str, endpoint: str = "default", latenes
         statefulProcessor=limiter, outputStructType=output, outputMode="Append", timeMode="ProcessingTime" if expire else "None")
 
 
-def idle_sessions(stream: DataFrame, key: str, gap_seconds: int = SESSION_GAP_SECONDS, lateness: str = "1 hour") -> DataFrame:
+def idle_sessions(stream: DataFrame, key: str, gap_seconds: int = SESSION_GAP_SECONDS, lateness: str = "1 hour", groups: int = STATE_GROUPS) -> DataFrame:
     """``(key, session_start, session_end, events, open)`` as updates: a session is reported as it grows and when it closes.
 
     It closes when the watermark, ``lateness`` behind the newest row, is a gap past its last row. A row with no events says
     that the session of that start has become part of an earlier one.
     """
-    output = f"{key} {stream.schema[key].dataType.simpleString()}, session_start timestamp, session_end timestamp, events long, open boolean"
-    timed = with_rocks_db(zoned(stream).withWatermark("ts", lateness).withColumn("at", F.unix_micros("ts")).select(key, "ts", "at"))
-    return timed.groupBy(key).transformWithStateInPandas(
+    output = f"{key} string, session_start timestamp, session_end timestamp, events long, open boolean"
+    found = _grouped(zoned(stream).withWatermark("ts", lateness).select(key, "ts"), key, groups).transformWithStateInPandas(
         statefulProcessor=Sessions(key, gap_seconds * 1_000_000), outputStructType=output, outputMode="Update", timeMode="EventTime")
+    return found.withColumn(key, F.col(key).cast(stream.schema[key].dataType))
 
 
 def sliding_activity(stream: DataFrame, keys: list[str], lateness: str = "1 hour") -> DataFrame:

@@ -1,11 +1,13 @@
 """Streams against their batch twins."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tabularium.operators import activity
 from tabularium.plans import REGISTRY
 from tabularium.session import new_scratch
 from tabularium.streaming import streams
+from tabularium.streaming.stateful import LatestUpload, Sessions
 from tests.conftest import FOLDER
 from tests.oracle import compare, connect
 
@@ -70,6 +72,49 @@ def test_copies_far_apart_are_dropped(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 100, 200, 400]
 
 
+class Handle:
+    """Counts what a processor asks of its state."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = [], set(), 0
+
+    def getListState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.calls += 1
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows = []
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_a_group_of_keys_costs_a_few_state_calls(spark):
+    handle, many = Handle(), [str(i) for i in range(500)]
+    sessions = Sessions("k", 60_000_000)
+    sessions.init(handle)
+    frames = [pd.DataFrame({"name": [*many, None], "at": [i * 1_000_000 for i in range(501)]}), pd.DataFrame({"name": [*many[:2], "0"], "at": [30_000_000, 500_000_000, 90_000_000]})]
+    out = pd.concat(sessions.handleInputRows((0,), iter(frames), handle))
+    assert handle.calls == 3 and len(handle.timers) == 1 and len(out) == 503 and out["events"].sum() == 504
+    assert sorted(out.loc[out["k"] == "0", "events"]) == [1, 2] and out["k"].isna().sum() == 1
+    handle, uploads = Handle(), LatestUpload("k", 1000)
+    uploads.init(handle)
+    frame = pd.DataFrame({"name": [*many, "7"], "at": [5] * 500 + [6], "event_id": range(501), "status": ["completed"] * 501, "uploaded_bytes": 1.0, "total_bytes": 2.0})
+    out = pd.concat(uploads.handleInputRows((0,), iter([frame]), handle))
+    assert handle.calls == 3 and len(handle.timers) == 1 and len(out) == 500 and out.loc[out["k"] == "7", "event_id"].tolist() == [500]
+
+
 def test_requests_of_a_batch_are_decided_in_time_order(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
     try:
