@@ -114,14 +114,18 @@ def with_trailing_count(
 ) -> DataFrame:
     """Add the number of rows of the key in the last ``seconds`` up to and including the row's second.
 
-    A row is also handed to the slice after its own, so each (key, slice) sees its full look-back.
+    A slice is ``seconds`` long. It starts with the rows of the slice before it, each of which leaves again ``seconds``
+    after its own second, so the count is one running sum. What a slice hands on is counted per second first. Rows without
+    a time are peers of each other only.
     """
-    second = F.floor(epoch_seconds(ts)).cast("long")
-    own = df.withColumn("__sec", second).withColumn("__own", F.floor(F.col("__sec") / seconds))
-    handed = own.withColumn(SLICE, F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
-    window = W.partitionBy(*keys, SLICE).orderBy("__sec").rangeBetween(-(seconds - 1), 0)
-    return (
-        handed.withColumn(name, F.count(F.lit(1)).over(window))
-        .where(F.col(SLICE) == F.col("__own"))
-        .select(*df.columns, name)
+    own = df.withColumn("__sec", F.floor(epoch_seconds(ts)).cast("long")).withColumn(SLICE, F.floor(F.col("__sec") / seconds))
+    marks = F.array(
+        F.struct(((F.col(SLICE) + 1) * seconds).alias("sec"), F.lit(1).alias("sign")),
+        F.struct((F.col("__sec") + seconds).alias("sec"), F.lit(-1).alias("sign")))
+    handed = (
+        own.where("__sec IS NOT NULL").select(*[F.col(f"`{k}`") for k in keys], (F.col(SLICE) + 1).alias(SLICE), F.explode(marks).alias("__mark"))
+        .groupBy(*[F.col(f"`{k}`") for k in keys], SLICE, F.col("__mark.sec").alias("__sec")).agg(F.sum("__mark.sign").alias("__change"))
     )
+    changes = own.withColumns({"__change": F.lit(1).cast("long"), "__own": F.lit(True)}).unionByName(handed, allowMissingColumns=True)
+    running = W.partitionBy(*keys, SLICE).orderBy("__sec").rangeBetween(W.unboundedPreceding, W.currentRow)
+    return changes.withColumn(name, F.sum("__change").over(running)).where("__own").select(*df.columns, name)

@@ -86,3 +86,15 @@ def test_ordered_helpers_keep_null_keys_and_null_order_values(spark):
     assert highest == {1: 10.0, 2: 20.0, 6: 20.0, 3: 30.0, 4: 40.0, 5: 40.0}
     place = {r["id"]: r["n"] for r in ordered.with_position(df, "at", ["id"], "n", 30).collect()}
     assert place == {3: 1, 1: 2, 4: 3, 2: 4, 6: 5, 5: 6}
+
+
+def test_trailing_count_is_a_running_sum(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", None]), rng.choice([None, *range(-70, 400)]), i) for i in range(700)]
+    df = spark.createDataFrame(rows, "k string, s long, id long").select("k", F.timestamp_seconds("s").alias("at"), "id")
+    counted = ordered.with_trailing_count(df, ["k"], "at", 60, "n")
+    got = {r["id"]: r["n"] for r in counted.collect()}
+    near = lambda s, o: o is None if s is None else o is not None and s - 60 < o <= s
+    assert got == {i: sum(k == k2 and near(s, s2) for k2, s2, _ in rows) for k, s, i in rows}
+    # a frame that moves at both ends is counted anew for every row
+    assert "RangeFrame, unboundedpreceding" in counted._jdf.queryExecution().optimizedPlan().toString()
