@@ -529,3 +529,17 @@ def test_audit_tree_of_several_levels_and_its_proofs(spark):
     assert level == [root]
     empty = audit_tree.leaves(ids.limit(0), "event_id")
     assert audit_tree.tree(empty).count() == 0
+
+
+@pytest.mark.parametrize("strategy", ["sentence", "fixed", "paragraph", "semantic"])
+def test_long_documents_reach_python_in_small_batches(spark, strategy):
+    df = spark.createDataFrame([(1, "One. Two. " * 20)], "id long, t string")
+    plan = chunking.chunk_documents(df, "id", "t", strategy)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
+def test_pages_reach_python_in_small_batches(spark):
+    df = spark.createDataFrame([(1, "<p>a &amp; b<script>x</script></p>"), (2, None)], "id long, h string").select("id", files.html_text("h").alias("t"))
+    assert {r["id"]: r["t"] for r in df.collect()} == {1: "a & b", 2: None}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
