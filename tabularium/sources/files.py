@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -131,10 +130,13 @@ def visible_text(html: str) -> str:
 
 
 def html_text(html: Column | str) -> Column:
-    """Visible text of an HTML column: text nodes in order, tags dropped, entities decoded."""
-    @F.pandas_udf("string")
-    def extract(column: pd.Series) -> pd.Series:
-        return column.map(lambda h: None if h is None else visible_text(h))
+    """Visible text of an HTML column: text nodes in order, tags dropped, entities decoded.
+
+    Pages go to Python a hundred at a time, as ten thousand in an Arrow batch would take a worker's memory.
+    """
+    @F.udf("string", useArrow=False)
+    def extract(page: str | None) -> str | None:
+        return None if page is None else visible_text(page)
 
     return extract(html)
 
