@@ -570,3 +570,16 @@ def test_profile_of_values_in_several_types(spark):
     assert got == {
         "a": ("mixed", True, 3, 1, ["1"]), "b": ("string", False, 3, 2, ["1", "x"]), "c": ("null", True, 2, 0, []),
         "d": ("boolean", False, 2, 2, ["false", "true"]), "e": ("mixed", False, 3, 3, ["2.5", "3", "[]"])}
+
+
+def test_flattening_parses_a_clean_text_once(spark):
+    df = spark.createDataFrame([('{"a": {"B c" : 1, "b c":[ ]}, "d":"x  y"}',), ('{"A": 1, "a": {"b": 2}}',), ('{"a" 1}',)], "j string")
+    flat = df.select(json_docs.clean_json("j", flatten=True).alias("c"))
+    assert [json.loads(r["c"]) if r["c"] else None for r in flat.collect()] == [{"a_b_c": 1, "d": "x  y"}, {"a_b": 2}, None]
+    plan = flat._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_parse_json") + plan.count("parse_json(") <= 2  # the second for texts that name a field twice
+
+
+def test_field_types_take_two_passes_over_the_text(spark):
+    plan = json_docs.field_type_counts(spark.createDataFrame([(1, "{}")], "k int, j string"), "k", "j")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 2
