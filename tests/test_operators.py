@@ -545,7 +545,7 @@ def test_pages_reach_python_in_small_batches(spark):
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
 
 
-def test_nesting_is_followed_once_for_each_form(spark):
+def test_brackets_in_strings_do_not_nest(spark):
     docs = ['{"a":[{"b":"]}[{"}],"c":"\\\\\\""}', '{"x":{"y":{"z":{}}}}', '{"a":[{"b":"[[[["}],"c":""}', "no json", None]
     df = spark.createDataFrame([(d,) for d in docs], "j string")
     assert json_docs.deepest_nesting(df, "j") == 4
