@@ -1,14 +1,16 @@
 """Repeated byte strings across documents: a difference-cover suffix sort that is cut off at the length of interest.
 
 A full suffix array would move every suffix of the corpus several times. Here only the order of prefixes of ``LENGTH``
-bytes matters, so the difference-cover scheme runs to that depth and leaves out what cannot repeat:
+bytes matters, so the difference-cover scheme runs to that depth and leaves out what cannot repeat. Texts lie in blocks
+of a few megabytes; what a block can settle by itself does not leave it:
 
 1. Sample the positions whose remainder lies in a difference cover of 31. For any two positions there is a shift under
    31 that takes both into the sample, so two equal 50-byte strings have an equal sampled 20-byte string at the same
-   shift. Name the sampled strings, sort the names, and keep the samples whose name another document has as well.
+   shift. Name the sampled strings and sort the names; each block sends each name once, and keeps the samples whose name
+   another block or another document of its own has as well.
 2. Name the remaining suffixes that a kept sample can reach (those up to 30 bytes before it) by their first 50 bytes.
-   Suffixes meet by the smallest name of the 20-byte strings inside, which equal strings share, and travel as the text
-   of whole runs of neighbouring suffixes.
+   Sorted by name, those of the smallest id in the block go on; all others are settled. Suffixes meet by the smallest
+   name of the 8-byte strings inside, which equal strings share, and travel as the text of runs of neighbouring suffixes.
 3. Merge them sorted by name and compare neighbours: a suffix goes if one with the same prefix starts in a document
    with a smaller id.
 """
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +32,11 @@ LENGTH = 50
 COVER = 31
 DIFFERENCES = (1, 5, 11, 24, 25, 27)  # every remainder of 31 is a difference of two of these
 SEED_BYTES = LENGTH - COVER + 1
-BUCKET_BYTES = 32_000_000  # text whose samples share a bucket; suffixes share one by half as much
-FLUSH = 2_000_000
+BLOCK_BYTES = 4_000_000  # text that one block holds
+BUCKET_BYTES = 16_000_000  # text whose samples share a bucket; suffixes share one by half as much
+FLUSH = 1_000_000
 MEET_BYTES = 8  # suffixes meet by the smallest name of such strings inside
+KNOWN = 1_000_000  # texts that a task remembers to leave out copies
 LAST_ID = 2**63 - 1  # stands for a null id
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -59,17 +64,6 @@ def _names(loads: np.ndarray, at: np.ndarray, length: int, seed: int = 0) -> np.
     return name
 
 
-def _sampled(data: bytes, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(positions, buckets, names)`` of the samples of a text, by bucket and position."""
-    last = len(data) - SEED_BYTES
-    at = (np.arange(0, max(last + 1, 0), COVER)[:, None] + np.array(DIFFERENCES)).ravel()
-    at = at[at <= last]
-    names = _names(_loads(data), at, SEED_BYTES)
-    buckets = (names >> np.uint64(32)) % np.uint64(n_buckets)
-    order = np.argsort(buckets, kind="stable")
-    return at[order], buckets[order].astype(np.int64), (_mix(names) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order]
-
-
 def _numbers(values: np.ndarray) -> bytes:
     """Counts in two bytes each, where all fit, or else in four; the first byte tells."""
     small = not len(values) or values.max() < 1 << 16
@@ -80,99 +74,123 @@ def _read_numbers(data: bytes) -> np.ndarray:
     return np.frombuffer(data[1:], np.uint16 if data[0] == 2 else np.uint32).astype(np.int64)
 
 
-def _sample_rows(n_buckets: int):
-    """Texts to one row per batch and bucket: the names of each document's samples in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_sampled(x.encode(), n_buckets) for x in batch.column("text").to_pylist()]
-            if not found:
-                continue
-            buckets = np.concatenate([f[1] for f in found])
-            docs = np.repeat(np.arange(len(found)), [len(f[1]) for f in found])
-            order = np.argsort(buckets, kind="stable")
-            buckets, docs = buckets[order], docs[order]
-            names = np.concatenate([f[2] for f in found])[order]
-            k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
-            starts = np.flatnonzero(np.diff(buckets, prepend=-1))
-            rows = []
-            for a, b in zip(starts, np.append(starts[1:], len(buckets))):
-                own, count = np.unique(docs[a:b], return_counts=True)
-                rows.append({"bucket": int(buckets[a]), "k1": k1[own].tobytes(), "k2": k2[own].tobytes(), "count": _numbers(count), "names": names[a:b].tobytes()})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int64()), *[(n, pa.binary()) for n in ("k1", "k2", "count", "names")]]))
+def _sorted_names(names: np.ndarray) -> bytes:
+    """Ascending 32-bit names as their differences, lowest bytes first: the highest ones are mostly zero and compress."""
+    return np.diff(names, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    return run
 
+def _read_sorted_names(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.uint32)
 
-def _list_rows(docs: np.ndarray, values: np.ndarray, columns: dict[str, np.ndarray], name: str) -> pa.RecordBatch:
-    """One row per document with its values as a list; ``docs`` are sorted."""
-    starts = np.flatnonzero(np.diff(docs, prepend=-1))
-    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(docs)).astype(np.int32)), pa.array(values.astype(np.int32)))
-    own = docs[starts]
-    return pa.RecordBatch.from_arrays([*[pa.array(c[own]) for c in columns.values()], lists], [*columns, name])
 
+def _bytes_column(data: np.ndarray | list[bytes], cuts: np.ndarray | None = None) -> pa.Array:
+    return pa.array(data if cuts is None else [data[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], pa.binary())
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Samples of a bucket to rows of those whose name two documents have: the places in the document's bucket order.
 
-    A name seen in two documents is reported at once and remembered as repeated; what is held is one sample per name
-    that only one document has so far.
+def _first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without those whose text the task has already handed on with an id that is not larger."""
+    known: dict[tuple[int, int], int] = {}
+    for batch in batches:
+        keep = np.zeros(batch.num_rows, bool)
+        columns = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2", "id"))
+        k1, k2, ids = columns
+        for i in np.argsort(ids, kind="stable").tolist():
+            key, own = (int(k1[i]), int(k2[i])), int(ids[i])
+            if known.get(key, own + 1) > own:
+                known[key], keep[i] = own, True
+        if len(known) > KNOWN:
+            known.clear()
+        yield batch.filter(pa.array(keep))
+
+
+class _Block(NamedTuple):
+    """The texts of a block one after the other, in the order of their keys, and the samples of all of them."""
+
+    k1: np.ndarray
+    k2: np.ndarray
+    ids: np.ndarray
+    edges: np.ndarray  # where the texts start, and the end
+    data: np.ndarray
+    loads: np.ndarray
+
+
+def _block(table: pa.Table) -> _Block:
+    k1, k2, ids = (table.column(c).to_numpy() for c in ("k1", "k2", "id"))
+    order = np.lexsort((ids, k2, k1))
+    a, b = k1[order], k2[order]
+    order = order[np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])]  # of equal texts the smallest id
+    texts = table.column("text").cast(pa.large_binary()).combine_chunks().take(pa.array(order))
+    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    return _Block(k1[order], k2[order], ids[order], edges - edges[0], data, _loads(data.tobytes()))
+
+
+def _samples(block: _Block, n_buckets: int) -> tuple[np.ndarray, ...]:
+    """``(positions by key, group of each, keys, whether two documents have it, first key of each bucket)`` of the samples.
+
+    A key is the bucket and a 32-bit name.
     """
-    bucket, known, size, documents = -1, np.empty(0, np.uint32), 0, 0
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # names, places, numbers of documents
-    keys: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def settle() -> Iterator[pa.RecordBatch]:
-        nonlocal held, known, keys
-        if not held:
-            return
-        names, places, docs = (np.concatenate(x) for x in zip(*held))
-        k1, k2 = (np.concatenate(x) for x in zip(*keys))
-        order = np.argsort(names, kind="stable")
-        names, places, docs = names[order], places[order], docs[order]
-        group = np.cumsum(np.diff(names, prepend=names[:1]) != 0)
-        several = np.zeros(group[-1] + 1 if len(group) else 0, bool)
-        several[group[1:][(group[1:] == group[:-1]) & (docs[1:] != docs[:-1])]] = True
-        many = several[group] | np.isin(names, known)
-        known = np.union1d(known, names[many])
-        if many.any():
-            p, d = places[many], docs[many]
-            order = np.lexsort((p, d))
-            p, d = p[order], d[order]
-            first = np.flatnonzero(np.diff(d, prepend=-1))
-            columns = {"k1": k1[d[first]], "k2": k2[d[first]], "bucket": np.full(len(first), bucket)}
-            yield _list_rows(np.cumsum(np.diff(d, prepend=d[:1]) != 0), p, columns, "places")
-        held, keys = [(names[~many], places[~many], docs[~many])], [(k1, k2)]
+    at = (np.arange(0, len(block.data), COVER)[:, None] + np.array(DIFFERENCES)).ravel()
+    doc = np.searchsorted(block.edges, at, "right") - 1
+    inside = doc < len(block.ids)
+    inside[inside] = at[inside] + SEED_BYTES <= block.edges[doc[inside] + 1]
+    at, doc = at[inside], doc[inside]
+    names = _names(block.loads, at, SEED_BYTES)
+    keys = (names >> np.uint64(32)) % np.uint64(n_buckets) << np.uint64(32) | _mix(names) & np.uint64(0xFFFFFFFF)
+    order = np.argsort(keys)
+    keys, at, doc = keys[order], at[order], doc[order]
+    new = np.diff(keys, prepend=~keys[:1]) != 0
+    starts = np.flatnonzero(new)
+    several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts) if len(starts) else np.empty(0, bool)
+    keys = keys[starts]
+    first = np.searchsorted(keys, np.arange(n_buckets + 1, dtype=np.uint64) << np.uint64(32))
+    return at, np.cumsum(new) - 1, keys, several, first
 
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["bucket"] != bucket:
-                yield from settle()
-                bucket, known, held, keys, size, documents = row["bucket"], np.empty(0, np.uint32), [], [], 0, 0
-            count = _read_numbers(row["count"])
-            places = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            docs = np.repeat(np.arange(documents, documents + len(count)), count)
-            keys.append((np.frombuffer(row["k1"], np.int64), np.frombuffer(row["k2"], np.int32)))
-            documents += len(count)
-            held.append((np.frombuffer(row["names"], np.uint32), places.astype(np.int32), docs.astype(np.int32)))
-            size += len(places)
-            if size >= FLUSH:
-                yield from settle()
-                size = 0
-    yield from settle()
+
+def _sample_rows(n_buckets: int):
+    """A block to one row per bucket: the names of its samples in order, each once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        _, _, keys, _, first = _samples(_block(table), n_buckets)
+        names = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        own = np.flatnonzero(np.diff(first))
+        return pa.table({
+            "bucket": pa.array(own, pa.int64()), "block": pa.array(np.full(len(own), table.column("block")[0].as_py()), pa.int64()),
+            "names": _bytes_column([_sorted_names(names[first[i] : first[i + 1]]) for i in own.tolist()]),
+        })
+
+    return run
 
 
-def _reach(data: bytes, seeds: np.ndarray) -> np.ndarray:
+def _repeated(table: pa.Table) -> pa.Table:
+    """Names of a bucket, of all blocks, to one row per block: a bit for each of its names, set if another block has it."""
+    parts = [_read_sorted_names(x) for x in table.column("names").to_pylist()]
+    cuts = np.cumsum([0, *map(len, parts)])
+    names = np.concatenate(parts)
+    del parts
+    order = np.argsort(names)
+    names = names[order]
+    same = names[1:] == names[:-1]
+    del names
+    bits = np.zeros(len(order), bool)
+    bits[order[1:][same]] = True
+    bits[order[:-1][same]] = True
+    return pa.table({
+        "block": table.column("block"), "bucket": table.column("bucket"),
+        "bits": _bytes_column([np.packbits(bits[a:b]).tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]),
+    })
+
+
+def _reach(block: _Block, seeds: np.ndarray) -> np.ndarray:
     """Starts of 50-byte strings that contain a kept sample."""
-    n = len(data) - LENGTH + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
-    edge = np.zeros(n + 1, np.int64)
-    low, high = np.maximum(seeds - (LENGTH - SEED_BYTES), 0), np.minimum(seeds + 1, n)
+    doc = np.searchsorted(block.edges, seeds, "right") - 1
+    low, high = np.maximum(seeds - (LENGTH - SEED_BYTES), block.edges[doc]), np.minimum(seeds + 1, block.edges[doc + 1] - LENGTH + 1)
     good = low < high
+    edge = np.zeros(len(block.data) + 1, np.int32)
     np.add.at(edge, low[good], 1)
     np.add.at(edge, high[good], -1)
-    return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    return np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int32) > 0).astype(np.int32)
 
 
 def _smallest(names: np.ndarray, window: int) -> np.ndarray:
@@ -185,122 +203,151 @@ def _smallest(names: np.ndarray, window: int) -> np.ndarray:
     return names
 
 
-def _runs(data: bytes, found: list, n_buckets: int, n_meets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(bucket, start, number of suffixes)`` of the runs of neighbouring suffixes that meet in one bucket."""
-    at, buckets, _ = _sampled(data, n_buckets)
-    first = np.searchsorted(buckets, np.arange(n_buckets + 1))
-    seeds = np.concatenate([at[first[f["bucket"]] + np.array(f["places"], np.int64)] for f in found])
-    starts = _reach(data, seeds)
-    if not len(starts):
-        return starts, starts, starts
-    names = _names(_loads(data), np.arange(len(data) - MEET_BYTES + 1), MEET_BYTES, 77)
-    meet = (_mix(_smallest(names, LENGTH - MEET_BYTES + 1)[starts] * _M[2]) % np.uint64(n_meets)).astype(np.int64)
-    cut = np.flatnonzero((np.diff(starts, prepend=-9) != 1) | (np.diff(meet, prepend=-1) != 0))
-    return meet[cut], starts[cut], np.diff(np.append(cut, len(starts)))
+def _prefixes(loads: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two names, of 64 and 32 bits, of the 50-byte strings at positions ``at``."""
+    return _names(loads, at, LENGTH), (_names(loads, at, LENGTH, 99) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _later(a: np.ndarray, b: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which suffixes have a larger id than another one with the same names: sorted by name, neighbours are compared."""
+    order = np.argsort(a)
+    a, b = a[order], b[order]
+    new = np.diff(a, prepend=~a[:1]) != 0
+    if np.any(~new[1:] & (b[1:] != b[:-1])):  # the first name alone does not tell them apart
+        again = np.lexsort((b, a))
+        order, a, b = order[again], a[again], b[again]
+        new[1:] |= b[1:] != b[:-1]
+    del a, b
+    ids = own[order]
+    least = np.minimum.reduceat(ids, np.flatnonzero(new)) if len(ids) else ids
+    late = np.empty(len(ids), bool)
+    late[order] = ids > least[np.cumsum(new) - 1]
+    return late
+
+
+def _pairs(starts: np.ndarray) -> np.ndarray:
+    """Ascending starts as ``(start, how many neighbours)``, flat."""
+    cut = np.flatnonzero(np.diff(starts, prepend=starts[:1] - 2) != 1)
+    return np.stack([starts[cut], np.diff(np.append(cut, len(starts)))], axis=1).astype(np.int32).ravel()
+
+
+_RUNS = pa.schema([("meet", pa.int64()), ("block", pa.int64()), *[(n, pa.binary()) for n in ("ids", "count", "low", "high", "size", "text", "pairs")]])
 
 
 def _run_rows(n_buckets: int, n_meets: int):
-    """Documents with their kept samples to one row per batch and bucket: ids, starts, sizes and text of the runs."""
+    """A block with the bits of its names to one row per meeting place: ids, starts, sizes and text of the runs.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.encode() for x in batch.column("text").to_pylist()]
-            parts = [_runs(t, f, n_buckets, n_meets) for t, f in zip(texts, batch.column("found").to_pylist())]
-            if not parts:
-                continue
-            buckets, starts, sizes = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            docs = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-            order = np.argsort(buckets, kind="stable")
-            buckets, starts, sizes, docs = buckets[order], starts[order], sizes[order], docs[order]
-            k1, k2, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2", "id"))
-            edges = np.flatnonzero(np.diff(buckets, prepend=-1))
-            rows = []
-            for a, b in zip(edges, np.append(edges[1:], len(buckets))):
-                own, count = np.unique(docs[a:b], return_counts=True)  # runs are in document order
-                text = b"".join([texts[d][s : s + n + LENGTH - 1] for d, s, n in zip(docs[a:b].tolist(), starts[a:b].tolist(), sizes[a:b].tolist())])
-                rows.append({
-                    "bucket": int(buckets[a]), "k1": k1[own].tobytes(), "k2": k2[own].tobytes(), "id": ids[own].tobytes(),
-                    "count": _numbers(count), "low": (starts[a:b] & 0xFFFF).astype(np.uint16).tobytes(), "high": _numbers(starts[a:b] >> 16), "size": _numbers(sizes[a:b]), "text": text,
-                })
-            names = ("k1", "k2", "id", "count", "low", "high", "size", "text")
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int64()), *[(n, pa.binary()) for n in names]]))
+    One row more has the starts that the block settles by itself.
+    """
+
+    def run(table: pa.Table, found: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _RUNS.empty_table()
+        block, number = _block(table), table.column("block")[0].as_py()
+        at, group, keys, several, first = _samples(block, n_buckets)
+        for bucket, bits in zip(found.column("bucket").to_pylist(), found.column("bits").to_pylist()):
+            low, high = first[bucket], first[bucket + 1]
+            several[low:high] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=high - low).astype(bool)
+        starts = _reach(block, at[several[group]])
+        del at, group, keys
+        if not len(starts):
+            return _RUNS.empty_table()
+        doc = np.searchsorted(block.edges, starts, "right").astype(np.int32) - 1
+        late = _later(*_prefixes(block.loads, starts), block.ids[doc])
+        rows = []
+        if late.any():
+            rows.append({"meet": number % n_meets, "block": number, "pairs": _pairs(starts[late]).tobytes()})
+        starts, doc = starts[~late], doc[~late]
+        names = _names(block.loads, np.arange(len(block.data) - MEET_BYTES + 1), MEET_BYTES, 77)
+        meet = (_mix(_smallest(names, LENGTH - MEET_BYTES + 1)[starts] * _M[2]) % np.uint64(n_meets)).astype(np.int64)
+        del names
+        cut = np.flatnonzero((np.diff(starts, prepend=-9) != 1) | (np.diff(meet, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+        sizes, starts, meet, doc = np.diff(np.append(cut, len(starts))), starts[cut].astype(np.int64), meet[cut], doc[cut]
+        order = np.argsort(meet, kind="stable")
+        sizes, starts, meet, doc = sizes[order], starts[order], meet[order], doc[order]
+        edges = np.flatnonzero(np.diff(meet, prepend=-1))
+        whole = block.data.tobytes()
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(meet)]):
+            cuts = np.flatnonzero(np.diff(doc[a:b], prepend=-1))  # runs are in document order
+            rows.append({
+                "meet": int(meet[a]), "block": number, "ids": block.ids[doc[a:b][cuts]].tobytes(), "count": _numbers(np.diff(np.append(cuts, b - a))),
+                "low": (starts[a:b] & 0xFFFF).astype(np.uint16).tobytes(), "high": _numbers(starts[a:b] >> 16), "size": _numbers(sizes[a:b]),
+                "text": b"".join([whole[s : s + n + LENGTH - 1] for s, n in zip(starts[a:b].tolist(), sizes[a:b].tolist())]),
+            })
+        return pa.Table.from_pylist(rows, _RUNS)
 
     return run
 
 
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of a bucket to rows of the suffixes whose prefix starts in a document with a smaller id: (start, length) pairs.
+def _compared(table: pa.Table) -> pa.Table:
+    """Runs that meet to one row per block with the suffixes whose prefix starts in a document with a smaller id.
 
-    Sorted by name, only the suffixes of the smallest id so far are held; any other is reported as soon as it is seen.
+    Only the suffixes of the smallest id so far are held; any other is reported as soon as it is seen.
     """
-    bucket, size, documents = -1, 0, 0
-    held: list[tuple[np.ndarray, ...]] = []  # two names, starts, numbers of documents
-    tables: list[tuple[np.ndarray, ...]] = []
-
-    def settle() -> Iterator[pa.RecordBatch]:
-        nonlocal held, tables
-        if not held:
-            return
-        a, b, starts, docs = (np.concatenate(x) for x in zip(*held))
-        k1, k2, ids = (np.concatenate(x) for x in zip(*tables))
-        order = np.lexsort((ids[docs], b, a))
-        a, b, starts, docs = a[order], b[order], starts[order], docs[order]
-        del order
-        own = ids[docs]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        later = own > own[np.flatnonzero(new)][np.cumsum(new) - 1]
-        held, tables = [(a[~later], b[~later], starts[~later], docs[~later])], [(k1, k2, ids)]
-        if later.any():
-            s, d = starts[later].astype(np.int64), docs[later]
-            order = np.lexsort((s, d))
-            s, d = s[order], d[order]
-            edge = np.diff(d, prepend=-1) != 0
-            cut = np.flatnonzero(edge | (np.diff(s, prepend=-9) != 1))
-            pairs = np.stack([s[cut], np.diff(np.append(cut, len(s)))], axis=1).ravel()
-            first = d[edge]
-            yield _list_rows(np.repeat((np.cumsum(edge) - 1)[cut], 2), pairs, {"k1": k1[first], "k2": k2[first]}, "pairs")
-
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["bucket"] != bucket:
-                yield from settle()
-                bucket, held, tables, size, documents = row["bucket"], [], [], 0, 0
+    blocks, pairs = [], []
+    held: list[tuple[np.ndarray, ...]] = []  # two names, ids, starts, blocks
+    size = 0
+
+    def settle() -> None:
+        nonlocal held
+        a, b, own, starts, home = (np.concatenate(x) for x in zip(*held))
+        late = _later(a, b, own)
+        held = [(a[~late], b[~late], own[~late], starts[~late], home[~late])]
+        starts, home = starts[late], home[late]
+        order = np.lexsort((starts, home))
+        starts, home = starts[order].astype(np.int64), home[order]
+        edges = np.flatnonzero(np.diff(home, prepend=-1))
+        for x, y in zip(edges.tolist(), [*edges[1:].tolist(), len(home)]):
+            blocks.append(int(home[x]))
+            pairs.append(_pairs(starts[x:y]).tobytes())
+
+    for batch in table.to_batches():
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+            if row["pairs"] is not None:
+                blocks.append(row["block"])
+                pairs.append(row["pairs"])
+                continue
             count, sizes = _read_numbers(row["count"]), _read_numbers(row["size"])
-            doc = np.repeat(np.arange(len(count)), count)
             start = np.frombuffer(row["low"], np.uint16) + (_read_numbers(row["high"]) << 16)
             ordinal = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             width = sizes + LENGTH - 1
             at = np.repeat(np.cumsum(width) - width, sizes) + ordinal
-            loads = _loads(row["text"])
-            short = (_names(loads, at, LENGTH, 99) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            held.append((_names(loads, at, LENGTH), short, (np.repeat(start, sizes) + ordinal).astype(np.uint32), (np.repeat(doc, sizes) + documents).astype(np.int32)))
-            tables.append(tuple(np.frombuffer(row[c], np.int32 if c == "k2" else np.int64) for c in ("k1", "k2", "id")))
-            documents += len(tables[-1][0])
+            own = np.repeat(np.repeat(np.frombuffer(row["ids"], np.int64), count), sizes)
+            held.append((*_prefixes(_loads(row["text"]), at), own, (np.repeat(start, sizes) + ordinal).astype(np.uint32), np.full(len(at), row["block"], np.int32)))
             size += len(at)
             if size >= FLUSH:
-                yield from settle()
+                settle()
                 size = 0
-    yield from settle()
+    if held:
+        settle()
+    return pa.table({"block": pa.array(blocks, pa.int64()), "pairs": _bytes_column(pairs)})
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the suffixes to remove: what the document's row says of it."""
-    for batch in batches:
-        rows = []
-        for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
-            data = np.frombuffer(text.encode(), np.uint8)
-            edge = np.zeros(len(data) + 1, np.int64)
-            for pairs in found or []:
-                pairs = np.array(pairs, np.int64).reshape(-1, 2)
-                np.add.at(edge, pairs[:, 0], 1)
-                np.add.at(edge, pairs[:, 0] + pairs[:, 1] + LENGTH - 1, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            rows.append((int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
-        yield pa.RecordBatch.from_arrays(
-            [*[batch.column(c) for c in ("k1", "k2", "id")], pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())],
-            ["k1", "k2", "id", "n_removed", "n_spans", "kept_sha256"],
-        )
+_DONE = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("id", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+
+
+def _removed(table: pa.Table, found: pa.Table) -> pa.Table:
+    """Texts of a block with the suffixes to remove to what is said of each text."""
+    if not table.num_rows:
+        return _DONE.empty_table()
+    block = _block(table)
+    edge = np.zeros(len(block.data) + 1, np.int32)
+    for pairs in found.column("pairs").to_pylist():
+        pairs = np.frombuffer(pairs, np.int32).reshape(-1, 2)
+        np.add.at(edge, pairs[:, 0], 1)
+        np.add.at(edge, pairs[:, 0] + pairs[:, 1] + LENGTH - 1, -1)
+    gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+    begins = gone.copy()
+    begins[1:] &= ~gone[:-1]
+    starts = block.edges[:-1][block.edges[:-1] < len(gone)]
+    begins[starts] = gone[starts]  # a span ends with its text
+
+    def per_text(flags: np.ndarray) -> pa.Array:
+        return pa.array(np.diff(np.concatenate([[0], np.cumsum(flags)])[block.edges]), pa.int64())
+
+    hashes = [hashlib.sha256(block.data[a:b][~gone[a:b]].tobytes()).hexdigest() for a, b in zip(block.edges[:-1].tolist(), block.edges[1:].tolist())]
+    return pa.table([pa.array(block.k1), pa.array(block.k2), pa.array(block.ids), per_text(gone), per_text(begins), pa.array(hashes)], schema=_DONE)
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -316,22 +363,20 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.withColumns({"k1": F.xxhash64("text"), "k2": F.shiftright(F.xxhash64(F.lit(1), "text"), 32).cast("int")})
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, -(-int(size) // bucket_bytes))
-    n_meets = max(partitions(docs), 2 * n_buckets)
-    texts = rows.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.max("text").alias("text"))
-
-    samples = texts.select("k1", "k2", "id", "text")  # all columns, so that the texts are shuffled once for all three uses
-    samples = samples.mapInArrow(_sample_rows(n_buckets), "bucket long, k1 binary, k2 binary, count binary, names binary")
-    samples = samples.repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
-    kept = samples.mapInArrow(_repeated, "k1 long, k2 int, bucket long, places array<int>")
-    kept = kept.groupBy("k1", "k2").agg(F.collect_list(F.struct("bucket", "places")).alias("found"))
-
-    runs = texts.join(kept, ["k1", "k2"]).select("k1", "k2", "id", "text", "found")
-    runs = runs.mapInArrow(_run_rows(n_buckets, n_meets), "bucket long, k1 binary, k2 binary, id binary, count binary, low binary, high binary, size binary, text binary")
-    runs = runs.repartition(n_meets, "bucket").sortWithinPartitions("bucket")
-    later = runs.mapInArrow(_later, "k1 long, k2 int, pairs array<int>").groupBy("k1", "k2").agg(F.collect_list("pairs").alias("found"))
-
-    done = texts.join(later, ["k1", "k2"], "left").select("k1", "k2", "id", "text", "found")
-    done = done.mapInArrow(_removed, "k1 long, k2 int, id long, n_removed long, n_spans long, kept_sha256 string")
+    n_meets = 2 * n_buckets
+    n_blocks = max(2 * partitions(docs), -(-int(size) // min(BLOCK_BYTES, bucket_bytes)))
+    texts = rows.select("k1", "k2", "id", "text", F.pmod("k1", F.lit(n_blocks)).alias("block"))
+    texts = texts.mapInArrow(_first_copies, "k1 long, k2 int, id long, text string, block long")
+    blocks = texts.repartition(partitions(docs), "block").groupBy("block")  # shuffled once for all three uses
+
+    samples = blocks.applyInArrow(_sample_rows(n_buckets), "bucket long, block long, names binary")
+    kept = samples.groupBy("bucket").applyInArrow(_repeated, "block long, bucket long, bits binary")
+
+    columns = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'binary'}" for f in _RUNS)
+    runs = blocks.cogroup(kept.groupBy("block")).applyInArrow(_run_rows(n_buckets, n_meets), columns)
+    later = runs.groupBy("meet").applyInArrow(_compared, "block long, pairs binary")
+
+    done = blocks.cogroup(later.groupBy("block")).applyInArrow(_removed, "k1 long, k2 int, id long, n_removed long, n_spans long, kept_sha256 string")
     each = rows.select("doc", F.col("id").alias("own"), "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes")).join(done, ["k1", "k2"])
     copy = (F.col("own") > F.col("id")) & (F.col("n_bytes") >= LENGTH)
     return each.select(

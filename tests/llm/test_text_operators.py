@@ -9,6 +9,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -28,7 +29,7 @@ from tabularium.llm.pieces import Pieces, decode_pieces, encode_pieces, model_st
 from tabularium.llm.pseudonyms import permute, pseudonymise, pseudonyms
 from tabularium.llm.quality import classify, keep_good
 from tabularium.llm.simhash import one_per_group, simhash_components
-from tabularium.llm.suffix_dedup import repeated_bytes
+from tabularium.llm.suffix_dedup import _compared, _run_rows, _sample_rows, repeated_bytes
 from tabularium.llm.token_counts import UnigramCounter, token_counts
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -105,6 +106,25 @@ def test_repeated_bytes_in_small_buckets(spark):
     assert rows_of(repeated_bytes(spark.createDataFrame(rows, SCHEMA), bucket_bytes=500)) == repeats(rows)
 
 
+def test_a_block_sends_a_common_phrase_once():
+    rng = random.Random(4)
+    phrase = words(rng, 40)
+    texts = [f"{words(rng, 20)} {phrase} {words(rng, 20)}" for _ in range(200)]
+
+    def block(texts, number):
+        n = len(texts)
+        numbers = pa.array(range(n), pa.int64())
+        return pa.table({"k1": numbers, "k2": pa.array(range(n), pa.int32()), "id": numbers, "text": texts, "block": pa.array([number] * n, pa.int64())})
+
+    one, many = block(texts[:1] + [words(rng, 60) for _ in range(199)], 0), block(texts, 1)
+    assert [_sample_rows(7)(x).num_rows for x in (one, many)] == [7, 7]  # whatever the number of documents
+    none = pa.table({"bucket": pa.array([], pa.int64()), "bits": pa.array([], pa.binary())})
+    rows = _run_rows(7, 1)(many, none)
+    sent = b"".join(x for x in rows.column("text").to_pylist() if x)
+    assert sent.count(phrase.encode()) == 1 and sum(x is not None for x in rows.column("pairs").to_pylist()) == 1
+    assert _compared(rows).column("pairs").to_pylist() == [x for x in rows.column("pairs").to_pylist() if x]
+
+
 # 2: token counts
 
 
