@@ -19,6 +19,9 @@ SPACE = "▁"
 SHORT = 48  # characters of a chunk whose agenda is a plain list
 CACHE = 300_000  # segmentations remembered, some 100 MB in a Python worker
 ROWS = 500  # texts whose ids a worker holds at once
+TOGETHER = 4096  # chunks whose agendas are worked through at once
+_NEVER = np.int32(2**31 - 1)
+_CODES = 1 << 21  # more than the pieces and characters together
 #: of a chunk's position, of the draws in a chunk, of the lines in a word; all odd
 _PLACE, _DRAW, _LINE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA24BAED4963EE407
 _MASK = (1 << 64) - 1
@@ -45,6 +48,58 @@ def _gap(mark: int, n: int, scale: float) -> float:
     return math.log(((_mixed(mark + n * _DRAW & _MASK) >> 11) + 1) * 2.0**-53) * scale
 
 
+class _Pairs:
+    """What two neighbouring parts merge into: a hash table of the pairs of a vocabulary, looked up many at a time.
+
+    A part is a piece's id or, if a character is none, ``size`` plus its code; negative numbers are no part.
+    """
+
+    BITS = 20
+
+    def __init__(self, ids: dict[str, int], ranks: dict[str, float], size: int) -> None:
+        self.size = size
+        self.characters = np.arange(size, size + 0x110000, dtype=np.int32)
+        for piece, i in ids.items():
+            if len(piece) == 1:
+                self.characters[ord(piece)] = i
+        order = {x: n for n, x in enumerate(sorted(set(ranks.values())))}
+        found = []
+        for piece, i in ids.items():
+            for cut in range(1, len(piece)):
+                left, right = (ids.get(x, size + ord(x) if len(x) == 1 else None) for x in (piece[:cut], piece[cut:]))
+                if left is not None and right is not None:
+                    found.append((left * _CODES + right, order[ranks[piece]], i))
+        keys, orders, into = (np.array(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+        self.bits = max(self.BITS, len(keys).bit_length() + 1)
+        slots = 1 << self.bits
+        self.keys, self.orders, self.into = np.full(slots, -1, np.int64), np.full(slots, _NEVER, np.int32), np.full(slots, -1, np.int32)
+        at, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] < 0]
+            _, first = np.unique(at[free], return_index=True)
+            placed = free[first]
+            self.keys[at[placed]], self.orders[at[placed]], self.into[at[placed]] = keys[placed], orders[placed], into[placed]
+            left = np.setdiff1d(left, placed, assume_unique=True)
+            at[left] = at[left] + 1 & slots - 1
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(order of the merge, piece it makes)`` of pairs; ``_NEVER`` where they do not merge."""
+        keys = left.astype(np.int64) * _CODES + right
+        keys[(left < 0) | (right < 0)] = -2
+        at = self._slots(keys)
+        seen = self.keys[at]
+        more = np.flatnonzero((seen != keys) & (seen >= 0))
+        while len(more):
+            at[more] = at[more] + 1 & (1 << self.bits) - 1
+            seen = self.keys[at[more]]
+            more = more[(seen != keys[more]) & (seen >= 0)]
+        good = self.keys[at] == keys
+        return np.where(good, self.orders[at], _NEVER), self.into[at]
+
+
 class Pieces:
     """Vocabulary of a merge-type model as plain lists, small enough to ship to every executor."""
 
@@ -64,8 +119,9 @@ class Pieces:
         self.chunks = re.compile(f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+|\n" if not inside else r"(?s).+")
         # [merges known before a skip, ids if no more is skipped, what follows when the merge of a number is skipped]
         self.cache: list[dict[str, list]] = [{}]
-        self.words: list[dict[str, list]] = [{}]
+        self.words: list[dict[str, tuple[int, bytes]]] = [{}]  # of words after a space: all merges, ids if none is skipped
         self.held = 0
+        self.pairs = _Pairs(self.ids, self.ranks, len(pieces))
         self.newline = array("i", [byte_ids[10]] if byte_ids else []).tobytes()
 
     def merge(self, chunk: str, mark: int, limit: int, draws: list[int]) -> bytes:
@@ -172,52 +228,160 @@ class Pieces:
         node[0], node[1] = draws[-1], ids
         return ids
 
-    def _word(self, word: str, mark: int, limit: int, scale: float) -> bytes:
-        """Ids of a word and the space before it; lines inside it are chunks of their own."""
-        if "\n" not in word:
-            return self._remembered(self.words[0], word, SPACE + word, mark, limit, scale)
-        first, *lines = word.split("\n")
-        parts = [self._remembered(self.words[0], first, SPACE + first, mark, limit, scale)]
-        for i, line in enumerate(lines, 1):
-            parts.append(self.newline)
-            if line:
-                parts.append(self._remembered(self.cache[0], line, line, mark + i * _LINE & _MASK, limit, scale))
-        return b"".join(parts)
+    def merge_many(self, chunks: list[str], marks: np.ndarray, gaps: np.ndarray, limit: int) -> tuple[list[bytes], list[int]]:
+        """Ids of short chunks and, where no merge was skipped, the number of merges (else -1): ``merge`` of each.
+
+        ``gaps`` are the merges before the first skip. The agendas of many chunks of about one length are the columns of
+        arrays; a step takes or skips one merge of each column.
+        """
+        ids, totals = [b""] * len(chunks), [0] * len(chunks)
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        order = np.argsort(lengths, kind="stable")
+        for a in range(0, len(order), TOGETHER):
+            some = order[a : a + TOGETHER]
+            own = some.tolist()
+            for i, done, total in zip(own, *self._merge_together([chunks[i] for i in own], lengths[some], marks[some], gaps[some], limit)):
+                ids[i], totals[i] = done, total
+        return ids, totals
+
+    def _merge_together(self, chunks: list[str], lengths: np.ndarray, marks: np.ndarray, gap: np.ndarray, limit: int) -> tuple[list[bytes], list[int]]:
+        n, width = len(chunks), int(lengths.max(initial=0)) + 1  # the last row belongs to no part
+        scale = _scale(limit) if limit else 0.0
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        part = np.full((n, width), -1, np.int32)
+        part[np.arange(width) < lengths[:, None]] = self.pairs.characters[codes]
+        part = np.ascontiguousarray(part.T).ravel()  # place in the chunk * n + chunk
+        after = np.repeat(np.arange(1, width + 1, dtype=np.int64), n)
+        before = np.repeat(np.arange(-1, width - 1, dtype=np.int64), n)
+        before[:n] = width - 1
+
+        def entries(left: np.ndarray, right: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            found, made = self.pairs.find(left, right)
+            return np.where(found == _NEVER, _NEVER, found * (SHORT + 2) + place), made  # the best-scored, then the leftmost
+
+        agenda, into = np.full(len(part), _NEVER, np.int32), np.full(len(part), -1, np.int32)
+        agenda[:-n], into[:-n] = entries(part[:-n], part[n:], before[n:])
+        grid = agenda.reshape(width, n)
+        skips, taken = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        while True:
+            best = grid.min(0)
+            column = np.flatnonzero(best != _NEVER)
+            if not len(column):
+                break
+            place = (best[column] % (SHORT + 2)).astype(np.int64)
+            skip = taken[column] == gap[column]
+            if skip.any():
+                out = column[skip]
+                agenda[place[skip] * n + out] = _NEVER
+                skips[out] += 1
+                taken[out] = 0
+                shares = ((_mixed(marks[out] + skips[out].astype(np.uint64) * np.uint64(_DRAW)) >> np.uint64(11)) + np.uint64(1)) * 2.0**-53
+                gap[out] = [int(x * scale) for x in map(math.log, shares.tolist())]
+                column, place = column[~skip], place[~skip]
+            taken[column] += 1
+            i = place * n + column
+            j = after[i] * n + column
+            k = after[j]
+            part[i] = both = into[i]
+            part[j] = -1
+            agenda[j] = _NEVER
+            after[i] = k
+            k_at, low = np.minimum(k, width - 1) * n + column, before[i]
+            before[k_at] = place
+            last, m = low * n + column, len(i)
+            found, made = entries(np.concatenate([part[last], both]), np.concatenate([both, part[k_at]]), np.concatenate([low, place]))
+            agenda[last], into[last] = found[:m], made[:m]
+            agenda[i], into[i] = found[m:], made[m:]
+        grid = part.reshape(width, n).T
+        left = grid >= 0
+        ends = (np.cumsum(left.sum(1)) * 4).tolist()
+        flat, known = grid[left], np.where(skips == 0, taken, -1).tolist()
+        if (flat >= self.pairs.size).any():  # characters that are no piece go by their bytes
+            size = self.pairs.size
+            expanded = ([y for x in row if x >= 0 for y in ([x] if x < size else [self.byte_ids[b] for b in chr(x - size).encode()])] for row in grid.tolist())
+            return [array("i", row).tobytes() for row in expanded], known
+        whole = flat.astype(np.int32).tobytes()
+        return [whole[a:b] for a, b in zip([0, *ends], ends)], known
 
     def encode(self, text: str, dropout: float = 0.0, seed: int = 0) -> np.ndarray:
         """Ids of a text. A literal U+2581 goes by its bytes, so decoding tells it from a space."""
-        if not text:
-            return np.empty(0, np.int32)
+        return self.encode_many([text], dropout, seed)[0]
+
+    def encode_many(self, texts: list[str], dropout: float = 0.0, seed: int = 0) -> list[np.ndarray]:
+        """Ids of texts, each by itself; the chunks of all that are not remembered are merged together."""
         limit = int(dropout * 2**32)
         scale = _scale(limit) if limit else 0.0
-        mark = np.uint64(xxhash.xxh64_intdigest(text.encode(), seed)) if limit else None
-
-        def marks(n: int, at: int) -> np.ndarray:
-            return np.zeros(n, np.uint64) if mark is None else np.arange(at, at + n, dtype=np.uint64) * np.uint64(_PLACE) + mark
-
-        out: list[bytes] = []
-        if self.by_space and text[0] != " " and "  " not in text and SPACE not in text:
-            parts = text.split(" ")
-            known, places = self.words[0].get, marks(len(parts), 0)
-            if limit:
-                shares = ((_mixed(places) >> np.uint64(11)) + np.uint64(1)) * 2.0**-53
-                gaps = [x * scale for x in map(math.log, shares.tolist())]
-            else:
-                gaps = [math.inf] * len(parts)
-            for word, own, gap in zip(parts, places.tolist(), gaps):
-                node = known(word)
-                if node is not None and gap >= node[0] and node[1] is not None:
-                    out.append(node[1])  # nothing is skipped
-                else:
-                    out.append(self._word(word, own, limit, scale))
-        else:
-            literal = array("i", [self.byte_ids[x] for x in SPACE.encode()] if SPACE in text else []).tobytes()
-            for i, plain in enumerate(text.split(SPACE)):
-                if i:
-                    out.append(literal)
-                chunks = self.chunks.findall(("" if i else SPACE) + plain.replace(" ", SPACE))
-                out += [self._remembered(self.cache[0], c, c, m, limit, scale) for c, m in zip(chunks, marks(len(chunks), len(out)).tolist())]
-        return np.frombuffer(b"".join(out), np.int32)
+        out: list[bytes | None] = []
+        ends = [0]  # of the texts in ``out``
+        slots: list[int] = []  # where the ids of the chunks go
+        chunks: list[str] = []
+        places: list[int] = []
+        gaps: list[float] = []
+
+        def later(chunk: str, mark: int, gap: float) -> None:
+            if len(chunk) > SHORT:
+                out.append(self._remembered(lines, chunk, chunk, mark, limit, scale))
+                return
+            slots.append(len(out))
+            chunks.append(chunk)
+            places.append(mark)
+            gaps.append(gap)
+            out.append(None)
+
+        words, lines = self.words[0], self.cache[0]
+        for text in texts:
+            start = len(out)
+            mark = np.uint64(xxhash.xxh64_intdigest(text.encode(), seed)) if limit else None
+
+            def marks(n: int, at: int) -> tuple[list[int], list[float]]:
+                """Numbers of ``n`` chunks and the merges taken before their first skips."""
+                if mark is None:
+                    return [0] * n, [math.inf] * n
+                own = np.arange(at, at + n, dtype=np.uint64) * np.uint64(_PLACE) + mark
+                shares = ((_mixed(own) >> np.uint64(11)) + np.uint64(1)) * 2.0**-53
+                return own.tolist(), [x * scale for x in map(math.log, shares.tolist())]
+
+            if text and self.by_space and text[0] != " " and "  " not in text and SPACE not in text:
+                parts = text.split(" ")
+                for word, node, own, gap in zip(parts, map(words.get, parts), *marks(len(parts), 0)):
+                    if node is not None and gap >= node[0]:
+                        out.append(node[1])  # nothing is skipped
+                    elif len(word) < SHORT and "\n" not in word:
+                        slots.append(len(out))
+                        chunks.append(SPACE + word)
+                        places.append(own)
+                        gaps.append(gap)
+                        out.append(None)
+                    else:  # lines inside a word are chunks of their own
+                        first, *more = word.split("\n")
+                        later(SPACE + first, own, gap)
+                        for i, line in enumerate(more, 1):
+                            out.append(self.newline)
+                            if line:
+                                at = own + i * _LINE & _MASK
+                                later(line, at, _gap(at, 0, scale) if limit else math.inf)
+            elif text:
+                literal = array("i", [self.byte_ids[x] for x in SPACE.encode()] if SPACE in text else []).tobytes()
+                for i, plain in enumerate(text.split(SPACE)):
+                    if i:
+                        out.append(literal)
+                    found = self.chunks.findall(("" if i else SPACE) + plain.replace(" ", SPACE))
+                    for chunk, own, gap in zip(found, *marks(len(found), len(out) - start)):
+                        later(chunk, own, gap)
+            ends.append(len(out))
+        first_gaps = np.minimum(np.array(gaps, np.float64), 2.0**62).astype(np.int64)
+        done = self.merge_many(chunks, np.array(places, np.uint64), first_gaps, limit)
+        for at, chunk, ids, total in zip(slots, chunks, *done):
+            out[at] = ids
+            if total >= 0 and chunk[0] == SPACE:
+                if self.held >= CACHE:
+                    lines.clear()
+                    words.clear()
+                    self.held = 0
+                if (word := chunk[1:]) not in words:
+                    words[word] = (total, ids)
+                    self.held += 1
+        return [np.frombuffer(b"".join(out[a:b]), np.int32) for a, b in zip(ends, ends[1:])]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that was encoded: piece bytes joined, less the space put before it."""
@@ -270,7 +434,7 @@ def encode_pieces(docs: DataFrame, model_path: str, dropout: float = 0.1, seed:
         for batch in batches:
             for at in range(0, max(len(batch), 1), ROWS):
                 texts = [x or "" for x in batch.iloc[at : at + ROWS]]
-                ids = [pieces.encode(x, dropout, seed) for x in texts]
+                ids = pieces.encode_many(texts, dropout, seed)
                 yield pd.DataFrame({"ids": ids, "same": [pieces.decoded_bytes(x) == t.encode() for x, t in zip(ids, texts)]})
 
     done = docs.withColumn("__pieces", encoded(F.col(text_col)))

@@ -25,7 +25,7 @@ from tabularium.llm.decontaminate import contamination, without_contaminated
 from tabularium.llm.graph import connected_components
 from tabularium.llm.licenses import license_matches
 from tabularium.llm.main_text import best_run, extract_main_text, fit_weights, main_text
-from tabularium.llm.pieces import Pieces, decode_pieces, encode_pieces, model_state
+from tabularium.llm.pieces import Pieces, _gap, _scale, decode_pieces, encode_pieces, model_state
 from tabularium.llm.pseudonyms import permute, pseudonymise, pseudonyms
 from tabularium.llm.quality import classify, keep_good
 from tabularium.llm.simhash import one_per_group, simhash_components
@@ -412,6 +412,18 @@ def test_both_agendas_agree(chunk, mark, limit):
     assert pieces._merge_short(chunk, mark, limit, draws) == pieces._merge_long(chunk, mark, limit, draws)
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.text("abehtinor▁x ü漢", min_size=1, max_size=48), min_size=1, max_size=40), st.integers(0, 2**32 - 1), st.sampled_from([0, 2**29, 2**31]))
+def test_chunks_merged_together_are_those_merged_alone(chunks, mark, limit):
+    pieces = test_chunks_merged_together_are_those_merged_alone.__dict__.setdefault("pieces", Pieces(*model_state(MODEL)))
+    marks = [mark + i for i in range(len(chunks))]
+    draws: list[list[int]] = [[] for _ in chunks]
+    alone = [pieces.merge(c, m, limit, d) for c, m, d in zip(chunks, marks, draws)]
+    first = np.array([int(_gap(m, 0, _scale(limit))) if limit else 2**62 for m in marks])
+    ids, totals = pieces.merge_many(chunks, np.array(marks, np.uint64), first, limit)
+    assert ids == alone and totals == [d[0] if len(d) == 1 else -1 for d in draws]
+
+
 def test_each_occurrence_is_cut_anew():
     pieces = Pieces(*model_state(MODEL))
     word, n, share, rng = "international", 20_000, 0.3, random.Random(3)
