@@ -113,15 +113,41 @@ def quoted_name(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+# Types whose values are counted as they are: equal texts come from equal values, and reading a value as text costs more.
+PLAIN_TYPES = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+# Distinct values of rows from ``_value_frequencies``: 0.0 and -0.0 are two texts of one number.
+DISTINCT = "(count_if(key IS NOT NULL) - greatest(count_if(zero) - 1, 0))"
+
+
+def _column_frequencies(df: DataFrame, i: int, flags: dict[str, str]) -> DataFrame:
+    field = df.schema.fields[i]
+    value = quoted_name(field.name)
+    if isinstance(field.dataType, PLAIN_TYPES):
+        fractional = isinstance(field.dataType, (T.FloatType, T.DoubleType))
+        minus = "value = 0 AND CAST(value AS STRING) = '-0.0'" if fractional else "false"
+        counted = df.selectExpr(f"{value} AS value").selectExpr("value", f"{minus} AS minus").groupBy("value", "minus")
+        text = "IF(minus, '-0.0', CAST(value AS STRING)) AS text"
+        rows = counted.agg(F.count(F.lit(1)).alias("n")).selectExpr(
+            f"{i} AS i", text, f"{'coalesce(value = 0, false)' if fractional else 'false'} AS zero", "n")
+        return rows.selectExpr("i", "text AS key", "zero", *[f"{test} AS `{name}`" for name, test in flags.items()], "n")
+    tests = ", ".join(f"{quote(name)}, {test}" for name, test in flags.items())
+    early = f"IF(length(text) > {LONG_VALUE}, named_struct('long', true{', ' if flags else ''}{tests}), NULL) AS early"
+    key = f"IF(length(text) > {LONG_VALUE}, sha2(text, 256), text) AS key"
+    counted = df.selectExpr(f"{i} AS i", f"CAST({value} AS STRING) AS text").selectExpr(key, early).groupBy("key", "early")
+    rows = counted.agg(F.count(F.lit(1)).alias("n")).selectExpr(f"{i} AS i", "key AS text", "early", "n")
+    late = [f"IF(early IS NULL, {test}, early.`{name}`) AS `{name}`" for name, test in flags.items()]
+    return rows.selectExpr("i", "text AS key", "false AS zero", *late, "n")
+
+
 def _value_frequencies(df: DataFrame, flags: dict[str, str]) -> DataFrame:
-    """(column index, value key, flags, n): how often each value occurs in each column.
+    """(column index, value key, zero, flags, n): how often each value occurs in each column.
 
-    Rows are unpivoted and counted map-side, so a frequent value costs one row per task. Long values
-    travel as their SHA-256; ``flags`` are SQL expressions over ``text`` taken before the shuffle.
+    Each column is read and counted by itself, map-side first, so a frequent value costs one row per
+    task. ``flags`` are SQL expressions over ``i`` and ``text``, taken once per distinct value. Long texts
+    travel as their SHA-256 with the flags taken before the shuffle.
     """
-    key = f"IF(length(text) > {LONG_VALUE}, sha2(text, 256), text) AS key"
-    flagged = _cells(df).selectExpr("i", key, *[f"{test} AS `{name}`" for name, test in flags.items()])
-    return flagged.groupBy("i", "key", *flags).agg(F.count(F.lit(1)).alias("n"))
+    columns = [_column_frequencies(df, i, flags) for i in range(len(df.columns))]
+    return reduce(DataFrame.unionByName, columns)
 
 
 def _by_column(values: Sequence) -> str:
@@ -149,7 +175,7 @@ def field_profile(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
     # Cheap character tests come first; the regular expressions only see values that pass them.
     form = f"""CASE WHEN text IS NULL THEN NULL WHEN {starts(NUMBER_START)} AND text RLIKE {quote(NUMBER)} THEN 0
         WHEN substring(text, 5, 1) = '-' AND text RLIKE {quote(DATE_TEXT)} THEN 1
-        WHEN lower(text) IN ({', '.join(quote(w) for w in BOOLEAN_TEXT)}) THEN 2 ELSE 3 END"""
+        WHEN length(text) <= {max(map(len, BOOLEAN_TEXT))} AND lower(text) IN ({', '.join(quote(w) for w in BOOLEAN_TEXT)}) THEN 2 ELSE 3 END"""
     flags = {
         "length": "length(text)",
         "form": f"IF({is_text}, {form}, NULL)",
@@ -160,7 +186,7 @@ def field_profile(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
         "url": f"{scalar} AND (startswith(text, 'http://') OR startswith(text, 'https://'))",
     }
     if exact:
-        counted, distinct = _value_frequencies(df, flags), "count_if(key IS NOT NULL)"
+        counted, distinct = _value_frequencies(df, flags), DISTINCT
     else:
         counted = _cells(df).selectExpr("i", "text AS key", "1 AS n", *[f"{v} AS `{k}`" for k, v in flags.items()])
         distinct = "approx_count_distinct(key)"
@@ -256,7 +282,7 @@ def column_roles(df: DataFrame) -> DataFrame:
     digits = f"{text_type} AND regexp_replace(text, '[.-]', '') RLIKE {quote(r'^\d+$')}"
     counted = _value_frequencies(df, {"numeric": f"{numeric_type} OR ({digits})"})
     shares = counted.where("key IS NOT NULL").groupBy("i").agg(
-        F.expr("sum(IF(numeric, n, 0)) / sum(n) > 0.7 AS is_numeric"), F.expr("count(1) / sum(n) < 0.5 AS repeats"))
+        F.expr("sum(IF(numeric, n, 0)) / sum(n) > 0.7 AS is_numeric"), F.expr(f"{DISTINCT} / sum(n) < 0.5 AS repeats"))
     dated = [any(w in c.lower() for w in ("date", "time", "created", "updated")) for c in df.columns]
     return shares.selectExpr(f"{_by_column(df.columns)} AS field", "is_numeric", "NOT is_numeric AND repeats AS is_categorical",
                              f"{_by_column(dated)} AS is_date")
@@ -282,7 +308,7 @@ def scatter_pairs(df: DataFrame, x: str, y: str, key: str, points: int | None =
 def distinct_counts(df: DataFrame, exact: bool = True) -> DataFrame:
     """Number of distinct non-null values per column."""
     if exact:
-        rows = _value_frequencies(df, {}).groupBy("i").agg(F.count("key").alias("unique_values"))
+        rows = _value_frequencies(df, {}).groupBy("i").agg(F.expr(f"{DISTINCT} AS unique_values"))
         return rows.selectExpr(f"{_by_column(df.columns)} AS field", "unique_values")
     row = df.agg(*[F.approx_count_distinct(quoted(c)).alias(f"u{i}") for i, c in enumerate(df.columns)])
     return _melt(row, [{"field": F.lit(c), "unique_values": F.col(f"u{i}")} for i, c in enumerate(df.columns)])

@@ -14,7 +14,7 @@ from tabularium.functions import ranges
 from tabularium.functions.names import snake_case
 from tabularium.functions.names import snake_case
 from tabularium.operators import (
-    access, activity, audit_tree, chunking, cleaning, json_docs, limiter, relational, search, statistics,
+    access, activity, audit_tree, chunking, cleaning, json_docs, limiter, profiling, relational, search, statistics,
     templates, text_cleaning, versions,
 )
 from tabularium.sources import files
@@ -583,3 +583,20 @@ def test_flattening_parses_a_clean_text_once(spark):
 def test_field_types_take_two_passes_over_the_text(spark):
     plan = json_docs.field_type_counts(spark.createDataFrame([(1, "{}")], "k int, j string"), "k", "j")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == 2
+
+
+def test_profile_counts_each_column_by_itself(spark):
+    long = "x" * 70
+    rows = [(0.0, 1, "7", long + "1"), (-0.0, 1, "7", long + "1"), (float("nan"), 2, "b@c.de", long + "2"), (float("nan"), None, "", "y" * 64), (None, 3, None, None)]
+    df = spark.createDataFrame(rows, "d double, k int, s string, t string")
+    profile = profiling.field_profile(df, "odd")
+    assert "Generate" not in profile._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["field"]: (r["total"], r["filled"], r["unique_values"], r["consistency"], r["patterns"]) for r in profile.collect()}
+    assert got == {
+        "d": (5, 4, 2, 1.0, []), "k": (5, 4, 3, 1.0, []), "s": (5, 4, 3, 0.5, ["email_format"]), "t": (5, 4, 3, 1.0, []),
+    }
+    zeros = spark.createDataFrame([(0.0,), (-0.0,)], "d double")
+    assert profiling.field_profile(zeros, "zeros").first()["patterns"] == []
+    assert profiling.distinct_counts(zeros).first()["unique_values"] == 1
+    minus = profiling.field_profile(zeros.where("CAST(d AS STRING) = '-0.0'"), "minus").first()
+    assert (minus["unique_values"], minus["patterns"]) == (1, ["fixed_length_4"])
