@@ -289,7 +289,7 @@ FROM ({_profile_sql(tables)})"""
 
 
 def _tables(t, names):
-    return {name: t.spread(name) for name in names}
+    return {name: getattr(t, name) for name in names}
 
 
 PROFILED = ["lineitem", "pages", "documents", "conversations"]
@@ -343,8 +343,9 @@ def _(t):
 def _(t):
     names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
              "embeddings", "pages", "benchmark", "labels", "conversations"]
-    fields = profiling.quality_of_tables(_tables(t, names), exact=False)
-    related = hz.scored_pairs(t.spark, hz.fields_of(_tables(t, names)), hz.RELATION_SIGNS, hz.RELATION_MIN)
+    tables = {name: t.spread(name) for name in names}
+    fields = profiling.quality_of_tables(tables, exact=False)
+    related = hz.scored_pairs(t.spark, hz.fields_of(tables), hz.RELATION_SIGNS, hz.RELATION_MIN)
     return profiling.catalog_overview(profiling.quality_dimensions(fields), relationships=len(related))
 
 

@@ -17,6 +17,7 @@ from tabularium.operators import (
     access, activity, audit_tree, chunking, cleaning, json_docs, limiter, profiling, relational, search, statistics,
     templates, text_cleaning, versions,
 )
+from tabularium.plans import REGISTRY
 from tabularium.sources import files
 
 
@@ -600,3 +601,18 @@ def test_profile_counts_each_column_by_itself(spark):
     assert profiling.distinct_counts(zeros).first()["unique_values"] == 1
     minus = profiling.field_profile(zeros.where("CAST(d AS STRING) = '-0.0'"), "minus").first()
     assert (minus["unique_values"], minus["patterns"]) == (1, ["fixed_length_4"])
+
+
+def test_quality_reads_the_tables_as_they_lie(spark, tables):
+    seen = []
+
+    class Spy:
+        def __getattr__(self, name):
+            return getattr(tables, name)
+
+        def spread(self, name):
+            seen.append(name)
+            return tables.spread(name)
+
+    REGISTRY["quality_dimensions"].build(Spy())
+    assert not seen  # each column is read by itself, so a spread would be paid once a column
