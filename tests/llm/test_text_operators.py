@@ -10,6 +10,7 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
 from tabularium.llm import pseudonyms as pii
+from tabularium.llm import suffix_dedup
 from tabularium.llm.code_search import nearest_codes, sign_code
 from tabularium.llm.decontaminate import contamination, without_contaminated
 from tabularium.llm.graph import connected_components
@@ -29,7 +31,7 @@ from tabularium.llm.pieces import Pieces, _gap, _scale, decode_pieces, encode_pi
 from tabularium.llm.pseudonyms import permute, pseudonymise, pseudonyms
 from tabularium.llm.quality import classify, keep_good
 from tabularium.llm.simhash import one_per_group, simhash_components
-from tabularium.llm.suffix_dedup import _compared, _run_rows, _sample_rows, repeated_bytes
+from tabularium.llm.suffix_dedup import _compared, _prefixes, _removed, _repeated, _run_rows, _sample_rows, repeated_bytes
 from tabularium.llm.token_counts import UnigramCounter, token_counts
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -125,6 +127,49 @@ def test_a_block_sends_a_common_phrase_once():
     assert _compared(rows).column("pairs").to_pylist() == [x for x in rows.column("pairs").to_pylist() if x]
 
 
+def blocks_of(rows, n_blocks):
+    """Rows in blocks, as ``repeated_bytes`` hands them to its steps; texts are different."""
+    out = [[] for _ in range(n_blocks)]
+    for k, (i, text, *_) in enumerate(rows):
+        out[k % n_blocks].append((k, 0, i, text, k % n_blocks))
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("id", pa.int64()), ("text", pa.string()), ("block", pa.int64())])
+    return [pa.table([pa.array(c, f.type) for c, f in zip(zip(*x), schema)], schema=schema) for x in out]
+
+
+def by_blocks(rows, n_blocks, n_buckets, n_meets):
+    """What the steps of ``repeated_bytes`` say of each text, one after the other in this process."""
+    blocks = blocks_of(rows, n_blocks)
+    own = lambda table, column, value: table.filter(pa.compute.equal(table.column(column), value))
+    names = pa.concat_tables([_sample_rows(n_buckets)(x) for x in blocks])
+    bits = pa.concat_tables([_repeated(own(names, "bucket", k)) for k in range(n_buckets) if own(names, "bucket", k).num_rows])
+    runs = pa.concat_tables([_run_rows(n_buckets, n_meets)(x, own(bits, "block", k)) for k, x in enumerate(blocks)])
+    later = pa.concat_tables([_compared(own(runs, "meet", k)) for k in range(n_meets) if own(runs, "meet", k).num_rows] or [pa.table({"block": pa.array([], pa.int64()), "pairs": pa.array([], pa.binary())})])
+    done = pa.concat_tables([_removed(x, own(later, "block", k)) for k, x in enumerate(blocks)]).to_pylist()
+    return sorted((x["id"], len(rows[x["k1"]][1].encode()), x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in done)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**9), st.sampled_from(["ab", "abc de", "abcdeé  "]), st.integers(1, 5), st.integers(1, 4), st.integers(1, 6))
+def test_steps_of_repeated_bytes_on_texts_of_few_letters(seed, letters, n_blocks, n_buckets, n_meets):
+    rng = random.Random(seed)
+    piece = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    shared = [piece(rng.randint(45, 160)) for _ in range(4)] + [piece(rng.randint(1, 14)) * 20]
+    texts = {"".join(rng.choice(shared)[rng.randint(0, 30) :][: rng.randint(1, 150)] if rng.random() < 0.6 else piece(rng.randint(0, 60)) for _ in range(rng.randint(0, 6))) for _ in range(24)}
+    rows = [(rng.randint(0, 20), x, None) for x in sorted(texts)]  # some have one id
+    rows += [(30 + i, piece(70), None) for i in range(n_blocks)]  # no block without a row
+    assert by_blocks(rows, n_blocks, n_buckets, n_meets) == repeats(rows)
+
+
+def test_repeated_passages_are_not_compared_byte_by_byte(monkeypatch):
+    rng = random.Random(8)
+    passage = words(rng, 900)
+    rows = [(i, f"{words(rng, 30)} {passage} {words(rng, 30)}", None) for i in range(12)]
+    named = []
+    monkeypatch.setattr(suffix_dedup, "_prefixes", lambda loads, at: named.append(len(at)) or _prefixes(loads, at))
+    assert by_blocks(rows, 4, 2, 3) == repeats(rows)
+    assert sum(named) < 0.1 * 12 * len(passage.encode())  # only around the ends of the passage
+
+
 # 2: token counts
 
 
