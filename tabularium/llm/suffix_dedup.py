@@ -35,8 +35,8 @@ COVER = 31
 DIFFERENCES = (1, 5, 11, 24, 25, 27)  # every remainder of 31 is a difference of two of these
 SEED_BYTES = LENGTH - COVER + 1
 BLOCK_BYTES = 4_000_000  # text that one block holds
-BUCKET_BYTES = 16_000_000  # text whose samples share a bucket; suffixes share one by half as much
-FLUSH = 1_000_000  # suffixes that are named one by one at a time
+BUCKET_BYTES = 32_000_000  # text whose samples share a bucket; suffixes share one by half as much
+FLUSH = 1_000_000  # suffixes, about, that are named one by one at a time
 TILE = 1 << 14  # positions whose numbers fit the processor's caches
 ANCHOR = 12  # suffixes meet by the smallest name of strings of so many bytes inside
 SIDE = 20  # an anchor so far inside or farther is told by the bytes before it as well, others by those behind
